@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
     """Cut record batches into runs of rows whose text has about limit bytes (a longer single row stays whole)."""
     for batch in batches:
         sizes = batch.column(column)
-        sizes = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(sizes), 0).to_pylist()
         start = total = 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:
