@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, mixing, oracles, packing, topk, urlrules
+from . import jaccard, langid, mixing, oracles, packing, topk, toxicity, urlrules
 from .common import held_out, table
 
 
@@ -16,6 +16,12 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, rows.where(F.pmod("vec_id", F.lit(20)) == 0))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.assess(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", predicted)
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -38,7 +44,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op3_mix, op4_url_filter, op5_language, op8_jaccard, op9_pack)}
+    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_mix, op4_url_filter, op5_language, op8_jaccard, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
