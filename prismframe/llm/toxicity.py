@@ -12,6 +12,7 @@ window with the strongest inputs, each clean one that window and a random one.
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,28 +174,47 @@ class Network:
                     self.w[name] = (self.w[name] - RATE * (1 - epoch / epochs) * step).astype(np.float32)
 
 
+class _Ids(dict):
+    """Numbers words in order of their first look-up."""
+
+    def __missing__(self, word: str) -> int:
+        out = self[word] = len(self)
+        return out
+
+
+class WordTable:
+    """Inputs of the words seen so far, begun anew when it holds CACHED_WORDS."""
+
+    def __init__(self) -> None:
+        self.ids, self.rows = _Ids(), np.zeros((0, 3), np.float32)
+
+    def look_up(self, words: list[str], model: Model) -> np.ndarray:
+        if len(self.ids) > CACHED_WORDS:
+            self.__init__()
+        ids = self.ids
+        at = np.fromiter([ids[w] for w in words], np.int64, len(words))
+        if len(ids) > len(self.rows):
+            new = [normal(w) for w in list(ids)[len(self.rows) :]]
+            self.rows = np.concatenate([self.rows, inputs(new, model.word_odds, model.gram_odds)])
+        return self.rows[at]
+
+
 @dataclass
 class Model:
     word_odds: np.ndarray
     gram_odds: np.ndarray
     network: Network | None  # None: no toxic or no clean document to learn from
 
-    def score(self, texts: list[str | None], cache: dict) -> np.ndarray:
+    def score(self, texts: list[str | None], known: WordTable) -> np.ndarray:
         """The score of each text, 0 for one without words."""
         out = np.zeros(len(texts))
         if self.network is None:
             return out
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        if not cache:
-            cache[""] = np.zeros(3, np.float32)
         split = [t.split() if t else [] for t in texts]
-        new = [w for w in {w for words in split for w in words} if w not in cache]
-        cache.update(zip(new, inputs([normal(w) for w in new], self.word_odds, self.gram_odds), strict=True))
         counts = np.array([len(s) for s in split], dtype=np.int64)
         if not counts.sum():
             return out
-        x = np.array([cache[w] for words in split for w in words], dtype=np.float32)
+        x = known.look_up([w for words in split for w in words], self)
         owner, start, size = windows(counts)
         best = np.full(len(texts), -np.inf)
         for a in range(0, len(owner), 4096):
@@ -259,7 +279,7 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mos
     return [t for _, t in texts], np.array([label[i] for i, _ in texts], dtype=np.int64)
 
 
-_CACHE: dict = {}
+_TABLES: dict[str, WordTable] = {}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -268,16 +288,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null texts and texts without words score 0, and so does every text if there was no toxic or no clean document to
     learn from. A column named score is replaced; other extra columns pass through. Repeated rows score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, key = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     @F.arrow_udf("double")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if _CACHE.get("model") != shared.id:
-            _CACHE.clear()
-            _CACHE.update(model=shared.id, words={})
+        if key not in _TABLES:  # a worker process keeps the table of the last model only
+            _TABLES.clear()
+            _TABLES[key] = WordTable()
         for part in parts:
             batches = slices(iter([pa.RecordBatch.from_arrays([part], names=["t"])]), "t")
-            yield pa.array(np.concatenate([np.zeros(0), *[shared.value.score(b.column(0).to_pylist(), _CACHE["words"]) for b in batches]]))
+            yield pa.array(np.concatenate([np.zeros(0), *[shared.value.score(b.column(0).to_pylist(), _TABLES[key]) for b in batches]]))
 
     rest = [c for c in docs.columns if c != "score"]
     return docs.select(*rest, of(F.col("text")).alias("score"))
