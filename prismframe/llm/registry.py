@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, jaccard, langid, mixing, oracles, packing, topk, toxicity, urlrules
+from . import digest, jaccard, langid, lmscore, mixing, oracles, packing, topk, toxicity, urlrules
 from .common import held_out, table
 
 
@@ -39,6 +39,10 @@ def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.fingerprint(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 5, 1))
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_mix, op4_url_filter, op5_language, op6_fingerprint, op8_jaccard, op9_pack)}
+    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_mix, op4_url_filter, op5_language, op6_fingerprint, op7_lm_score, op8_jaccard, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
