@@ -64,3 +64,23 @@ SELECT page_id, host, path,
   coalesce((SELECT verdict FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, pre) ORDER BY length(h) DESC, length(pre) DESC LIMIT 1), 'allow') AS verdict
 FROM p
 """
+
+PREFERENCES = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+a AS (SELECT conv_id, max(turn) AS last, min(turn) AS first FROM t WHERE role = 'assistant' GROUP BY conv_id),
+r AS (
+  SELECT t.*, a.last, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS shown FROM t JOIN a USING (conv_id) WHERE turn <= a.last),
+x AS (
+  SELECT a.conv_id, l.text AS yes, CASE WHEN a.first < a.last THEN f.text ELSE '' END AS no
+  FROM a JOIN t l ON l.conv_id = a.conv_id AND l.turn = a.last JOIN t f ON f.conv_id = a.conv_id AND f.turn = a.first),
+p AS (
+  SELECT conv_id, count(*) FILTER (turn < last) AS n, coalesce(string_agg(shown, '' ORDER BY turn) FILTER (turn < last), '') AS prompt,
+    string_agg(shown, '' ORDER BY turn) AS everything FROM r GROUP BY conv_id)
+SELECT conv_id, CAST(CASE WHEN yes = no THEN n + 1 ELSE n END AS INTEGER) AS prompt_turns,
+  CASE WHEN yes = no THEN everything ELSE prompt END AS prompt,
+  CASE WHEN yes = no THEN '' ELSE '<|assistant|>' || chr(10) || yes || '<|end|>' || chr(10) END AS chosen,
+  CASE WHEN yes = no THEN '' ELSE '<|assistant|>' || chr(10) || no || '<|end|>' || chr(10) END AS rejected,
+  CASE WHEN yes = no THEN '' ELSE '14:' || CAST(14 + length(yes) + 7 AS VARCHAR) END AS chosen_spans,
+  CASE WHEN yes = no THEN '' ELSE '14:' || CAST(14 + length(no) + 7 AS VARCHAR) END AS rejected_spans
+FROM p JOIN x USING (conv_id)
+"""

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, jaccard, langid, lmscore, mixing, oracles, packing, topk, toxicity, urlrules
+import corpus_pipeline
+
+from . import digest, jaccard, langid, lmscore, mixing, oracles, packing, preference, topk, toxicity, urlrules
 from .common import held_out, table
 
 
@@ -51,9 +53,17 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.pairs_of(table(spark, sf_dir, "conversations")), "conv_id")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_mix, op4_url_filter, op5_language, op6_fingerprint, op7_lm_score, op8_jaccard, op9_pack)}
+    return {f.__name__: f for f in (op1_topk, op2_toxicity, op3_mix, op4_url_filter, op5_language, op6_fingerprint, op7_lm_score, op8_jaccard, op9_pack, op10_preferences, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": oracles.TOPK, "op3_mix": oracles.MIX, "op4_url_filter": oracles.URL_FILTER}
+    return {"op1_topk": oracles.TOPK, "op3_mix": oracles.MIX, "op4_url_filter": oracles.URL_FILTER, "op10_preferences": oracles.PREFERENCES}
