@@ -2,8 +2,8 @@
 
 1. Each text becomes a set of shingle hashes. Equal sets are one class; its least row stands for it.
 2. In each run a set goes to a bucket for each of its shingles that a hash shared by all sets picks with probability
-   FAN / size. Buckets of more than SPLIT_ABOVE sets are split again, by the shingles picked with a hash of the path
-   so far, to DEPTH levels. The number of runs follows from the target recall at the threshold.
+   FAN / size. Buckets of more than SPLIT_ABOVE sets are split again, by shingles picked anew for each run and level,
+   to DEPTH levels. The number of runs follows from the target recall at the threshold.
 3. In a bucket all pairs are compared by sketches (signed counts of hashed shingles, whose inner product estimates the
    size of the intersection, MARGIN deviations below the threshold). What passes joins sets to families.
 4. In a family all pairs are compared exactly. A pair is compared once, so links are counted without listing pairs.
@@ -32,7 +32,7 @@ SHINGLE = 5
 NUMERATOR, DENOMINATOR = 4, 5
 TARGET_RECALL = 0.999
 FAN = 4
-DEPTH = 4
+DEPTH = 3
 SPLIT_ABOVE = 4096
 BLOCK = 256
 #: A family gets up to this many blocks of at least FAMILY_BLOCK sets before its blocks grow.
@@ -113,7 +113,9 @@ def _binary(rows: np.ndarray, width: int) -> pa.Array:
     return pa.array([r.tobytes() for r in rows], pa.binary()) if width else pa.array([], pa.binary())
 
 
-SET_SCHEMA = "uid long, doc_id long, n int, k1 long, k2 long, paths array<long>, sketch binary, tokens binary"
+#: paths: buckets of the first level, with their runs; picks: shingles of the next levels, with LEVEL * level + run.
+SET_SCHEMA = "uid long, doc_id long, n int, k1 long, k2 long, paths array<long>, runs array<int>, picks array<long>, picks_at array<int>, sketch binary, tokens binary"
+LEVEL = 1000
 
 
 def shingled(docs: DataFrame, runs: int, fan: float = FAN) -> DataFrame:
@@ -128,23 +130,27 @@ def shingled(docs: DataFrame, runs: int, fan: float = FAN) -> DataFrame:
             with np.errstate(over="ignore"):
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token, s))]) for s in (101, 202)]
                 keys = [(s[first[1:]] - s[first[:-1]]).astype(np.int64) for s in sums]
-            whose, paths = [], []
-            for run in range(runs):
-                at, path = picked(token, run, n[owner], fan, run + 1)
-                whose.append(owner[at])
-                paths.append(path)
-            whose, paths = np.concatenate(whose), np.concatenate(paths)
-            order = np.argsort(whose, kind="stable")
+            listed = []
+            for level in range(DEPTH):
+                found = [picked(token, LEVEL * level + run, n[owner], fan, run + 1) for run in range(runs)]
+                whose = np.concatenate([owner[at] for at, _ in found])
+                order = np.argsort(whose, kind="stable")
+                code = np.repeat(np.arange(runs) + LEVEL * level, [len(at) for at, _ in found])
+                listed.append((whose[order], np.concatenate([x for _, x in found])[order], code[order]))
+            deeper = [np.concatenate([x[i] for x in listed[1:]]) for i in range(3)]
+            order = np.argsort(deeper[0], kind="stable")
+            columns = []
+            for whose, values, code in (listed[0], tuple(x[order] for x in deeper)):
+                columns += [_split(x, np.bincount(whose, minlength=m), k) for x, k in ((values, pa.int64()), (code, pa.int32()))]
             sign = np.where(mixed(token, 303) >> np.uint64(63), 1.0, -1.0)
             at = owner * DIMENSIONS + (mixed(token, 404) >> np.uint64(56)).astype(np.int64) % DIMENSIONS
             sketch = np.bincount(at, weights=sign, minlength=m * DIMENSIONS).reshape(m, DIMENSIONS)
             small = token.astype(np.uint32)
             columns = [
-                batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys],
-                _split(paths[order], np.bincount(whose, minlength=m), pa.int64()), _binary(np.clip(sketch, -127, 127).astype(np.int8), m),
+                batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], *columns, _binary(np.clip(sketch, -127, 127).astype(np.int8), m),
                 pa.array([small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "n", "k1", "k2", "paths", "sketch", "tokens"])
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
 
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return settle(rows.mapInArrow(work, SET_SCHEMA))
@@ -262,30 +268,21 @@ def _edges(keys: list[str], similar: Callable[[pa.Table], np.ndarray], counted:
     return work
 
 
-def buckets(sets: DataFrame, fan: float = FAN, depth: int = DEPTH, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Rows (path, size, uid) of the buckets to compare; sets has uid, n, paths, tokens."""
-
-    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "tokens"):
-            tokens = batch.column("tokens").to_pylist()
-            n = np.array([len(s) // 4 for s in tokens])
-            token = np.frombuffer(b"".join(tokens), dtype=np.uint32).astype(np.uint64)
-            path = np.repeat(batch.column("path").to_numpy(), n)
-            owner = np.repeat(np.arange(len(n)), n)
-            at, paths = picked(token, path, n[owner], fan, 31)
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), batch.column("uid").take(pa.array(owner[at]))], names=["path", "uid"])
-
-    rows, done = sets.select(F.explode("paths").alias("path"), "uid").distinct(), []
+def buckets(sets: DataFrame, depth: int = DEPTH, split_above: int = SPLIT_ABOVE) -> DataFrame:
+    """Rows (path, size, uid) of the buckets to compare; sets has uid, paths, runs, picks, picks_at."""
+    rows, done = sets.select(F.explode(F.arrays_zip("paths", "runs")).alias("p"), "uid").select("p.paths", "p.runs", "uid").toDF("path", "run", "uid"), []
     for level in range(depth):
         rows = settle(rows)
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("path", "_path")
-        rows = settle(rows.join(sizes, F.col("path") == F.col("_path")).select("path", "size", "uid"))
+        rows = settle(rows.join(sizes, F.col("path") == F.col("_path")).select("path", "run", "size", "uid"))
         small, large = rows.where(F.col("size") <= split_above), rows.where(F.col("size") > split_above)
         if level == depth - 1 or large.limit(1).count() == 0:
-            done.append(rows)
+            done.append(rows.select("path", "size", "uid"))
             break
-        done.append(small)
-        rows = large.select("path", "uid").join(sets.select("uid", "tokens"), "uid").select("path", "uid", "tokens").mapInArrow(deeper, "path long, uid long").distinct()
+        done.append(small.select("path", "size", "uid"))
+        own = F.filter(F.arrays_zip("picks", "picks_at"), lambda p, at=LEVEL * (level + 1): p["picks_at"] == F.col("run") + at)
+        deeper = large.join(sets.select("uid", "picks", "picks_at"), "uid").select("path", "run", "uid", F.explode(own).alias("p"))
+        rows = deeper.select(F.xxhash64("path", "p.picks").alias("path"), "run", "uid")
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
@@ -305,7 +302,7 @@ def join_documents(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     filled = sets.where("n > 0")
     classes = settle(filled.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")))
     reps = filled.join(classes.select("uid", "copies"), "uid")
-    rows = buckets(reps.select("uid", "n", "paths", "tokens"))
+    rows = buckets(reps.select("uid", "paths", "runs", "picks", "picks_at"))
     sketched = rows.join(reps.select("uid", "n", "sketch"), "uid")
     dealt = in_blocks(sketched, "path", F.col("size"), F.col("size") / BLOCK)
     near = dealt.select("path", "a", "b", "block", "uid", "n", "sketch").mapInArrow(_edges(["path", "a", "b"], sketch_similar, False), "u long, v long, links long")
