@@ -34,9 +34,9 @@ TARGET_RECALL = 0.999
 FAN = 4
 DEPTH = 3
 SPLIT_ABOVE = 4096
-BLOCK = 256
+BLOCK = 1024
 #: A family gets up to this many blocks of at least FAMILY_BLOCK sets before its blocks grow.
-FAMILY_BLOCKS, FAMILY_BLOCK, MOST_FAMILY_BLOCK = 32, 64, 2048
+FAMILY_BLOCKS, FAMILY_BLOCK, MOST_FAMILY_BLOCK = 8, 64, 2048
 DIMENSIONS = 256
 MARGIN = 4.0
 CACHED_WORDS = 400_000
