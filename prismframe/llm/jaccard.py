@@ -280,7 +280,8 @@ def buckets(sets: DataFrame, depth: int = DEPTH, split_above: int = SPLIT_ABOVE)
             done.append(rows.select("path", "size", "uid"))
             break
         done.append(small.select("path", "size", "uid"))
-        own = F.filter(F.arrays_zip("picks", "picks_at"), lambda p, at=LEVEL * (level + 1): p["picks_at"] == F.col("run") + at)
+        wanted = F.col("run") + LEVEL * (level + 1)
+        own = F.filter(F.arrays_zip("picks", "picks_at"), lambda p: p["picks_at"] == wanted)  # noqa: B023  used at once
         deeper = large.join(sets.select("uid", "picks", "picks_at"), "uid").select("path", "run", "uid", F.explode(own).alias("p"))
         rows = deeper.select(F.xxhash64("path", "p.picks").alias("path"), "run", "uid")
     out = done[0]
