@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import level_count, level_extent
 from ..plans.lineage import cut
+from .tables import bound
 
 
 def _taps(samples: Column, x: Column, width: int) -> tuple[Column, Column]:
@@ -66,11 +67,12 @@ def rip_pyramid(rows: DataFrame, keys: list[str], width: int, height: int) -> Da
 
 
 def _halved(width: int) -> Column:
-    def value(x: Column) -> Column:
-        a, b = _taps(F.col("samples"), x, width)
-        return _f(0.5) * (a + b)
+    columns = F.sequence(F.lit(0), F.lit(level_extent(width, 1) - 1))
+
+    def halves(samples: Column) -> Column:
+        return F.transform(columns, lambda x: _f(0.5) * (F.get(samples, 2 * x) + F.get(samples, F.least(2 * x + 1, F.lit(width - 1)))))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(level_extent(width, 1) - 1)), value)
+    return bound(F.col("samples"), halves)  # the levels before are worked out once, though Catalyst merges the projections
 
 
 def as_pixels(rows: DataFrame) -> DataFrame:

@@ -2,24 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WRAP = 4_294_967_296
 
 
-def running_offsets(rows: DataFrame, keys: list[str], order: str, value: str, band: int = 1024) -> DataFrame:
-    """Adds offset: the sum of value over the rows before in order (whole numbers from 0) within keys.
+def running_offsets(rows: DataFrame, keys: list[str], order: str, value: str, band: int = 1024, depth: int = 3) -> DataFrame:
+    """Adds offset: the sum of value over the rows before in order (whole numbers from 0) within keys, null keys included.
 
-    A group is cut into bands of the order, so that no task holds more than a band, or one row for each band.
+    A group is cut into bands of the order, the bands' sums into bands again, and so on to depth. So no task holds more
+    than band rows of a group up to band ** depth rows; beyond that the last sums grow.
     """
-    banded = rows.withColumn("_band", F.floor(F.col(order) / band))
-    sums = banded.groupBy(*keys, "_band").agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_band", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_band").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    at, total, base = f"_band{depth}", f"_sum{depth}", f"_base{depth}"
+    banded = rows.withColumn(at, F.floor(F.col(order) / band))
+    sums = banded.groupBy(*keys, at).agg(F.sum(value).alias(total))
+    if depth > 1:
+        sums = running_offsets(sums, keys, at, total, band, depth - 1).withColumnRenamed("offset", base)
+    else:
+        before = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn(base, F.coalesce(F.sum(total).over(before), F.lit(0)))
+    inside = Window.partitionBy(*keys, at).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     own = banded.withColumn("_own", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return own.join(sums, [*keys, "_band"]).withColumn("offset", F.col("_base") + F.col("_own")).drop("_base", "_own", "_band")
+    a, b = own.alias("a"), sums.alias("b")
+    same = F.lit(True)
+    for k in [*keys, at]:
+        same &= F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    return a.join(b, same).select(*[f"a.{c}" for c in rows.columns], (F.col(f"b.{base}") + F.col("a._own")).alias("offset"))
 
 
 def inclusive_counts(pixels: DataFrame, row: list[str], x: str = "x", n: str = "n") -> DataFrame:
@@ -60,21 +71,27 @@ def _index(values: Column) -> Column:
     return F.transform(values, lambda _, i: i)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once a row even where use names it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def predicted(values: Column) -> Column:
     """Differences of neighbouring bytes, 128 standing for none; the first stays."""
-    return F.transform(values, lambda b, i: F.when(i == 0, b).otherwise(F.pmod(b - F.get(values, i - 1) + 128, F.lit(256))))
+    return bound(values, lambda v: F.transform(v, lambda b, i: F.when(i == 0, b).otherwise(F.pmod(b - F.get(v, i - 1) + 128, F.lit(256)))))
+
+
+def _half(values: Column) -> Column:
+    return F.floor((F.size(values) + 1) / 2).cast("int")
 
 
 def interleaved(values: Column) -> Column:
     """Bytes at even places, then those at odd places."""
-    n = F.size(values)
-    first = F.floor((n + 1) / 2).cast("int")
-    return F.transform(_index(values), lambda i: F.get(values, F.when(i < first, 2 * i).otherwise(2 * (i - first) + 1)))
+    return bound(values, lambda v: F.transform(_index(v), lambda i: F.get(v, F.when(i < _half(v), 2 * i).otherwise(2 * (i - _half(v)) + 1))))
 
 
 def uninterleaved(values: Column) -> Column:
-    first = F.floor((F.size(values) + 1) / 2).cast("int")
-    return F.transform(_index(values), lambda i: F.get(values, F.floor(i / 2).cast("int") + F.when(F.pmod(i, F.lit(2)) == 0, 0).otherwise(first)))
+    return bound(values, lambda v: F.transform(_index(v), lambda i: F.get(v, F.floor(i / 2).cast("int") + F.when(F.pmod(i, F.lit(2)) == 0, 0).otherwise(_half(v)))))
 
 
 def unpredicted(rows: DataFrame, key: str, values: str) -> DataFrame:

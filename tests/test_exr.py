@@ -25,7 +25,7 @@ def sample_rows(spec, path="a"):
                         values = [float(7 * ci + k + y + 100 * ly) for k in range(sum(counts))]
                     else:
                         flat = p.codec.startswith("B44")  # equal samples in a block survive this codec
-                        counts, values = None, [2.0 * ((x // 4 + 7 * (y // 4)) % 5) + 0.25 * ci if flat else float((3 * x + 5 * y + 11 * ci + lx) % 64) for x in range(-(-w // c.xs))]
+                        counts, values = None, [2.0 * ((x // 4 + 7 * (y // 4)) % 5) + ci if flat else float((3 * x + 5 * y + 11 * ci + lx) % 64) for x in range(-(-w // c.xs))]
                     out.append((path, no, lx, ly, c.name, y, counts, values))
     return out
 
