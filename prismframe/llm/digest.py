@@ -96,9 +96,10 @@ def _least_wide(rank: np.ndarray) -> np.ndarray:
     part, out = (1 << 20) - WINDOW, []
     for a in range(0, len(rank) - WINDOW + 1, part):
         own = rank[a : a + part + WINDOW - 1]
-        out.append(sliding_least((own << np.int64(20)) | np.arange(len(own)), WINDOW) + a % (1 << 20))
-    # within a part positions count from its start; they are made whole again modulo 2**20
-    return np.concatenate([(x >> np.int64(20) << np.int64(20)) | (x & ((1 << 20) - 1)) for x in out])
+        least = sliding_least((own << np.int64(20)) | np.arange(len(own)), WINDOW)
+        # within a part positions count from its start; they are made whole modulo 2**20 with no carry into the rank
+        out.append((least >> np.int64(20) << np.int64(20)) | ((least + a) & ((1 << 20) - 1)))
+    return np.concatenate(out)
 
 
 def _positions(best: np.ndarray, last: np.ndarray) -> np.ndarray:

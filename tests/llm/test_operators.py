@@ -269,6 +269,19 @@ def test_digests_do_not_depend_on_neighbours(real_docs):
         assert np.array_equal(d, big[i]) and np.array_equal(d, big[len(texts) + 1 + i])
 
 
+def test_digests_are_alike_on_both_sides_of_every_part_of_a_wide_input():
+    part, r = (1 << 20) - digest.WINDOW, np.random.default_rng(5)
+    rank = r.integers(0, 50, 3 * part + 5000)
+    best = digest.sliding_least((rank << 32) | np.arange(len(rank)), digest.WINDOW)
+    assert (digest._least_wide(rank) == (best >> 32 << 20) | (best & ((1 << 20) - 1))).all()
+    text = " ".join("".join(r.choice(list("etaoinshrdlu"), 5)) for _ in range(400)).encode()
+    alone = digest.digests([text])[0]
+    for border in (2 * part, 3 * part):
+        for shift in range(100, 2300, 500):
+            got = digest.digests([text, b"x" * (border - shift - len(text) - 3 * digest.WINDOW), text, text])
+            assert all(np.array_equal(got[i], alone) for i in (0, 2, 3))
+
+
 def test_fingerprint_follows_descending_doc_id(odd_docs, no_docs):
     import hashlib
 
