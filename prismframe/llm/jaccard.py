@@ -109,8 +109,14 @@ def _split(values: pa.Array, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(values, kind))
 
 
-def _binary(rows: np.ndarray, width: int) -> pa.Array:
-    return pa.array([r.tobytes() for r in rows], pa.binary()) if width else pa.array([], pa.binary())
+def _narrow(row: np.ndarray) -> bytes:
+    """Signed counts in the least of 1, 2 or 4 bytes each that holds them all; the width follows from the length."""
+    most = max(int(row.max()), -int(row.min()))
+    return row.astype(np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int32).tobytes()
+
+
+def _counts(sketch: bytes) -> np.ndarray:
+    return np.frombuffer(sketch, dtype=f"i{len(sketch) // DIMENSIONS}").astype(np.float64)
 
 
 #: paths: buckets of the first level, with their runs; picks: shingles of the next levels, with LEVEL * level + run.
@@ -147,7 +153,7 @@ def shingled(docs: DataFrame, runs: int, fan: float = FAN) -> DataFrame:
             sketch = np.bincount(at, weights=sign, minlength=m * DIMENSIONS).reshape(m, DIMENSIONS)
             small = token.astype(np.uint32)
             columns = [
-                batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], *columns, _binary(np.clip(sketch, -127, 127).astype(np.int8), m),
+                batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], *columns, pa.array([_narrow(r) for r in sketch], pa.binary()),
                 pa.array([small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
@@ -216,7 +222,11 @@ def compare_blocks(t: pa.Table, similar: Callable[[pa.Table], np.ndarray]) -> tu
 
 
 def sketch_similar(t: pa.Table) -> np.ndarray:
-    x = np.frombuffer(b"".join(t.column("sketch").to_pylist()), dtype=np.int8).reshape(t.num_rows, DIMENSIONS).astype(np.float32)
+    sketches = t.column("sketch").to_pylist()
+    if all(len(s) == DIMENSIONS for s in sketches):  # sums of products of bytes are exact in single precision
+        x = np.frombuffer(b"".join(sketches), dtype=np.int8).reshape(t.num_rows, DIMENSIONS).astype(np.float32)
+    else:
+        x = np.stack([_counts(s) for s in sketches])
     n = t.column("n").to_numpy().astype(np.float64)
     least = NUMERATOR / (NUMERATOR + DENOMINATOR) * (n[:, None] + n[None, :])
     return x @ x.T >= least - MARGIN * np.sqrt(n[:, None] * n[None, :] / DIMENSIONS)

@@ -415,6 +415,17 @@ def test_splitting_large_buckets_loses_no_link(spark, monkeypatch):
     assert sum(x["links"] for x in got) >= 0.999 * sum(n * k for (_, _, n), k in want.items()) and sum((have - want).values()) <= 1
 
 
+def test_near_copies_of_very_long_texts_are_linked(spark):
+    n, r = 3_500_000, np.random.default_rng(8)
+    words = np.array([f"{a}{b}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"], dtype=object)
+    text = r.choice(words, n)
+    near = text.copy()
+    near[::60] = "-"  # about 11 of 12 shingles stay, a similarity of 0.85
+    rows = [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(r.choice(words, 1000)))]
+    got = jaccard.join_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["class_id"], x["links"]) for x in got} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 50)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7), (500, 500)]
