@@ -19,22 +19,25 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.assess(docs, table(spark, sf_dir, "labels")).where(F.col("score") < 0.5).select(*docs.columns)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs as a written table with a key of each row, _row, and a hash of its values, _tie."""
+    return settle(docs.select("*", F.monotonically_increasing_id().alias("_row"), F.xxhash64(*docs.columns).alias("_tie")))
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates. Rows with one doc_id are one document: the first by text stays."""
-    kept = settle(jaccard.join_documents(docs).where("kept").select(F.col("doc_id").alias("_kept")))
-    out = docs.join(kept.distinct(), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        out = out.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("r"))
-        out = out.select(*[F.col("doc_id") if c == "doc_id" else F.col(f"r.{c}").alias(c) for c in docs.columns])
-    return out
+    """One row of each class of near duplicates. Rows are told apart by a key of their own, whatever their doc_ids."""
+    rows = keyed(docs)
+    kept = settle(jaccard.join_documents(rows, key="_row", tie="_tie").where("kept").select(F.col("_row").alias("_kept")))
+    return rows.join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: words taken over size, rounded by a seeded draw."""
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("_id"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("_share"))
-    draw = F.pmod(F.xxhash64(F.lit("mixed"), "_id"), F.lit(1_000_003)) / 1_000_003
-    copies = taken.select("_id", F.floor(F.col("_share") + draw).cast("int").alias("_copies")).where("_copies > 0")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id")))
+    """Documents as often as the mix takes them: words taken over size, rounded by a seeded draw. Rows are joined by key."""
+    rows = keyed(docs)
+    taken = mixing.mix(rows, carried=("_tie", "_row")).select(F.col("doc_id").alias("_id"), "_tie", F.col("_row").alias("_of"), (F.col("taken") / F.greatest("size", F.lit(1))).alias("_share"))
+    draw = F.pmod(F.xxhash64(F.lit("mixed"), F.coalesce("_id", "_tie")), F.lit(1_000_003)) / 1_000_003
+    copies = taken.select("_of", F.floor(F.col("_share") + draw).cast("int").alias("_copies")).where("_copies > 0")
+    out = rows.join(copies, F.col("_row") == F.col("_of"))
     return out.withColumn("_nth", F.explode(F.sequence(F.lit(1), "_copies"))).select(*docs.columns)
 
 

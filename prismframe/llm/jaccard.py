@@ -120,11 +120,11 @@ def _counts(sketch: bytes) -> np.ndarray:
 
 
 #: paths: buckets of the first level, with their runs; picks: shingles of the next levels, with LEVEL * level + run.
-SET_SCHEMA = "uid long, doc_id long, n int, k1 long, k2 long, paths array<long>, runs array<int>, picks array<long>, picks_at array<int>, sketch binary, tokens binary"
+SET_SCHEMA = "uid long, doc_id long, tie long, n int, k1 long, k2 long, paths array<long>, runs array<int>, picks array<long>, picks_at array<int>, sketch binary, tokens binary"
 LEVEL = 1000
 
 
-def shingled(docs: DataFrame, runs: int, fan: float = FAN) -> DataFrame:
+def shingled(docs: DataFrame, runs: int, fan: float = FAN, key: str | None = None, tie: str | None = None) -> DataFrame:
     """For each row of docs (doc_id, text): the set, two hashes of it, a sketch and the buckets of the first level."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +153,13 @@ def shingled(docs: DataFrame, runs: int, fan: float = FAN) -> DataFrame:
             sketch = np.bincount(at, weights=sign, minlength=m * DIMENSIONS).reshape(m, DIMENSIONS)
             small = token.astype(np.uint32)
             columns = [
-                batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], *columns, pa.array([_narrow(r) for r in sketch], pa.binary()),
+                batch.column("uid"), batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], *columns, pa.array([_narrow(r) for r in sketch], pa.binary()),
                 pa.array([small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    own = (F.monotonically_increasing_id() if key is None else F.col(key)).alias("uid"), (F.lit(0) if tie is None else F.col(tie)).cast("long").alias("tie")
+    rows = docs.select(*own, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return settle(rows.mapInArrow(work, SET_SCHEMA))
 
 
@@ -300,7 +301,7 @@ def buckets(sets: DataFrame, depth: int = DEPTH, split_above: int = SPLIT_ABOVE)
     return out
 
 
-def join_documents(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
+def join_documents(docs: DataFrame, recall: float = TARGET_RECALL, key: str | None = None, tie: str | None = None) -> DataFrame:
     """doc_id, class_id, links and kept for each row of docs (doc_id, text).
 
     links: how many other rows have a similarity of 0.8 or more to it, exact copies included. class_id: the least
@@ -308,8 +309,11 @@ def join_documents(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     comes last). Null and empty texts, and texts of white space, have no shingle and no link, and are classes of their own
     (class_id is their doc_id). Texts of one to four words are one shingle, so they link to texts of the same words only.
     Repeated rows link to each other; an empty table gives an empty result. Only doc_id and text are read.
+
+    key: a column of distinct longs in a written table, which the result carries; without it rows have no name but doc_id.
+    tie: a column of longs whose least is kept among rows of a class with one doc_id.
     """
-    sets = shingled(docs, runs_for(recall))
+    sets = shingled(docs, runs_for(recall), key=key, tie=tie)
     filled = sets.where("n > 0")
     classes = settle(filled.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")))
     reps = filled.join(classes.select("uid", "copies"), "uid")
@@ -328,11 +332,12 @@ def join_documents(docs: DataFrame, recall: float = TARGET_RECALL) -> DataFrame:
     roots = components(exact.select("u", "v"))
     found = classes.join(degree, F.col("uid") == F.col("_node"), "left").join(roots, F.col("uid") == F.col("node"), "left")
     found = found.select("k1", "k2", F.coalesce("root", "uid").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    own = sets.select("uid", "doc_id", "k1", "k2", "n")
+    own = sets.select("uid", "doc_id", "tie", "k1", "k2", "n")
     a, b = own.alias("a"), found.alias("b")
     with_root = settle(a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.n") > 0), "left").select(
-        "a.uid", "a.doc_id", F.coalesce("b.root", "a.uid").alias("root"), F.coalesce("b.links", F.lit(0)).cast("long").alias("links")))
+        "a.uid", "a.doc_id", "a.tie", F.coalesce("b.root", "a.uid").alias("root"), F.coalesce("b.links", F.lit(0)).cast("long").alias("links")))
     # min of structs takes nulls first, so whether doc_id is null is compared before it
-    first = with_root.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("first")).withColumnRenamed("root", "_root")
+    first = with_root.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "uid")).alias("first")).withColumnRenamed("root", "_root")
     out = with_root.join(first, F.col("root") == F.col("_root"))
-    return out.select("doc_id", F.col("first.doc_id").alias("class_id"), "links", (F.col("uid") == F.col("first.uid")).alias("kept"))
+    named = [] if key is None else [F.col("uid").alias(key)]
+    return out.select(*named, "doc_id", F.col("first.doc_id").alias("class_id"), "links", (F.col("uid") == F.col("first.uid")).alias("kept"))

@@ -77,15 +77,16 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> Da
     return s.select("source", "source_size", "source_rank", "total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block: int = 8, shard_words: int = 65_536, most_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block: int = 8, shard_words: int = 65_536, most_shards: int = 4096, seed: int = 17, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
     docs needs doc_id, text and source; other columns are left alone. A null text has size 0, a null source is a
     source of its own (last in order), a null doc_id is hashed like "-". Repeated rows are separate rows. An empty
-    table gives an empty result. taken counts words with repeats, at most cap times the size.
+    table gives an empty result. taken counts words with repeats, at most cap times the size. Columns carried are added to
+    the result and settle the order of rows with one doc_id and size.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    sized = settle(docs.select("doc_id", "source", size.alias("size")))
+    sized = settle(docs.select("doc_id", "source", size.alias("size"), *carried))
     sources = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap)
     blocks = lambda c: F.ceil(F.col(c) / block)
     parties = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.floor(F.col("total") / block)).withColumn("_most", blocks("source_size") * cap)
@@ -101,10 +102,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block
     totals = totals.withColumn("_most", blocks("shard_size") * cap)
     shard_quota = highest_quotients(totals, ["source_rank", "shard"], ["source_rank"], "shard_size", "_seats", "_most")
     shard_quota = shard_quota.withColumnRenamed("source_rank", "_rank").withColumnRenamed("shard", "_shard")
-    line = Window.partitionBy("source_rank", "shard").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("source_rank", "shard").orderBy("_h", "doc_id", "size", *carried).rowsBetween(Window.unboundedPreceding, 0)
     laid = placed.withColumn("_end", F.sum("size").over(line)).withColumn("_size", F.sum("size").over(Window.partitionBy("source_rank", "shard")))
     laid = laid.join(shard_quota, (F.col("source_rank") == F.col("_rank")) & (F.col("shard") == F.col("_shard")))
-    return laid.select("doc_id", "source", "size", "source_size", "target", _taken(block, seed).alias("taken"))
+    return laid.select("doc_id", "source", "size", "source_size", "target", _taken(block, seed).alias("taken"), *carried)
 
 
 def _taken(block: int, seed: int) -> Column:

@@ -33,6 +33,16 @@ def test_odd_documents_pass_through_every_stage(spark, odd_docs, no_docs):
             docs.count()
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(None, text(i)) for i in range(6)] + [(1, text(10)), (2, text(10)), (2, text(11)), (2, text(12)), (2, text(12))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.distinct(spark, docs, TABLES).cache()
+    assert Counter((x["doc_id"], x["text"]) for x in out.collect()) == Counter(set(rows) - {(2, text(10))})
+    mixed = corpus_pipeline.mixed(spark, out, TABLES).collect()
+    assert len(mixed) == out.count() and max(Counter(x["text"] for x in mixed).values()) == 1
+
+
 def test_registry_has_one_query_for_each_operator():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
