@@ -6,36 +6,18 @@ order is a deep pixel (100 a row) and its line items are the samples; texts and
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import geometry, numeric
+from .functions import codecs, geometry, numeric
 from .operators import pyramid, tables
+from .registry import Query, known_oracles, known_queries, query
 from .sources import exr
 from .sources.layout import Channel, Part
 
 WIDTH, DEEP_WIDTH = 64, 100
-#: Levels that the SQL of the pyramids is written for: planes of up to 2 ** SQL_LEVELS - 1 rows.
-SQL_LEVELS = 12
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its own name, with the SQL of its rows."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql is not None:
-            _ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
+#: Levels that the SQL of the pyramids is written for: planes of up to 2 ** SQL_LEVELS - 1 rows, past which SQL would lack levels.
+SQL_LEVELS = 24
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -49,9 +31,10 @@ def _float(c: str | Column) -> Column:
 
 
 def _plane(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Rows (y, samples) and their number."""
+    """Rows (y, samples) and their number, 0 for an empty table."""
     rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("y"), F.col("embedding").alias("samples"))
-    return rows, rows.agg(F.max("y")).first()[0] + 1
+    most = rows.agg(F.max("y")).first()[0]
+    return rows, 0 if most is None else most + 1
 
 
 _PIXELS = f"""
@@ -206,6 +189,31 @@ def b44_flat_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.blocks(_block_plane(spark, sf_dir), [], "key")
 
 
+@query("SELECT p_partkey, CAST(p_size * 1000 AS INTEGER) AS code, CAST(CAST(p_size * 1000 AS FLOAT) / CAST(65535 AS FLOAT) AS FLOAT) AS value, CAST(trunc(CAST(p_size * 1000 AS FLOAT) / CAST(65535 AS FLOAT) * CAST(65535 AS FLOAT) + CAST(0.5 AS FLOAT)) AS INTEGER) AS again FROM part")
+def preview_dequantise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """16-bit codes as numbers from 0 to 1, and back."""
+    rows = _table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") * 1000).cast("int").alias("code"))
+    return rows.withColumn("value", numeric.preview_dequantise(F.col("code"))).withColumn("again", numeric.preview_quantise(F.col("value")))
+
+
+@query(
+    "SELECT l_orderkey, l_linenumber, least(greatest(CAST(l_suppkey AS BIGINT) - CAST(l_partkey AS BIGINT) + 1, 0), 4294967295) AS pixels,"
+    " least(greatest(CAST(l_suppkey AS BIGINT) * 2147483 - CAST(-2147483648 AS BIGINT) + 1, 0), 4294967295) AS wide FROM lineitem"
+)
+def box_extents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels between inclusive bounds: none where they cross, and no overflow where they are far apart."""
+    rows = _table(spark, sf_dir, "lineitem")
+    wide = numeric.box_extent(F.lit(-2_147_483_648), F.col("l_suppkey") * 2_147_483)
+    return rows.select("l_orderkey", "l_linenumber", numeric.box_extent(F.col("l_partkey"), F.col("l_suppkey")).alias("pixels"), wide.alias("wide"))
+
+
+@query(f"WITH p AS (SELECT c_custkey, {_bits_sql('c_acctbal')} AS b FROM customer), {_CODES} SELECT c_custkey, code, CAST(CASE WHEN code & 31744 = 0 THEN (code & 1023) * power(2.0, -24) ELSE ((code & 1023) + 1024) * power(2.0, (code >> 10 & 31) - 25) END * CASE WHEN code & 32768 = 0 THEN 1 ELSE -1 END AS FLOAT) + CAST(0 AS FLOAT) AS value FROM h")
+def half_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numpy kernels that chunk bodies use, on the same rule as the Column expressions."""
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", numeric.half_kernel_code(_float("c_acctbal")).alias("code"))
+    return rows.withColumn("value", (numeric.half_kernel_value("code") + F.lit(0.0).cast("float")).cast("float"))
+
+
 # deep pixels
 
 
@@ -354,29 +362,34 @@ def rgba_deinterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BYTES = "WITH t AS ({source}), u AS (SELECT k, regexp_extract_all(hex(encode(t)), '..') AS v FROM t), c AS (SELECT k, unnest(v) AS h, generate_subscripts(v, 1) - 1 AS i, len(v) AS n FROM u), b AS (SELECT k, CAST('0x' || h AS INTEGER) AS b, i, n FROM c)"
 _DOC_BYTES = _BYTES.format(source="SELECT doc_id AS k, text AS t FROM documents")
 _PAGE_BYTES = _BYTES.format(source="SELECT page_id AS k, html AS t FROM pages")
-_HEX = "SELECT k AS {key}, coalesce(string_agg(printf('%02X', {value}), '' ORDER BY {order}), '') AS bytes FROM {rows} GROUP BY k"
+#: The bytes of each row of a table, null for null and nothing for an empty text.
+_HEX = "SELECT {key}, CASE WHEN {text} IS NOT NULL THEN coalesce(h.bytes, '') END AS bytes FROM {table} LEFT JOIN (SELECT k, string_agg(printf('%02X', {value}), '' ORDER BY {order}) AS bytes FROM {rows} GROUP BY k) h ON k = {key}"
+
+
+def _doc_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("b"))
 
 
-@query(_DOC_BYTES + ", d AS (SELECT k, i, CASE WHEN i = 0 THEN b ELSE (b - lag(b) OVER (PARTITION BY k ORDER BY i) + 384) % 256 END AS d FROM b) " + _HEX.format(key="doc_id", value="d", order="i", rows="d"))
+@query(_DOC_BYTES + ", d AS (SELECT k, i, CASE WHEN i = 0 THEN b ELSE (b - lag(b) OVER (PARTITION BY k ORDER BY i) + 384) % 256 END AS d FROM b) " + _HEX.format(key="doc_id", text="text", table="documents", value="d", order="i", rows="d"))
 def zip_predictor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", tables.byte_array(F.col("text")).alias("b")).select("doc_id", tables.hex_of(tables.predicted(F.col("b"))).alias("bytes"))
+    return _doc_bytes(spark, sf_dir).select("doc_id", F.hex(codecs.on_bytes(codecs.predict)("b")).alias("bytes"))
 
 
-@query(_DOC_BYTES + " " + _HEX.format(key="doc_id", value="b", order="i % 2, i", rows="b"))
+@query(_DOC_BYTES + " " + _HEX.format(key="doc_id", text="text", table="documents", value="b", order="i % 2, i", rows="b"))
 def zip_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", tables.byte_array(F.col("text")).alias("b")).select("doc_id", tables.hex_of(tables.interleaved(F.col("b"))).alias("bytes"))
+    return _doc_bytes(spark, sf_dir).select("doc_id", F.hex(codecs.on_bytes(codecs.interleave)("b")).alias("bytes"))
 
 
-@query("SELECT doc_id, hex(encode(text)) AS bytes FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, hex(encode(text)) AS bytes FROM documents")
 def zip_uninterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = _table(spark, sf_dir, "documents").where("length(text) > 0").select("doc_id", tables.interleaved(tables.byte_array(F.col("text"))).alias("b"))
-    return mixed.select("doc_id", tables.hex_of(tables.uninterleaved(F.col("b"))).alias("bytes"))
+    mixed = _doc_bytes(spark, sf_dir).select("doc_id", codecs.on_bytes(codecs.interleave)("b").alias("b"))
+    return mixed.select("doc_id", F.hex(codecs.on_bytes(codecs.uninterleave)("b")).alias("bytes"))
 
 
-@query("SELECT page_id, hex(encode(html)) AS bytes FROM pages WHERE length(html) > 0")
+@query("SELECT page_id, hex(encode(html)) AS bytes FROM pages")
 def zip_unpredictor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").where("length(html) > 0").select("page_id", tables.predicted(tables.byte_array(F.col("html"))).alias("d"))
-    return tables.unpredicted(pages, "page_id", "d").select("page_id", tables.hex_of(F.col("bytes")).alias("bytes"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", codecs.on_bytes(codecs.predict)(F.col("html").cast("binary")).alias("d"))
+    return pages.select("page_id", F.hex(codecs.on_bytes(codecs.unpredict)("d")).alias("bytes"))
 
 
 @query(
@@ -384,7 +397,33 @@ def zip_unpredictor(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT k AS page_id, CAST(min(i) AS INTEGER) AS start, count(*) AS length, b AS byte FROM r GROUP BY k, run, b HAVING count(*) >= 2"
 )
 def rle_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.byte_runs(_table(spark, sf_dir, "pages").select("page_id", tables.byte_array(F.col("html")).alias("b")), "page_id", "b")
+    found = _table(spark, sf_dir, "pages").select("page_id", F.explode(codecs.run_column()(F.col("html").cast("binary"))).alias("r"))
+    return found.select("page_id", "r.start", "r.length", "r.byte")
+
+
+def _coded(codec: str):
+    """Whether bytes survive a codec, and the bytes it takes, as a Column function."""
+
+    @F.arrow_udf("struct<same:boolean,shorter:boolean>")
+    def apply(x):
+        import pyarrow as pa
+
+        packed = [None if v is None else codecs.pack(v, codec) for v in x.to_pylist()]
+        same = [None if p is None else codecs.unpack(p, len(v), codec) == v for p, v in zip(packed, x.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array(same, pa.bool_()), pa.array([None if p is None else len(p) <= len(v) for p, v in zip(packed, x.to_pylist(), strict=True)], pa.bool_())], names=["same", "shorter"])
+
+    return apply
+
+
+@query("SELECT page_id, codec, CASE WHEN html IS NOT NULL THEN true END AS same, CASE WHEN html IS NOT NULL THEN true END AS shorter FROM pages, (VALUES ('NONE'), ('RLE'), ('ZIP'), ('ZIPS')) AS c(codec)")
+def codec_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page under every lossless byte codec: it comes back, and never takes more bytes than it has."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("b"))
+    out = None
+    for codec in ("NONE", "RLE", "ZIP", "ZIPS"):
+        own = pages.withColumn("r", _coded(codec)("b")).select("page_id", F.lit(codec).alias("codec"), "r.same", "r.shorter")
+        out = own if out is None else out.union(own)
+    return out
 
 
 @query('SELECT source, doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS size, CAST(coalesce(sum(octet_length(encode(text))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM documents')
@@ -547,8 +586,11 @@ def exr_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return known_queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return known_oracles()
+
+
+from . import catalog_files  # noqa: E402, F401  registers the queries on files

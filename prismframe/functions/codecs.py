@@ -10,9 +10,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from . import numeric
 
+#: Pairs of places in a block of 4 x 4 whose differences a packed block holds, in the order of its bits.
 _EDGES = ((0, 4), (4, 8), (8, 12), (0, 1), (4, 5), (8, 9), (12, 13), (1, 2), (5, 6), (9, 10), (13, 14), (2, 3), (6, 7), (10, 11), (14, 15))
 _RUN = re.compile(rb"(.)\1{1,127}", re.DOTALL)
 
@@ -48,6 +51,40 @@ def unpredict(data: bytes) -> bytes:
     return np.cumsum(x, dtype=np.uint8).tobytes()
 
 
+def runs(raw: bytes, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, byte) of the runs of at least `least` equal bytes."""
+    x = np.frombuffer(raw, np.uint8)
+    start = np.concatenate([[0], np.nonzero(np.diff(x))[0] + 1]) if len(x) else np.zeros(0, np.int64)
+    length = np.diff(np.append(start, len(x)))
+    long = length >= least
+    return start[long], length[long], x[start[long]]
+
+
+def on_bytes(kernel):
+    """A function of bytes as a Column function of BINARY values, a batch at a time; null stays null."""
+
+    @F.arrow_udf("binary")
+    def apply(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else kernel(v) for v in x.to_pylist()], pa.binary())
+
+    return apply
+
+
+def run_column():
+    """runs() as a Column function: array<struct<start int, length long, byte int>>; null stays null."""
+    kind = pa.struct([("start", pa.int32()), ("length", pa.int64()), ("byte", pa.int32())])
+
+    @F.arrow_udf("array<struct<start:int,length:bigint,byte:int>>")
+    def apply(x: pa.Array) -> pa.Array:
+        found = [runs(v or b"") for v in x.to_pylist()]
+        at = np.concatenate([[0], np.cumsum([len(f[0]) for f in found])])
+        columns = [np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i in range(3)]
+        values = pa.StructArray.from_arrays([pa.array(c.astype(np.int64)).cast(kind.field(i).type) for i, c in enumerate(columns)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(at, pa.int32()), values, mask=x.is_null() if x.null_count else None)
+
+    return apply
+
+
 def inflate(data: bytes, size: int) -> bytes:
     try:
         out = zlib.decompressobj().decompress(data, size + 1)

@@ -182,3 +182,15 @@ def linear_tables() -> tuple[np.ndarray, np.ndarray]:
     forward = np.where((code >= 0x558C) & (code < 0x8000), 0x7BFF, forward)
     back = np.where(code > 0x8000, 0, back)
     return np.where(special, 0, forward).astype(np.uint16), np.where(special, 0, back).astype(np.uint16)
+
+
+@F.arrow_udf(T.LongType())
+def half_kernel_code(x: pa.Array) -> pa.Array:
+    """to_half as a Column function."""
+    return _masked(to_half(_view(x.cast(pa.float32()), np.float32)).astype(np.int64), pa.int64(), x)
+
+
+@F.arrow_udf(T.FloatType())
+def half_kernel_value(x: pa.Array) -> pa.Array:
+    """from_half as a Column function."""
+    return _masked(from_half(_view(x, np.int64)), pa.float32(), x)

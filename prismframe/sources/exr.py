@@ -1,14 +1,19 @@
 """Raster files as relations: headers, attributes, channels, chunks, scanlines and pixels, and back to files.
 
-Files are read by Spark's binaryFile source, so any store that Spark reads will do. A file becomes a row per chunk; all
-further work is per chunk row, so one large file is decoded by many tasks. Filters and column choices are made before the
-chunks are decoded. Writing goes the other way: rows of samples are dealt to chunks, encoded, and joined for each file.
+read_chunks() plans byte ranges from the headers and offset tables alone, deals them to tasks, and each task reads and cuts its
+ranges, so one large file is read and decoded by many tasks. It opens files through Arrow's file systems. files() goes through
+Spark's binaryFile source instead, for any store that Spark reads: there a file is read by one task and must fit in a cell
+(2 GB), and chunks(..., spread=n) deals its chunks to further tasks for decoding. Filters and column choices come before decoding.
+
+Writing goes the other way: rows of samples are dealt to chunks and encoded by many tasks. write() then streams each file from
+its finished chunks, whose places follow from a running sum of their sizes; encode() makes small files as rows (path, content).
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
 import numpy as np
@@ -18,11 +23,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.numeric import preview_quantise
+from ..operators.tables import running_offsets
+from ..plans.lineage import cut
 from . import layout
 from .layout import Channel, InvalidData, Part, Unsupported
 
 EXTENSION = "exr"
-#: Readers by name, as (many parts, kinds, level modes) that each accepts.
+#: Readers by name, as (many parts, kinds, level modes) that each accepts. "single" gives level (0, 0) only, and
+#: the readers of deep tiles, but for "mixed" and "any", refuse levels that are rounded up.
 _FLAT, _DEEP = ("scanlineimage", "tiledimage"), ("deepscanline", "deeptile")
 ENTRIES = {
     "single": (False, _FLAT, (0, 1, 2)), "tiled_multilevel": (False, ("tiledimage",), (0, 1, 2)), "multipart": (True, ("scanlineimage",), (0,)), "multipart_tiled": (True, ("tiledimage",), (0,)),
@@ -35,6 +43,7 @@ _VALUE = "ints array<long>, floats array<double>, string string, strings array<s
 ATTRIBUTES = f"path string, version long, part_no int, attr_idx int, name string, type_name string, {_VALUE}"
 PARTS = "path string, version long, part_no int, name string, kind string, codec string, width long, height long, x0 int, y0 int, tile_x long, tile_y long, mode int, up boolean, chunks long"
 CHANNELS = "path string, part_no int, ch_idx int, name string, pixel_type string, p_linear boolean, x_sampling int, y_sampling int"
+SPLITS = "path string, length long, start long, stop long, part_nos array<int>, chunk_idxs array<int>, offsets array<long>"
 CHUNKS = "path string, part string, part_no int, chunk_idx int, y int, tx int, ty int, lvl_x int, lvl_y int, table_size long, unpacked_size long, payload binary"
 LINES = "path string, part_no int, lvl_x int, lvl_y int, channel string, y int, x0 int, counts array<int>, starts array<int>, samples array<float>"
 
@@ -51,7 +60,7 @@ def _names(schema: str) -> list[str]:
 _ARROW = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
 
-def _arrow(schema: str) -> pa.Schema:
+def arrow_schema(schema: str) -> pa.Schema:
     """The Arrow schema of a DDL string of the types used here."""
     out = []
     for field in schema.split(", "):
@@ -60,15 +69,21 @@ def _arrow(schema: str) -> pa.Schema:
     return pa.schema(out)
 
 
-def _rows(schema: str, make) -> object:
-    """A mapInArrow function that turns (path, content) into rows (dicts) of a schema."""
+def _rows(schema: str, make: Callable[[bytes], Iterator[dict]], batch_bytes: int = 8 << 20) -> Callable:
+    """A mapInArrow function that turns (path, content) into rows (dicts) of a schema, in batches of about batch_bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows = [{"path": path} | r for r in make(content)]
+            for i in range(batch.num_rows):
+                path, content, rows, size = batch.column("path")[i].as_py(), batch.column("content")[i].as_py(), [], 0
+                for r in make(content):
+                    rows.append({"path": path} | r)
+                    size += 256 + len(r.get("payload") or b"")
+                    if size > batch_bytes:
+                        yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(schema))
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=_arrow(schema))
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(schema))
 
     return work
 
@@ -79,24 +94,36 @@ def _part_json(part: Part) -> str:
 
 def _part(text: str) -> Part:
     d = json.loads(text)
-    return Part(**{**d, "channels": [Channel(**c) for c in d["channels"]], "tile": tuple(d["tile"])})
+    return Part(**{**d, "channels": [Channel(**c) for c in d["channels"]], "tile": tuple(d["tile"]), "extra": [tuple(x) for x in d["extra"]]})
 
 
-def attributes(found: DataFrame) -> DataFrame:
-    """Every attribute of every part, in order; found has path and content."""
+class _Parts(dict):
+    """Parts by their text, each made once a task."""
+
+    def __missing__(self, text: str) -> Part:
+        out = self[text] = _part(text)
+        return out
+
+
+def _attribute_rows(content: bytes) -> list[dict]:
+    version, parts, _ = layout.decode_header(content)
+    return [{"version": version, "part_no": no, "attr_idx": i, "name": n, "type_name": k, "raw": d} | layout.decode_value(k, d) for no, own in enumerate(parts) for i, (n, k, d) in enumerate(own)]
+
+
+def attribute_batches(path: str, content: bytes) -> Iterator[pa.RecordBatch]:
+    yield pa.RecordBatch.from_pylist([{"path": path} | r for r in _attribute_rows(content)], schema=arrow_schema(ATTRIBUTES))
 
-    def make(content: bytes) -> list[dict]:
-        version, parts, _ = layout.decode_header(content)
-        return [{"version": version, "part_no": no, "attr_idx": i, "name": n, "type_name": k, "raw": d} | layout.decode_value(k, d) for no, own in enumerate(parts) for i, (n, k, d) in enumerate(own)]
 
-    return found.mapInArrow(_rows(ATTRIBUTES, make), ATTRIBUTES)
+def attributes(found: DataFrame) -> DataFrame:
+    """Every attribute of every part, in order; found has path and content, of which the headers suffice."""
+    return found.mapInArrow(_rows(ATTRIBUTES, _attribute_rows), ATTRIBUTES)
 
 
 def parts(found: DataFrame) -> DataFrame:
     def make(content: bytes) -> list[dict]:
         version, headers, _ = layout.decode_header(content)
         told = [layout.part_of(version, h)[0] for h in headers]
-        return [{"version": version, "part_no": no, "tile_x": p.tile[0] if p.tiled else None, "tile_y": p.tile[1] if p.tiled else None, "chunks": len(p.chunks())} | {k: getattr(p, k) for k in ("name", "kind", "codec", "width", "height", "x0", "y0", "mode", "up")} for no, p in enumerate(told)]
+        return [{"version": version, "part_no": no, "tile_x": p.tile[0] if p.tiled else None, "tile_y": p.tile[1] if p.tiled else None, "chunks": p.count} | {k: getattr(p, k) for k in ("name", "kind", "codec", "width", "height", "x0", "y0", "mode", "up")} for no, p in enumerate(told)]
 
     return found.mapInArrow(_rows(PARTS, make), PARTS)
 
@@ -112,18 +139,141 @@ def channels(found: DataFrame) -> DataFrame:
     return found.mapInArrow(_rows(CHANNELS, make), CHANNELS)
 
 
-def chunks(found: DataFrame, entry: str = "any") -> DataFrame:
-    """A row for each chunk with its packed payload. entry: refuse files that the reader of this name refuses."""
+def _guard(version: int, told: list[Part], entry: str) -> None:
     many, kinds, modes = ENTRIES[entry]
+    wrong = any(p.kind not in kinds or p.tiled and p.mode not in modes or p.up and p.deep and entry not in ("mixed", "any") for p in told)
+    if wrong or many is not None and many != bool(version & layout.MULTIPART):
+        raise Unsupported(f"the reader {entry} does not read this kind of file")
 
-    def make(content: bytes) -> list[dict]:
+
+def _first_level(packed: DataFrame, entry: str) -> DataFrame:
+    return packed.where("lvl_x = 0 AND lvl_y = 0") if entry == "single" else packed
+
+
+def chunks(found: DataFrame, entry: str = "any", spread: int | None = None) -> DataFrame:
+    """A row for each chunk with its packed payload; found has path and content.
+
+    entry: refuse files that the reader of this name refuses. spread: deal the chunks to so many tasks.
+    """
+
+    def make(content: bytes) -> Iterator[dict]:
         version, headers, _ = layout.decode_header(content)
         told = [layout.part_of(version, h)[0] for h in headers]
-        if many is not None and many != bool(version & layout.MULTIPART) or any(p.kind not in kinds or p.tiled and p.mode not in modes for p in told):
-            raise Unsupported(f"the reader {entry} does not read this kind of file")
-        return [{"part": _part_json(told[r["part_no"]])} | r for r in layout.walk_chunks(content)]
+        _guard(version, told, entry)
+        texts = [_part_json(p) for p in told]
+        return ({"part": texts[r["part_no"]]} | r for r in layout.walk_chunks(content))
+
+    packed = _first_level(found.mapInArrow(_rows(CHUNKS, make), CHUNKS), entry)
+    return packed if spread is None else packed.repartition(spread, "path", "part_no", "chunk_idx")
+
+
+def open_file(path: str):
+    """A file of a path or URI for reading in ranges."""
+    from pyarrow import fs
+
+    system, place = fs.FileSystem.from_uri(path)
+    return system.open_input_file(place)
+
+
+def range_reader(f) -> Callable[[int, int], bytes]:
+    return lambda at, n: f.read_at(n, at)
+
+
+def listed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, length) of the files under path; no file is opened."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{EXTENSION}").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", "length")
+
+
+def heads(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, content) for attributes(), parts() and channels(): of each file only what holds its headers."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                with open_file(path) as f:
+                    at = layout.plan_by_ranges(range_reader(f), length).at
+                    yield pa.RecordBatch.from_pydict({"path": [path], "content": [f.read_at(at, 0)]}, schema=arrow_schema("path string, content binary"))
+
+    return listed(spark, path).mapInArrow(read, "path string, content binary")
+
+
+def file_splits(f, path: str, length: int, split_bytes: int) -> list[dict]:
+    """Rows of SPLITS of an open file."""
+    plan = layout.plan_by_ranges(range_reader(f), length)
+    placed = plan.offsets(f.read_at(8 * sum(plan.counts), plan.at), length)
+    ends, rows, first = [*[x[2] for x in placed[1:]], length], [], 0
+    for i in range(len(placed)):
+        if i + 1 == len(placed) or ends[i + 1] - placed[first][2] > split_bytes:
+            nos, idxs, offsets = zip(*placed[first : i + 1], strict=True)
+            rows.append({"path": path, "length": length, "start": offsets[0], "stop": ends[i], "part_nos": nos, "chunk_idxs": idxs, "offsets": offsets})
+            first = i + 1
+    return rows
 
-    return found.mapInArrow(_rows(CHUNKS, make), CHUNKS)
+
+def splits(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> DataFrame:
+    """Rows of SPLITS: runs of neighbouring chunks of about split_bytes, from headers and offset tables alone."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
+                with open_file(path) as f:
+                    rows = file_splits(f, path, length, split_bytes)
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(SPLITS))
+
+    return listed(spark, path).mapInArrow(split, SPLITS)
+
+
+def range_batches(batches: Iterator[pa.RecordBatch], entry: str) -> Iterator[pa.RecordBatch]:
+    """Batches of SPLITS to batches of CHUNKS; a task holds one range at a time."""
+    last, plan, texts = None, None, []
+    for batch in batches:
+        for s in batch.to_pylist():
+            if not 0 <= s["start"] <= s["stop"] <= s["length"]:
+                raise InvalidData(f"a chunk outside {s['path']}")
+            with open_file(s["path"]) as f:
+                if s["path"] != last:
+                    last, plan = s["path"], layout.plan_by_ranges(range_reader(f), s["length"])
+                    _guard(plan.version, plan.parts, entry)
+                    texts = [_part_json(p) for p in plan.parts]
+                data = f.read_at(s["stop"] - s["start"], s["start"])
+            rows = []
+            for no, idx, at in zip(s["part_nos"], s["chunk_idxs"], s["offsets"], strict=True):
+                row, _ = plan.chunk(data, at - s["start"])
+                if row["part_no"] != no:
+                    raise InvalidData(f"a chunk of part {row['part_no']} in the table of part {no}")
+                rows.append({"path": s["path"], "part": texts[no], "chunk_idx": idx} | row)
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(CHUNKS))
+
+
+def read_chunks(spark: SparkSession, path: str, entry: str = "any", split_bytes: int = 4 << 20, tasks: int | None = None) -> DataFrame:
+    """Rows as chunks() gives them, for the files under path, each file in many tasks."""
+    found = splits(spark, path, split_bytes)
+    dealt = found.repartition("path", "start") if tasks is None else found.repartition(tasks, "path", "start")
+    return _first_level(dealt.mapInArrow(lambda batches: range_batches(batches, entry), CHUNKS), entry)
+
+
+def incomplete(packed: DataFrame) -> DataFrame:
+    """path, part_no, chunks, places, expected of the parts whose chunks do not cover each place once."""
+    expected = F.udf(lambda text: _part(text).count, "long")
+    place = F.struct("lvl_x", "lvl_y", "tx", "ty")
+    found = packed.groupBy("path", "part_no", "part").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct(place).alias("places"))
+    return found.withColumn("expected", expected("part")).where("chunks <> expected OR places <> expected").drop("part")
+
+
+def line_batches(batches: Iterator[pa.RecordBatch], only: list[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """Batches of CHUNKS to batches of LINES, one a chunk."""
+    known = _Parts()
+    for batch in batches:
+        for i in range(batch.num_rows):
+            r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+            found = [x for x in layout.decode_chunk(known[r["part"]], r) if only is None or x[0] in only]
+            if found:
+                own = {k: [r[k]] * len(found) for k in ("path", "part_no", "lvl_x", "lvl_y")}
+                columns = own | dict(zip(("channel", "y", "x0", "counts", "samples"), zip(*found, strict=True), strict=True))
+                columns["starts"] = [None if c is None else [0, *np.cumsum(c)[:-1].tolist()] for c in columns["counts"]]
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, arrow_schema(LINES).field(k).type) for k, v in columns.items()}, schema=arrow_schema(LINES))
 
 
 def lines(packed: DataFrame, only: list[str] | None = None) -> DataFrame:
@@ -131,18 +281,7 @@ def lines(packed: DataFrame, only: list[str] | None = None) -> DataFrame:
 
     Choose levels, parts or rows with a filter on packed before this; only: channels to keep.
     """
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                found = [x for x in layout.decode_chunk(_part(r["part"]), r) if only is None or x[0] in only]
-                if found:
-                    own = {k: [r[k]] * len(found) for k in ("path", "part_no", "lvl_x", "lvl_y")}
-                    columns = own | dict(zip(("channel", "y", "x0", "counts", "samples"), zip(*found, strict=True), strict=True))
-                    columns["starts"] = [None if c is None else [0, *np.cumsum(c)[:-1].tolist()] for c in columns["counts"]]
-                    yield pa.RecordBatch.from_pydict({k: pa.array(v, _arrow(LINES).field(k).type) for k, v in columns.items()}, schema=_arrow(LINES))
-
-    return packed.mapInArrow(work, LINES)
+    return packed.mapInArrow(lambda batches: line_batches(batches, only), LINES)
 
 
 def pixels(rows: DataFrame) -> DataFrame:
@@ -175,13 +314,32 @@ def _tile_columns(spec: list[Part], name: str) -> Column:
     return F.element_at(F.array(*[F.lit(value(p)) for p in spec]), F.col("part_no") + 1)
 
 
-def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
-    """Rows (path, content): a file for each path of rows, with the parts of spec.
+def rgba_planes(rows: DataFrame) -> DataFrame:
+    """Rows for encode() from rows with interleaved samples r, g, b, a, r, ...: one for each of the channels A, B, G, R.
+
+    A row whose samples are no whole number of pixels is an error. Other columns are kept; missing keys of levels and parts are 0.
+    """
+    pixels = F.floor(F.size("samples") / 4).cast("int")
+    checked = rows.withColumn("samples", F.when(F.assert_true(F.size("samples") % 4 == 0, "samples that are no whole pixels").isNull(), F.col("samples")))
+    plane = lambda k: F.transform(F.slice(F.sequence(F.lit(0), pixels), F.lit(1), pixels), lambda i: F.get("samples", 4 * i + k))
+    named = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), plane(k).alias("samples")) for k, c in ((3, "A"), (2, "B"), (1, "G"), (0, "R"))])).alias("_p")
+    keys = ("part_no", "lvl_x", "lvl_y")
+    rest = [c for c in rows.columns if c not in ("samples", *keys)]
+    own = [F.col(c) if c in rows.columns else F.lit(0).alias(c) for c in keys]
+    return checked.select(*rest, *own, named).select(*rest, *keys, "_p.channel", "_p.samples", F.lit(None).cast("array<int>").alias("counts"))
+
+
+BODIES = "path string, part_no int, at int, place int, body binary, most int"
+
+
+def encode_chunks(rows: DataFrame, spec: list[Part]) -> DataFrame:
+    """Rows of BODIES: the chunks of a file for each path of rows, with the parts of spec.
 
     rows has path, part_no, lvl_x, lvl_y, channel, y, samples, counts: a whole row of a channel, and for deep parts the
     number of samples of each pixel (null for flat ones). Missing rows are an error. Rows are cut at tile borders, and a chunk,
-    which has a bounded size, is encoded in one task; only the finished chunks of a file meet.
+    which has a bounded size, is encoded in one task. place: the chunk's number in the order in which chunks lie in the part.
     """
+    layout.check_parts(spec)
     text = json.dumps([_part_json(p) for p in spec])
     tx, ty = _tile_columns(spec, "tile_x"), _tile_columns(spec, "tile_y")
     length = F.when(F.col("counts").isNull(), F.size("samples")).otherwise(F.size("counts"))
@@ -199,20 +357,26 @@ def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told = [_part(x) for x in json.loads(text)]
-        place = [{c: i for i, c in enumerate(p.chunks())} for p in told]
+        number = [{c: i for i, c in enumerate(p.chunks())} for p in told]
         for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("path", "part_no", "at", "body", "most")}
+            out: dict[str, list] = {k: [] for k in _names(BODIES)}
             for r in batch.to_pylist():
-                key = (r["tx"], r["ty"], r["lvl_x"], r["lvl_y"])
-                if key not in place[r["part_no"]]:
-                    raise InvalidData(f"rows outside part {r['part_no']}: {key}")
+                no, key = r["part_no"], (r["tx"], r["ty"], r["lvl_x"], r["lvl_y"])
+                if key not in number[no]:
+                    raise InvalidData(f"rows outside part {no}: {key}")
                 have = {(x["channel"], x["y"]): (np.array(x["samples"], dtype=np.float32), x["counts"]) for x in r["lines"]}
-                body, most = layout.encode_chunk(told[r["part_no"]], *key, have)
-                for k, v in (("path", r["path"]), ("part_no", r["part_no"]), ("at", place[r["part_no"]][key]), ("body", body), ("most", most)):
+                body, most = layout.encode_chunk(told[no], *key, have)
+                at = number[no][key]
+                for k, v in zip(out, (r["path"], no, at, layout.laid(told[no], at), body, most), strict=True):
                     out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=_arrow("path string, part_no int, at int, body binary, most int"))
+            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema(BODIES))
+
+    return blocks.mapInArrow(pack, BODIES)
 
-    done = blocks.mapInArrow(pack, "path string, part_no int, at int, body binary, most int")
+
+def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
+    """Rows (path, content): small files (under 2 GB, each made in one task) from rows as encode_chunks() takes them."""
+    text, done = json.dumps([_part_json(p) for p in spec]), encode_chunks(rows, spec)
     whole = done.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part_no", "at", "body", "most"))).alias("chunks"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +384,72 @@ def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 found = r["chunks"]
-                if len(found) != sum(len(p.chunks()) for p in told):
-                    raise InvalidData(f"{len(found)} chunks for {r['path']}")
                 most = [max((c["most"] for c in found if c["part_no"] == no), default=0) for no in range(len(told))]
                 content = layout.encode_file(told, [(c["part_no"], c["body"]) for c in found], most)
-                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "content": [content]}, schema=_arrow("path string, content binary"))
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "content": [content]}, schema=arrow_schema("path string, content binary"))
 
     return whole.mapInArrow(join, "path string, content binary")
+
+
+WRITTEN = "path string, file string, bytes long"
+
+
+def write(rows: DataFrame, spec: list[Part], folder: str) -> DataFrame:
+    """Write a file folder/path.exr for each path of rows, and give rows (path, file, bytes). rows as for encode_chunks().
+
+    The chunks are encoded by many tasks and written down once. A running sum of
+    their sizes places them, and one task a file streams headers, offset table and chunks, a batch at a time, under a name of its
+    own that is then moved over, so a task that is run again does no harm.
+    """
+    text, many = json.dumps([_part_json(p) for p in spec]), len(spec) > 1 or bool(spec[0].name)
+    base = len(layout.encode_headers(spec, [0] * len(spec))) + 8 * sum(p.count for p in spec)
+    counts = [p.count for p in spec]
+    first = F.element_at(F.array(*[F.lit(sum(counts[:no])) for no in range(len(spec))]), F.col("part_no") + 1)
+    bodies = cut(encode_chunks(rows, spec))
+    sized = bodies.select("path", "part_no", (first + F.col("at")).alias("number"), (first + F.col("place")).alias("nth"), (F.octet_length("body") + F.lit(4 * many)).cast("long").alias("size"), "most")
+    placed = running_offsets(sized, ["path"], "nth", "size").select("path", "part_no", "number", (F.col("offset") + base).alias("offset"), "most")
+    most = F.greatest(F.col("most"), F.lit(0))
+    tops = placed.groupBy("path").agg(F.array(*[F.max(F.when(F.col("part_no") == no, most)) for no in range(len(spec))]).alias("tops"), F.count(F.lit(1)).alias("n"))
+    none = lambda kind: F.lit(None).cast(kind)
+    # 0: headers, 1: offsets in order of number, 2: chunks in order of place
+    parts_of_file = (
+        tops.select("path", F.lit(0).alias("step"), F.lit(0).alias("nth"), none("int").alias("part_no"), "n", "tops", none("binary").alias("body"))
+        .union(placed.select("path", F.lit(1), "number", none("int"), F.col("offset"), none("array<int>"), none("binary")))
+        .union(bodies.select("path", F.lit(2), first + F.col("place"), "part_no", none("long"), none("array<int>"), "body"))
+    )
+    ordered = parts_of_file.repartition("path").sortWithinPartitions("path", "step", "nth")
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        told = [_part(x) for x in json.loads(text)]
+        system, root = fs.FileSystem.from_uri(folder)
+        system.create_dir(root, recursive=True)
+        path = out = None
+        draft = f"{root}/_draft-{uuid.uuid4().hex}"
+
+        def close() -> pa.RecordBatch:
+            size, name = out.tell(), f"{root}/{path}.{EXTENSION}"
+            out.close()
+            system.move(draft, name)
+            return pa.RecordBatch.from_pydict({"path": [path], "file": [name], "bytes": [size]}, schema=arrow_schema(WRITTEN))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
+                if r["path"] != path:
+                    if out is not None:
+                        yield close()
+                    path, out = r["path"], system.open_output_stream(draft)
+                if r["step"] == 0:
+                    if r["n"] != sum(p.count for p in told):
+                        raise InvalidData(f"{r['n']} chunks for {path}")
+                    out.write(layout.encode_headers(told, [n or 0 for n in r["tops"]]))
+                elif r["step"] == 1:
+                    out.write(int(r["n"]).to_bytes(8, "little"))
+                else:
+                    out.write((r["part_no"].to_bytes(4, "little") if many else b"") + r["body"])
+        if out is not None:
+            yield close()
+
+    return ordered.mapInArrow(stitch, WRITTEN)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 
@@ -95,7 +97,12 @@ def decode_channels(data: bytes) -> list[Channel]:
 
 @dataclass
 class Part:
-    """A part of a file. kind is a key of KINDS; tile and mode count for tiled kinds; y0 and x0 are the window's origin."""
+    """A part of a file. kind is a key of KINDS; tile and mode count for tiled kinds; y0 and x0 are the window's origin.
+
+    display: the display window (x0, y0, x1, y1), or else the data window, or in a file of many parts the one around all of them.
+    line_order 1 lays the chunks of a part without tiles down from the last to the first. extra: more attributes (name, type,
+    value), which replace those of the same name.
+    """
 
     width: int
     height: int
@@ -108,6 +115,11 @@ class Part:
     up: bool = False
     x0: int = 0
     y0: int = 0
+    display: tuple[int, int, int, int] | None = None
+    line_order: int = 0
+    aspect: float = 1.0
+    center: tuple[float, float] = (0.0, 0.0)
+    screen_width: float = 1.0
     extra: list[tuple[str, str, object]] = field(default_factory=list)
 
     @property
@@ -128,6 +140,18 @@ class Part:
             return geometry.tiles(self.width, self.height, *self.tile, self.mode, self.up)
         return [(0, ty, 0, 0) for ty in range(-(-self.height // self.rows))]
 
+    @cached_property
+    def grids(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Chunks across and down of each level."""
+        tw, th = self.tile if self.tiled else (self.width, self.rows)
+        found = geometry.levels(self.width, self.height, self.mode, self.up) if self.tiled else [(0, 0)]
+        extent = geometry.level_extent
+        return {(lx, ly): (-(-extent(self.width, lx, self.up) // tw), -(-extent(self.height, ly, self.up) // th)) for lx, ly in found}
+
+    @property
+    def count(self) -> int:
+        return sum(w * h for w, h in self.grids.values())
+
     def box(self, tx: int, ty: int, lx: int, ly: int) -> tuple[int, int, int, int]:
         """(x, y, width, height) of a chunk within its level."""
         w, h = geometry.level_extent(self.width, lx, self.up), geometry.level_extent(self.height, ly, self.up)
@@ -211,34 +235,36 @@ def part_of(version: int, attributes: list[tuple[str, str, bytes]]) -> tuple[Par
     return part, count if count >= 0 else None
 
 
-def walk_chunks(data: bytes) -> list[dict]:
-    """The chunks of a file: part_no, chunk_idx, y, tx, ty, lvl_x, lvl_y, table_size, unpacked_size and payload.
+@dataclass
+class Plan:
+    """What the headers of a file tell: version, parts, chunks of each part, and where the offset tables begin."""
 
-    A file of one part is read by its offset table, one of many parts from chunk to chunk.
-    """
-    version, headers, at = decode_header(data)
-    parts = [part_of(version, h) for h in headers]
-    many, counts = bool(version & MULTIPART), []
-    for part, count in parts:
-        n = -(-part.height // part.rows) if not part.tiled and not part.deep else len(part.chunks()) if part.width * part.height <= 4 * len(data) * 65536 else -1
-        if count is not None and count != n and (part.deep or part.tiled):
-            raise InvalidData(f"chunkCount {count} where there are {n} chunks")
-        counts.append(n if count is None else count)
-        if counts[-1] < 0 or at + 8 * counts[-1] > len(data):
-            raise InvalidData("the offset table is cut off")
-    offsets = None if many else struct.unpack_from(f"<{counts[0]}Q", data, at)
-    at += 8 * sum(counts)
-    out, seen = [], [0] * len(parts)
-    for i in range(sum(counts)):
-        at = at if offsets is None else offsets[i]
-        no, extra = (struct.unpack_from("<i", data, at)[0], 4) if many and at + 4 <= len(data) else (0, 4 * many)
-        if not 0 <= no < len(parts):
+    version: int
+    parts: list[Part]
+    counts: list[int]
+    at: int
+
+    @property
+    def many(self) -> bool:
+        return bool(self.version & MULTIPART)
+
+    def offsets(self, tables: bytes, length: int) -> list[tuple[int, int, int]]:
+        """(part, number, offset) of each chunk from the bytes of all offset tables, in the order of a file of so many bytes."""
+        flat = struct.unpack_from(f"<{sum(self.counts)}Q", tables)
+        if any(not self.at <= x < length for x in flat):
+            raise InvalidData("an offset outside the file")
+        named = [(no, i) for no, n in enumerate(self.counts) for i in range(n)]
+        return sorted(((no, i, at) for (no, i), at in zip(named, flat, strict=True)), key=lambda x: x[2])
+
+    def chunk(self, data: bytes, at: int) -> tuple[dict, int]:
+        """A chunk's row without chunk_idx, and the place after it."""
+        no, extra = (struct.unpack_from("<i", data, at)[0], 4) if self.many and at + 4 <= len(data) else (0, 4 * self.many)
+        if not 0 <= no < len(self.parts):
             raise InvalidData(f"chunk of part {no}")
-        part = parts[no][0]
+        part = self.parts[no]
         if at + extra + KINDS[part.kind] > len(data):
             raise InvalidData("a chunk header is cut off")
-        row = {"part_no": no, "chunk_idx": seen[no], "y": 0, "tx": 0, "ty": 0, "lvl_x": 0, "lvl_y": 0, "table_size": 0, "unpacked_size": 0}
-        seen[no] += 1
+        row = {"part_no": no, "y": 0, "tx": 0, "ty": 0, "lvl_x": 0, "lvl_y": 0, "table_size": 0, "unpacked_size": 0}
         p = at + extra
         if part.tiled:
             row["tx"], row["ty"], row["lvl_x"], row["lvl_y"] = struct.unpack_from("<4i", data, p)
@@ -254,16 +280,60 @@ def walk_chunks(data: bytes) -> list[dict]:
             size, p = size + row["table_size"], p + 24
         else:
             size, p = struct.unpack_from("<i", data, p)[0], p + 4
-        lx, ly = row["lvl_x"], row["lvl_y"]
-        if (lx, ly) not in geometry.levels(part.width, part.height, part.mode, part.up) or min(part.box(row["tx"], row["ty"], lx, ly)) < 0 or 0 in part.box(row["tx"], row["ty"], lx, ly)[2:]:
+        across, down = part.grids.get((row["lvl_x"], row["lvl_y"]), (0, 0))
+        if not (0 <= row["tx"] < across and 0 <= row["ty"] < down):
             raise InvalidData(f"a chunk outside its part: {row}")
         if size < 0 or p + size > len(data):
             raise InvalidData("a chunk is cut off")
-        out.append(row | {"payload": data[p : p + size]})
-        at = p + size
-    for no, (part, _) in enumerate(parts):
-        own = [(r["tx"], r["ty"], r["lvl_x"], r["lvl_y"]) for r in out if r["part_no"] == no]
-        if part.deep and (len(set(own)) < len(own) or len(own) < len(part.chunks())):
+        return row | {"payload": data[p : p + size]}, p + size
+
+
+def plan_of(head: bytes, length: int) -> Plan:
+    """The plan of a file of so many bytes from its first ones, which hold all headers."""
+    version, headers, at = decode_header(head)
+    told = [part_of(version, h) for h in headers]
+    counts = []
+    for part, count in told:
+        n = part.count if part.width * part.height <= 4 * length * 65536 else -1
+        if count is not None and count != n and (part.deep or part.tiled):
+            raise InvalidData(f"chunkCount {count} where there are {n} chunks")
+        counts.append(n if count is None else count)
+        if counts[-1] < 0 or at + 8 * counts[-1] > length:
+            raise InvalidData("the offset table is cut off")
+    if at + 8 * sum(counts) > length:
+        raise InvalidData("the offset tables are cut off")
+    return Plan(version, [p for p, _ in told], counts, at)
+
+
+def plan_by_ranges(read: Callable[[int, int], bytes], length: int, first: int = 65536) -> Plan:
+    """The plan of a file from reads (place, bytes) of no more than its headers take, doubled until they are whole."""
+    n = min(first, length)
+    while True:
+        try:
+            return plan_of(read(0, n), length)
+        except InvalidData:
+            if n >= length:
+                raise
+            n = min(2 * n, length)
+
+
+def walk_chunks(data: bytes) -> list[dict]:
+    """The chunks of a file: part_no, chunk_idx, y, tx, ty, lvl_x, lvl_y, table_size, unpacked_size and payload.
+
+    A file of one part is read by its offset table, one of many parts from chunk to chunk.
+    """
+    plan = plan_of(data, len(data))
+    offsets = None if plan.many else struct.unpack_from(f"<{plan.counts[0]}Q", data, plan.at)
+    at, out, seen = plan.at + 8 * sum(plan.counts), [], [0] * len(plan.parts)
+    for i in range(sum(plan.counts)):
+        row, at = plan.chunk(data, at if offsets is None else offsets[i])
+        out.append(row | {"chunk_idx": seen[row["part_no"]]})
+        seen[row["part_no"]] += 1
+    places: list[list] = [[] for _ in plan.parts]
+    for r in out:
+        places[r["part_no"]].append((r["tx"], r["ty"], r["lvl_x"], r["lvl_y"]))
+    for part, own in zip(plan.parts, places, strict=True):
+        if part.deep and (len(set(own)) < len(own) or len(own) < part.count):
             raise InvalidData("a deep chunk twice or missing")
     return out
 
@@ -364,35 +434,57 @@ def encode_chunk(part: Part, tx: int, ty: int, lx: int, ly: int, lines: dict[tup
     return head + struct.pack("<i", len(body)) + body, 0
 
 
-def encode_file(parts: list[Part], chunks: list[tuple[int, bytes]], most_samples: list[int]) -> bytes:
-    """A whole file from its chunks (part, bytes) in order."""
+def check_parts(parts: list[Part]) -> None:
     many = len(parts) > 1 or bool(parts[0].name)
     names = [p.name for p in parts]
     if many and (len(set(names)) < len(names) or not all(names)):
         raise InvalidData("part names must be unique and not empty")
     if any(c.name >= d.name for p in parts for c, d in zip(p.channels, p.channels[1:])):
         raise InvalidData("channels must be in order of name, without repeats")
+
+
+def encode_headers(parts: list[Part], most_samples: list[int]) -> bytes:
+    """All that comes before the offset tables."""
+    check_parts(parts)
+    many = len(parts) > 1 or bool(parts[0].name)
     version = 2 | (MULTIPART if many else 0) | (NON_IMAGE if any(p.deep for p in parts) else 0) | (SINGLE_TILE if not many and parts[0].kind == "tiledimage" else 0)
-    wide, high = max(p.width for p in parts), max(p.height for p in parts)
+    around = (0, 0, max(p.width for p in parts) - 1, max(p.height for p in parts) - 1)
     out = struct.pack("<II", MAGIC, version)
     for no, p in enumerate(parts):
         code = next(k for k, (name, _) in geometry.COMPRESSIONS.items() if name == p.codec)
         window = (p.x0, p.y0, p.x0 + p.width - 1, p.y0 + p.height - 1)
-        a = [("channels", "chlist", p.channels), ("compression", "compression", code), ("dataWindow", "box2i", window), ("displayWindow", "box2i", (0, 0, wide - 1, high - 1) if many else window)]
-        a += [("lineOrder", "lineOrder", 0), ("pixelAspectRatio", "float", 1.0), ("screenWindowCenter", "v2f", (0.0, 0.0)), ("screenWindowWidth", "float", 1.0), *p.extra]
+        a = [("channels", "chlist", p.channels), ("compression", "compression", code), ("dataWindow", "box2i", window), ("displayWindow", "box2i", p.display or (around if many else window))]
+        a += [("lineOrder", "lineOrder", p.line_order), ("pixelAspectRatio", "float", p.aspect), ("screenWindowCenter", "v2f", p.center), ("screenWindowWidth", "float", p.screen_width)]
         if many or p.deep:
-            a += [("chunkCount", "int", sum(n == no for n, _ in chunks)), ("type", "string", p.kind)]
+            a += [("chunkCount", "int", p.count), ("type", "string", p.kind)]
         if many:
             a.append(("name", "string", p.name))
         if p.deep:
             a += [("maxSamplesPerPixel", "int", most_samples[no]), ("version", "int", 1)]
         if p.tiled:
             a.append(("tiles", "tiledesc", (*p.tile, p.mode | p.up << 4)))
-        for name, kind, value in sorted(a, key=lambda x: x[0]):
+        named = {x[0]: x for x in [*a, *p.extra]}
+        for name, kind, value in (named[k] for k in sorted(named)):
             data = encode_value(kind, value)
             out += name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(data)) + data
         out += b"\0"
-    out += b"\0" * many
+    return out + b"\0" * many
+
+
+def laid(part: Part, at: int) -> int:
+    """Where chunk number at lies among the chunks of its part in the file."""
+    return part.count - 1 - at if part.line_order == 1 and not part.tiled else at
+
+
+def encode_file(parts: list[Part], chunks: list[tuple[int, bytes]], most_samples: list[int]) -> bytes:
+    """A whole file from all its chunks (part, bytes) in order of part and number."""
+    many, head = len(parts) > 1 or bool(parts[0].name), encode_headers(parts, most_samples)
+    if [sum(no == n for n, _ in chunks) for no in range(len(parts))] != [p.count for p in parts]:
+        raise InvalidData("chunks missing or too many")
     whole = [struct.pack("<i", no) * many + body for no, body in chunks]
-    at = np.cumsum([len(out) + 8 * len(whole), *[len(c) for c in whole]])[:-1]
-    return out + at.astype("<u8").tobytes() + b"".join(whole)
+    first = np.cumsum([0, *[p.count for p in parts]])
+    order = [first[no] + i for no, p in enumerate(parts) for i in sorted(range(p.count), key=lambda i: laid(p, i))]  # noqa: B023  used at once
+    at, place = np.zeros(len(whole), np.int64), len(head) + 8 * len(whole)
+    for i in order:
+        at[i], place = place, place + len(whole[i])
+    return head + at.astype("<u8").tobytes() + b"".join(whole[i] for i in order)
