@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_skewed, settle
 
 MOST_ROUNDS = 40
 
 
 def _minimum(edges: DataFrame) -> DataFrame:
-    """For each u the least of u and its neighbours v, as rows (node, least)."""
-    return edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("least")).withColumnRenamed("u", "node")
+    """For each u the least of u and its neighbours v, and their number, as rows (node, least, degree)."""
+    return edges.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("least"), F.count(F.lit(1)).alias("degree")).withColumnRenamed("u", "node")
+
+
+def _with_minimum(edges: DataFrame, most_edges: int) -> DataFrame:
+    """edges with the least of each u; the hub of a star may have most of the edges."""
+    return join_skewed(edges, _minimum(edges), {"u": "node"}, "degree", most_edges)
 
 
 def _tidy(edges: DataFrame) -> DataFrame:
@@ -25,17 +30,18 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges do no harm; a node that only has a loop is left out. No edges give an empty result.
     """
     now, seen = settle(_tidy(edges)), None
+    total = now.count()
     for _ in range(MOST_ROUNDS):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_minimum(both), F.col("u") == F.col("node")).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
+        large = _with_minimum(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("least").alias("v"))
         large = _tidy(large)
-        small = large.join(_minimum(large), F.col("u") == F.col("node"))
+        small = _with_minimum(large, total)
         small = small.select(F.explode(F.array(F.struct("v", "least"), F.struct(F.col("u").alias("v"), "least"))).alias("e"))
         now = settle(_tidy(small.select(F.col("e.v").alias("u"), F.col("e.least").alias("v"))))
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
-        seen = mark
+        seen, total = mark, mark[0]
     else:
         raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

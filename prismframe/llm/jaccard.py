@@ -2,15 +2,15 @@
 
 1. Each text becomes a set of shingle hashes. Equal sets are one class; its least row stands for it.
 2. In each run a set goes to a bucket for each of its shingles that a hash shared by all sets picks with probability
-   FAN / size. Buckets of more than SPLIT_ABOVE sets are split again, by shingles picked anew for each run and level,
-   to DEPTH levels. The number of runs follows from the target recall at the threshold.
+   FAN / size. A bucket of more than SPLIT_ABOVE sets is split again, by shingles picked anew for that bucket with
+   probability DEEP_FAN / size, to DEPTH levels. The number of runs follows from the target recall at the threshold.
 3. In a bucket all pairs are compared by sketches (signed counts of hashed shingles, whose inner product estimates the
    size of the intersection, MARGIN deviations below the threshold). What passes joins sets to families.
 4. In a family all pairs are compared exactly. A pair is compared once, so links are counted without listing pairs.
    The components of links are the classes.
 
 A bucket or family of more than BLOCK sets is cut into blocks, and pairs of blocks go to different tasks, so no group
-meets in one task and nothing is capped.
+meets in one task and nothing is capped. Shingles are told apart by hashes, of 44 bits in buckets and of 32 in families.
 """
 
 from __future__ import annotations
@@ -24,32 +24,34 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import held, join_skewed, marked, scratch, settle, slices
 from .components import components
 
 SHINGLE = 5
 #: The threshold as a fraction, so that sizes are compared as integers.
 NUMERATOR, DENOMINATOR = 4, 5
 TARGET_RECALL = 0.999
-FAN = 4
+FAN, DEEP_FAN = 4, 8
 DEPTH = 3
 SPLIT_ABOVE = 4096
 BLOCK = 1024
 #: A family gets up to this many blocks of at least FAMILY_BLOCK sets before its blocks grow.
-FAMILY_BLOCKS, FAMILY_BLOCK, MOST_FAMILY_BLOCK = 8, 64, 2048
+FAMILY_BLOCKS, FAMILY_BLOCK, MOST_FAMILY_BLOCK = 8, 64, 1024
 DIMENSIONS = 256
 MARGIN = 4.0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _TOKEN_BITS = 44
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def runs_for(recall: float = TARGET_RECALL, fan: int = FAN) -> int:
-    """Runs after which a pair at the threshold has shared a first bucket with probability recall.
+def runs_for(recall: float = TARGET_RECALL, fan: int = FAN, deep_fan: int = DEEP_FAN, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has shared a bucket, of the last level if need be, with probability recall.
 
-    A pair shares at least threshold * fan picked shingles in expectation, so a run misses it with exp of minus that.
+    A pair shares at least threshold * fan picked shingles of a level in expectation, so it misses one with exp of minus that.
     """
-    return max(1, math.ceil(math.log(1 - recall) / (-fan * NUMERATOR / DENOMINATOR)))
+    share = NUMERATOR / DENOMINATOR
+    missed = 1 - (1 - math.exp(-share * fan)) * (1 - math.exp(-share * deep_fan)) ** (depth - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
 def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -69,12 +71,9 @@ class _Words(dict):
         return out
 
 
-_WORDS = _Words()
-
-
 def shingle_sets(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """(owner, token) of the distinct shingles of each text, sorted. A text of under five words is one shingle."""
-    of, hashes, counts = _WORDS, [], []
+    of, hashes, counts = held("shingles", _Words), [], []
     for text in texts:
         words = text.split() if text else []  # bytes.split() splits at 0x20 and 0x09 to 0x0D
         hashes += [of[w] for w in words]
@@ -119,9 +118,8 @@ def _counts(sketch: bytes) -> np.ndarray:
     return np.frombuffer(sketch, dtype=f"i{len(sketch) // DIMENSIONS}").astype(np.float64)
 
 
-#: paths: buckets of the first level, with their runs; picks: shingles of the next levels, with LEVEL * level + run.
-SET_SCHEMA = "uid long, doc_id long, tie long, n int, k1 long, k2 long, paths array<long>, runs array<int>, picks array<long>, picks_at array<int>, sketch binary, tokens binary"
-LEVEL = 1000
+#: paths: buckets of the first level, with their runs.
+SET_SCHEMA = "uid long, doc_id long, tie long, n int, k1 long, k2 long, paths array<long>, runs array<int>, sketch binary, tokens binary"
 
 
 def shingled(docs: DataFrame, runs: int, fan: float = FAN, key: str | None = None, tie: str | None = None) -> DataFrame:
@@ -136,25 +134,18 @@ def shingled(docs: DataFrame, runs: int, fan: float = FAN, key: str | None = Non
             with np.errstate(over="ignore"):
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(token, s))]) for s in (101, 202)]
                 keys = [(s[first[1:]] - s[first[:-1]]).astype(np.int64) for s in sums]
-            listed = []
-            for level in range(DEPTH):
-                found = [picked(token, LEVEL * level + run, n[owner], fan, run + 1) for run in range(runs)]
-                whose = np.concatenate([owner[at] for at, _ in found])
-                order = np.argsort(whose, kind="stable")
-                code = np.repeat(np.arange(runs) + LEVEL * level, [len(at) for at, _ in found])
-                listed.append((whose[order], np.concatenate([x for _, x in found])[order], code[order]))
-            deeper = [np.concatenate([x[i] for x in listed[1:]]) for i in range(3)]
-            order = np.argsort(deeper[0], kind="stable")
-            columns = []
-            for whose, values, code in (listed[0], tuple(x[order] for x in deeper)):
-                columns += [_split(x, np.bincount(whose, minlength=m), k) for x, k in ((values, pa.int64()), (code, pa.int32()))]
+            found = [picked(token, run, n[owner], fan, run + 1) for run in range(runs)]
+            whose = np.concatenate([owner[at] for at, _ in found])
+            order = np.argsort(whose, kind="stable")
+            code, values = np.repeat(np.arange(runs), [len(at) for at, _ in found])[order], np.concatenate([x for _, x in found])[order]
+            per = np.bincount(whose, minlength=m)
             sign = np.where(mixed(token, 303) >> np.uint64(63), 1.0, -1.0)
             at = owner * DIMENSIONS + (mixed(token, 404) >> np.uint64(56)).astype(np.int64) % DIMENSIONS
             sketch = np.bincount(at, weights=sign, minlength=m * DIMENSIONS).reshape(m, DIMENSIONS)
             small = token.astype(np.uint32)
             columns = [
-                batch.column("uid"), batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], *columns, pa.array([_narrow(r) for r in sketch], pa.binary()),
-                pa.array([small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
+                batch.column("uid"), batch.column("doc_id"), batch.column("tie"), pa.array(n, pa.int32()), *[pa.array(k, pa.int64()) for k in keys], _split(values, per, pa.int64()), _split(code, per, pa.int32()),
+                pa.array([_narrow(r) for r in sketch], pa.binary()), pa.array([small[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SET_SCHEMA.split(", ")])
 
@@ -228,9 +219,12 @@ def sketch_similar(t: pa.Table) -> np.ndarray:
         x = np.frombuffer(b"".join(sketches), dtype=np.int8).reshape(t.num_rows, DIMENSIONS).astype(np.float32)
     else:
         x = np.stack([_counts(s) for s in sketches])
-    n = t.column("n").to_numpy().astype(np.float64)
-    least = NUMERATOR / (NUMERATOR + DENOMINATOR) * (n[:, None] + n[None, :])
-    return x @ x.T >= least - MARGIN * np.sqrt(n[:, None] * n[None, :] / DIMENSIONS)
+    n, out = t.column("n").to_numpy().astype(np.float64), np.empty((len(x), len(x)), bool)
+    for a in range(0, len(x), 256):  # a stripe at a time, to bound the memory
+        own = n[a : a + 256, None]
+        least = NUMERATOR / (NUMERATOR + DENOMINATOR) * (own + n)
+        out[a : a + 256] = x[a : a + 256] @ x.T >= least - MARGIN * np.sqrt((own * n + least**2) / DIMENSIONS)
+    return out
 
 
 def exact_similar(t: pa.Table, step: int = 1024) -> np.ndarray:
@@ -251,7 +245,10 @@ def exact_similar(t: pa.Table, step: int = 1024) -> np.ndarray:
         x = np.zeros((m, step), np.float32)
         x[owner[lo:hi], code[lo:hi] - at] = 1
         common += x @ x.T
-    return (NUMERATOR + DENOMINATOR) * np.rint(common).astype(np.int64) >= NUMERATOR * (n[:, None] + n[None, :])
+    out = np.empty((m, m), bool)
+    for a in range(0, m, 256):
+        out[a : a + 256] = (NUMERATOR + DENOMINATOR) * np.rint(common[a : a + 256]).astype(np.int64) >= NUMERATOR * (n[a : a + 256, None] + n)
+    return out
 
 
 def _edges(keys: list[str], similar: Callable[[pa.Table], np.ndarray], counted: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -279,26 +276,64 @@ def _edges(keys: list[str], similar: Callable[[pa.Table], np.ndarray], counted:
     return work
 
 
+def deeper(large: DataFrame, sets: DataFrame, fan: float = DEEP_FAN) -> DataFrame:
+    """Rows (path, run, uid) of the buckets below large (path, run, uid); a set's shingles are picked anew for each path."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uid, paths, runs, tokens in zip(*(batch.column(c).to_pylist() for c in ("uid", "paths", "runs", "tokens")), strict=True):
+                token = np.unique(np.frombuffer(tokens, np.uint32)).astype(np.uint64)
+                found = [picked(token, np.int64(p), np.array(len(token)), fan, run + 101)[1] for p, run in zip(paths, runs, strict=True)]
+                per = [len(x) for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(np.repeat(runs, per), pa.int32()), pa.array(np.full(sum(per), uid), pa.int64())], names=["path", "run", "uid"])
+
+    # a set is in at most (FAN * runs) * DEEP_FAN buckets of a level in expectation, so the lists are short
+    own = large.groupBy("uid").agg(F.collect_list(F.struct("path", "run")).alias("p")).select(F.col("uid").alias("_uid"), F.col("p.path").alias("paths"), F.col("p.run").alias("runs"))
+    met = marked(sets.select("uid", "tokens"), "uid", large.select("uid").distinct()).join(own, F.col("uid") == F.col("_uid"))
+    return met.select("uid", "paths", "runs", "tokens").mapInArrow(work, "path long, run int, uid long")
+
+
 def buckets(sets: DataFrame, depth: int = DEPTH, split_above: int = SPLIT_ABOVE) -> DataFrame:
-    """Rows (path, size, uid) of the buckets to compare; sets has uid, paths, runs, picks, picks_at."""
+    """Rows (path, size, uid) of the buckets to compare; sets has uid, paths, runs, tokens."""
     rows, done = sets.select(F.explode(F.arrays_zip("paths", "runs")).alias("p"), "uid").select("p.paths", "p.runs", "uid").toDF("path", "run", "uid"), []
     for level in range(depth):
         rows = settle(rows)
-        sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("path", "_path")
-        rows = settle(rows.join(sizes, F.col("path") == F.col("_path")).select("path", "run", "size", "uid"))
-        small, large = rows.where(F.col("size") <= split_above), rows.where(F.col("size") > split_above)
-        if level == depth - 1 or large.limit(1).count() == 0:
+        sizes = settle(rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1").withColumnRenamed("path", "_path"))
+        total, largest = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.max("size"), F.lit(0))).first()
+        rows = join_skewed(rows, sizes, {"path": "_path"}, "size", total).select("path", "run", "size", "uid")
+        if level == depth - 1 or largest <= split_above:
             done.append(rows.select("path", "size", "uid"))
             break
-        done.append(small.select("path", "size", "uid"))
-        wanted = F.col("run") + LEVEL * (level + 1)
-        own = F.filter(F.arrays_zip("picks", "picks_at"), lambda p: p["picks_at"] == wanted)  # noqa: B023  used at once
-        deeper = large.join(sets.select("uid", "picks", "picks_at"), "uid").select("path", "run", "uid", F.explode(own).alias("p"))
-        rows = deeper.select(F.xxhash64("path", "p.picks").alias("path"), "run", "uid")
+        rows = settle(rows)
+        done.append(rows.where(F.col("size") <= split_above).select("path", "size", "uid"))
+        rows = deeper(rows.where(F.col("size") > split_above).select("path", "run", "uid"), sets)
     out = done[0]
     for more in done[1:]:
         out = out.union(more)
-    return out
+    return settle(out)
+
+
+def _families(reps: DataFrame) -> DataFrame:
+    """Rows (node, root): sets joined by links that their sketches allow."""
+    rows = buckets(reps.select("uid", "paths", "runs", "tokens"))
+    sketches = marked(reps.select("uid", "n", "sketch"), "uid", rows.select("uid").distinct())
+    dealt = in_blocks(rows.join(sketches, "uid"), "path", F.col("size"), F.col("size") / BLOCK)
+    near = dealt.select("path", "a", "b", "block", "uid", "n", "sketch").mapInArrow(_edges(["path", "a", "b"], sketch_similar, False), "u long, v long, links long")
+    return components(near.select("u", "v"))
+
+
+def _links(reps: DataFrame, classes: DataFrame, families: DataFrame) -> DataFrame:
+    """Rows (u, v, links): exact comparisons within families, with how many rows a pair of blocks links u to."""
+    sizes = settle(families.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "_root"))
+    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    members = join_skewed(families, sizes, {"root": "_root"}, "size", total).select("node", "root", "size")
+    tokens = marked(reps.select("uid", "tokens"), "uid", families.select("node"))
+    copies = marked(classes.select(F.col("uid").alias("_class"), "copies"), "_class", families.select("node"))
+    members = members.join(copies, F.col("node") == F.col("_class")).join(tokens, F.col("node") == F.col("uid"))
+    size = F.col("size")
+    blocks = F.greatest(F.ceil(size / MOST_FAMILY_BLOCK), F.least(F.lit(FAMILY_BLOCKS), F.ceil(size / FAMILY_BLOCK)))
+    dealt = in_blocks(members, "root", size, blocks)
+    return dealt.select("root", "a", "b", "block", "uid", "copies", "tokens").mapInArrow(_edges(["root", "a", "b"], exact_similar, True), "u long, v long, links long")
 
 
 def join_documents(docs: DataFrame, recall: float = TARGET_RECALL, key: str | None = None, tie: str | None = None) -> DataFrame:
@@ -313,31 +348,28 @@ def join_documents(docs: DataFrame, recall: float = TARGET_RECALL, key: str | No
     key: a column of distinct longs in a written table, which the result carries; without it rows have no name but doc_id.
     tie: a column of longs whose least is kept among rows of a class with one doc_id.
     """
+    spark = docs.sparkSession
     sets = shingled(docs, runs_for(recall), key=key, tie=tie)
-    filled = sets.where("n > 0")
-    classes = settle(filled.groupBy("k1", "k2").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("copies")))
-    reps = filled.join(classes.select("uid", "copies"), "uid")
-    rows = buckets(reps.select("uid", "paths", "runs", "picks", "picks_at"))
-    sketched = rows.join(reps.select("uid", "n", "sketch"), "uid")
-    dealt = in_blocks(sketched, "path", F.col("size"), F.col("size") / BLOCK)
-    near = dealt.select("path", "a", "b", "block", "uid", "n", "sketch").mapInArrow(_edges(["path", "a", "b"], sketch_similar, False), "u long, v long, links long")
-    families = settle(components(near.select("u", "v")))
-    sizes = families.groupBy("root").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("root", "_root")
-    members = families.join(sizes, F.col("root") == F.col("_root")).select(F.col("node").alias("uid"), "root", "size").join(reps.select("uid", "copies", "tokens"), "uid")
-    size = F.col("size")
-    blocks = F.greatest(F.ceil(size / MOST_FAMILY_BLOCK), F.least(F.lit(FAMILY_BLOCKS), F.ceil(size / FAMILY_BLOCK)))
-    dealt = in_blocks(members, "root", size, blocks)
-    exact = settle(dealt.select("root", "a", "b", "block", "uid", "copies", "tokens").mapInArrow(_edges(["root", "a", "b"], exact_similar, True), "u long, v long, links long"))
-    degree = exact.groupBy("u").agg(F.sum("links").alias("near")).withColumnRenamed("u", "_node")
-    roots = components(exact.select("u", "v"))
-    found = classes.join(degree, F.col("uid") == F.col("_node"), "left").join(roots, F.col("uid") == F.col("node"), "left")
-    found = found.select("k1", "k2", F.coalesce("root", "uid").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    own = sets.select("uid", "doc_id", "tie", "k1", "k2", "n")
-    a, b = own.alias("a"), found.alias("b")
-    with_root = settle(a.join(b, (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2")) & (F.col("a.n") > 0), "left").select(
-        "a.uid", "a.doc_id", "a.tie", F.coalesce("b.root", "a.uid").alias("root"), F.coalesce("b.links", F.lit(0)).cast("long").alias("links")))
     # min of structs takes nulls first, so whether doc_id is null is compared before it
-    first = with_root.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "uid")).alias("first")).withColumnRenamed("root", "_root")
-    out = with_root.join(first, F.col("root") == F.col("_root"))
-    named = [] if key is None else [F.col("uid").alias(key)]
-    return out.select(*named, "doc_id", F.col("first.doc_id").alias("class_id"), "links", (F.col("uid") == F.col("first.uid")).alias("kept"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie", "uid")).alias("first")
+    filled, own = sets.where("n > 0"), sets.select("uid", "doc_id", "k1", "k2", "n")
+    classes = settle(filled.groupBy("k1", "k2").agg(first, F.count(F.lit(1)).alias("copies")).withColumn("uid", F.col("first.uid")))
+    reps = marked(filled.select("uid", "n", "paths", "runs", "sketch", "tokens"), "uid", classes.select("uid"))
+    with scratch(spark) as keep:
+        families = keep(_families(reps))
+    with scratch(spark) as keep:
+        exact = keep(_links(reps, classes, families))
+    with scratch(spark) as keep:
+        degree = exact.groupBy("u").agg(F.sum("links").alias("near")).withColumnRenamed("u", "_node")
+        roots = components(exact.select("u", "v"))
+        found = classes.join(degree, F.col("uid") == F.col("_node"), "left").join(roots, F.col("uid") == F.col("node"), "left")
+        found = settle(found.select("k1", "k2", "first", "copies", F.coalesce("root", "uid").alias("root"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")))
+        tops = found.groupBy(F.col("root").alias("_root")).agg(F.min("first").alias("top"), F.count(F.lit(1)).alias("texts"))
+        n_texts, n_rows = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+        named = join_skewed(found, tops, {"root": "_root"}, "texts", n_texts)
+        named = keep(named.select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "copies", "links", F.col("top.doc_id").alias("class_id"), F.col("top.uid").alias("_kept")))
+    out = join_skewed(own.where("n > 0"), named, {"k1": "_k1", "k2": "_k2"}, "copies", n_rows)
+    out = out.select("uid", "doc_id", "class_id", "links", (F.col("uid") == F.col("_kept")).alias("kept"))
+    alone = own.where("n = 0").select("uid", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"), F.lit(True).alias("kept"))
+    name = [] if key is None else [F.col("uid").alias(key)]
+    return out.union(alone).select(*name, "doc_id", "class_id", F.col("links").cast("long").alias("links"), "kept")
