@@ -6,7 +6,8 @@ first among sources, then among the shards of each source. A shard is a seeded h
 documents, laid one after another in seeded order and cut into blocks. A shard with q blocks to take out of n
 takes every block q div n times and q mod n blocks once more, chosen evenly from a seeded phase.
 
-A hot source has many shards, so that no task holds a source. Only shard and source totals meet in one task.
+A hot source has many shards, so that no task holds a source: as many as its words over shard_words, or, for a source of
+more than (shard_words / 4) ** 2 words, a quarter of the root of its words. Only shard and source totals meet in one task.
 """
 
 from __future__ import annotations
@@ -77,7 +78,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], cap: int) -> Da
     return s.select("source", "source_size", "source_rank", "total", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block: int = 8, shard_words: int = 65_536, most_shards: int = 4096, seed: int = 17, carried: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block: int = 8, shard_words: int = 65_536, seed: int = 17, carried: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, taken.
 
     docs needs doc_id, text and source; other columns are left alone. A null text has size 0, a null source is a
@@ -92,7 +93,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = 3, block
     parties = sources.withColumn("_all", F.lit(0)).withColumn("_seats", F.floor(F.col("total") / block)).withColumn("_most", blocks("source_size") * cap)
     quotas = highest_quotients(parties, ["source_rank"], ["_all"], "target", "_seats", "_most")
     sources = settle(sources.join(quotas.withColumnRenamed("quota", "source_quota"), "source_rank"))
-    shards = F.greatest(F.lit(1), F.least(F.lit(most_shards), F.ceil(F.col("source_size") / shard_words)))
+    # shards grow with the root of a large source, so that neither a shard nor the list of a source's shards is ever large
+    words = F.greatest(F.lit(shard_words).cast("double"), F.ceil(4 * F.sqrt(F.col("source_size"))))
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / words))
     side = sources.select(F.col("source").alias("_source"), "source_size", "source_rank", "target", "source_quota", shards.alias("_shards"))
     if sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
         side = F.broadcast(side)

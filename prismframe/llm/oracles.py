@@ -2,13 +2,13 @@
 
 TOPK = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_inner_product(CAST(q.v AS DOUBLE[]), CAST(r.v AS DOUBLE[])) AS BIGINT) AS score
+  SELECT q.uid, q.vec_id AS query_id, r.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM v q JOIN v r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+SELECT query_id, CAST(row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """
 
@@ -30,7 +30,7 @@ sq AS (
   SELECT r, k FROM t, unnest(range(0, 3 * CAST(ceil(source_size / 8) AS BIGINT))) AS u(k)
   QUALIFY row_number() OVER (ORDER BY target / (2 * k + 1) DESC, r, k) <= (SELECT any_value(total) // 8 FROM t)),
 sn AS (
-  SELECT t.*, coalesce(c.n, 0) AS quota, greatest(1, least(4096, CAST(ceil(source_size / 65536) AS BIGINT))) AS shards
+  SELECT t.*, coalesce(c.n, 0) AS quota, greatest(1, CAST(ceil(source_size / greatest(65536, ceil(4 * sqrt(source_size)))) AS BIGINT)) AS shards
   FROM t LEFT JOIN (SELECT r, count(*) AS n FROM sq GROUP BY r) c USING (r)),
 p AS (
   SELECT d.*, sn.* EXCLUDE (source), CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '-')), 1, 15) AS BIGINT) AS h,
