@@ -1,10 +1,10 @@
 """Improbable-feature digest: rare byte windows in chained Bloom filters, compared by normalised bit overlap.
 
-Each window of WINDOW bytes has an entropy. Windows whose entropy is far from the usual one of text (USUAL_BITS) rank as
-rare; near-constant windows (under LEAST_BITS) are never features. A window is a feature if it is the rarest (the
-first, in a tie) in at least POPULAR of the runs of WINDOW neighbouring windows. Features enter a filter of FILTER_BITS bits
+Each window of WINDOW bytes has an entropy. How often each entropy occurs is counted over the windows of all texts, before any
+text is fingerprinted; the less often, the rarer is a window. Near-constant windows (under LEAST_BITS) are never features. A
+window is a feature if it is the rarest (the first, in a tie) in at least POPULAR of the runs of WINDOW neighbouring windows. Features enter a filter of FILTER_BITS bits
 by HASHES bits each, in text order; after FILTER_FEATURES features a new filter begins. Ranks are whole numbers that
-depend on the window alone, so equal texts have equal digests.
+depend on the window and the frozen counts alone, so equal texts have equal digests.
 """
 
 from __future__ import annotations
@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW = 32
-USUAL_BITS, LEAST_BITS = 3.6, 1.0
+LEAST_BITS = 1.0
 POPULAR = 8
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 128, 5
 #: Share of the possible overlap above chance that is taken as chance, too.
@@ -28,6 +30,9 @@ MOST_BUCKETS = 4096
 _UNIT = 1 << 16
 _NEVER = np.int64(1) << 40
 _COST = np.rint(np.arange(WINDOW + 2) * np.log2(np.maximum(np.arange(WINDOW + 2), 1)) * _UNIT).astype(np.int64)
+#: Costs this far apart count as one entropy: 1 / 1024 of what a bit adds.
+_GRAIN = 6
+_KINDS = int(_COST[WINDOW] >> _GRAIN) + 1
 _STEP = np.diff(_COST)  # what a further byte of a kind adds, by the number there
 
 
@@ -55,20 +60,54 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of the features of each text in order. A text of 1 to WINDOW - 1 bytes is one feature."""
+def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts end to end with gaps, size and start of each, whether a window lies inside a text)."""
     gap = b"\0" * WINDOW  # no run of neighbours reaches two texts
     joined = np.frombuffer(gap + gap.join(texts) + gap + gap, np.uint8)
     size = np.array([len(t) for t in texts], dtype=np.int64)
     start = WINDOW + np.cumsum(size + WINDOW) - (size + WINDOW)
-    cost = window_costs(joined)
-    valid = np.zeros(len(cost) + 1, np.int64)
+    valid = np.zeros(len(joined) - WINDOW + 2, np.int64)
     full = size >= WINDOW
     np.add.at(valid, start[full], 1)
     np.add.at(valid, (start + size - WINDOW + 1)[full], -1)
-    bits = int(np.log2(WINDOW) * _UNIT) - cost // WINDOW
-    rank = 8 * _UNIT - np.abs(bits - int(USUAL_BITS * _UNIT))
-    rank = np.where((np.cumsum(valid[:-1]) > 0) & (bits >= int(LEAST_BITS * _UNIT)), rank, _NEVER)
+    return joined, size, start, np.cumsum(valid[:-1]) > 0
+
+
+def entropy_counts(texts: list[bytes]) -> np.ndarray:
+    """How many windows of the texts have each entropy, by cost >> _GRAIN."""
+    joined, _, _, valid = laid_out(texts)
+    return np.bincount(window_costs(joined)[valid] >> _GRAIN, minlength=_KINDS)
+
+
+def rarity(counts: np.ndarray) -> np.ndarray:
+    """The rank of each entropy, the rarest first; entropies that were not seen come before all others."""
+    out = np.empty(len(counts), np.int64)
+    out[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+    return out
+
+
+def measured_rarity(texts: DataFrame) -> np.ndarray:
+    """rarity() of the windows of all rows of texts (text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_KINDS, np.int64)
+        for part in slices(batches, "text"):
+            total += entropy_counts([t or b"" for t in part.column("text").to_pylist()])
+        some = np.nonzero(total)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["kind", "n"])
+
+    counts = np.zeros(_KINDS, np.int64)
+    for r in texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "kind int, n long").groupBy("kind").agg(F.sum("n").alias("n")).collect():  # at most _KINDS rows
+        counts[r["kind"]] = r["n"]
+    return rarity(counts)
+
+
+def features(texts: list[bytes], ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of the features of each text in order. A text of 1 to WINDOW - 1 bytes is one feature."""
+    joined, size, start, valid = laid_out(texts)
+    cost, full = window_costs(joined), size >= WINDOW
+    dull = cost > WINDOW * (int(np.log2(WINDOW) * _UNIT) - int(LEAST_BITS * _UNIT))
+    rank = np.where(valid & ~dull, ranks[cost >> _GRAIN], _NEVER)
     least = sliding_least((rank << np.int64(20)) | (np.arange(len(rank)) & ((1 << 20) - 1)), WINDOW) if len(rank) < 1 << 20 else _least_wide(rank)
     change = np.append(np.nonzero(np.diff(least))[0], len(least) - 1)
     times = np.diff(np.append(-1, change))
@@ -107,11 +146,11 @@ def _positions(best: np.ndarray, last: np.ndarray) -> np.ndarray:
     return last + ((best & ((1 << 20) - 1)) - last) % (1 << 20)
 
 
-def digests(texts: list[bytes]) -> list[np.ndarray]:
+def digests(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
     """The filters of each text, as rows of FILTER_BITS / 8 bytes; an empty text has none."""
     if not texts:
         return []
-    owner, h = features(texts)
+    owner, h = features(texts, ranks)
     count = np.bincount(owner, minlength=len(texts))
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     filters = -(-count // FILTER_FEATURES)
@@ -154,8 +193,9 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     """Rows (bucket, extra, doc_id, text) such that, in this order inside a partition, each row that is not extra is
     followed by the next document in descending order of doc_id; after the last comes the first.
 
-    doc_ids are cut into buckets at quantiles; each bucket ends with a copy of the first document of the next one. Null
-    doc_ids come last, and documents with one doc_id are in order of text. Only bounds, one per bucket, reach the driver.
+    doc_ids are cut into buckets at quantiles; each bucket ends with a copy of the first document of the next one. Documents
+    with one doc_id are in order of text. Null doc_ids come last, in as many buckets again, in order of a hash of the text
+    and then of the text. Only bounds, one per bucket, reach the driver.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -163,16 +203,19 @@ def with_neighbour(docs: DataFrame) -> DataFrame:
     known = rows.select("doc_id").where("doc_id is not null")
     bounds = sorted({int(x) for x in known.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n))}) if n > 1 else []
     listed = F.array(*[F.lit(x).cast("long") for x in bounds]) if bounds else F.array().cast("array<long>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(listed, lambda x: x > F.col("doc_id"))))
-    rows = rows.withColumn("bucket", place)
-    firsts = sorted((r["bucket"], r["first"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("first")).collect())
+    hashed = F.when(F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 1))  # from 0 to 2^63 - 1
+    nulls = len(bounds) + 1 + F.floor(F.col("hash") / (2.0**63 / n)).cast("int")
+    place = F.when(F.col("doc_id").isNull(), F.least(nulls, F.lit(len(bounds) + n))).otherwise(F.size(F.filter(listed, lambda x: x > F.col("doc_id"))))
+    rows = rows.withColumn("hash", hashed).withColumn("bucket", place)
+    firsts = sorted((r["bucket"], r["first"], r["hash"]) for r in rows.groupBy("bucket").agg(F.max("doc_id").alias("first"), F.min("hash").alias("hash")).collect())  # at most 2 n rows
+    columns = ["bucket", "extra", "doc_id", "hash", "text"]
     if not firsts:
-        return rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "text")
-    nexts = [(firsts[i][0], firsts[(i + 1) % len(firsts)][1]) for i in range(len(firsts))]
-    ends = F.broadcast(spark.createDataFrame(nexts, "_bucket int, _first long"))  # a row per bucket, MOST_BUCKETS at most
-    extra = rows.join(ends, F.col("doc_id").eqNullSafe(F.col("_first"))).select(F.col("_bucket").alias("bucket"), F.lit(1).alias("extra"), "doc_id", "text")
-    both = rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "text").union(extra)
-    return both.repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "text")
+        return rows.withColumn("extra", F.lit(0)).select(*columns)
+    nexts = [(firsts[i][0], *firsts[(i + 1) % len(firsts)][1:]) for i in range(len(firsts))]
+    ends = F.broadcast(spark.createDataFrame(nexts, "_bucket int, _first long, _hash long"))  # a row per bucket, 2 MOST_BUCKETS at most
+    extra = rows.join(ends, F.col("doc_id").eqNullSafe(F.col("_first")) & F.col("hash").eqNullSafe(F.col("_hash"))).select(F.col("_bucket").alias("bucket"), F.lit(1).alias("extra"), "doc_id", "hash", "text")
+    both = rows.withColumn("extra", F.lit(0)).select(*columns).union(extra)
+    return both.repartition("bucket").sortWithinPartitions("bucket", "extra", F.col("doc_id").desc_nulls_last(), "hash", "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -191,16 +234,18 @@ def fingerprint(docs: DataFrame, chunk: int = 1_000_000) -> DataFrame:
     An empty table gives an empty result. Other columns are not read.
     """
 
+    ranks = docs.sparkSession.sparkContext.broadcast(measured_rarity(docs.select("text")))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int | None, str]] = []
         size = 0
 
         def out() -> pa.RecordBatch:
             texts = [t for _, _, t in held]
-            own = digests([t.encode() for t in texts])
+            own = digests([t.encode() for t in texts], ranks.value)
             todo = [i for i in range(len(held) - 1) if not held[i][0]]
             changed = [edited(texts[i], texts[i + 1]).encode() for i in todo]
-            theirs = digests(changed)
+            theirs = digests(changed, ranks.value)
             columns = (
                 pa.array([held[i][1] for i in todo], pa.int64()), pa.array([len(texts[i]) for i in todo], pa.int64()),
                 [hashlib.sha256(t).hexdigest() for t in changed], [written(own[i]) for i in todo], [written(d) for d in theirs],
