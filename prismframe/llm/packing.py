@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import held, settle, slices
 
 TOKENIZER = "byte_bpe_50k"
 END_ID = 0
 CAPACITY = 2048
 #: Encoded words kept in a worker; the table starts anew when it is full.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 _ODD_SPACE = re.compile(r"\s\s|[^\S \n]")
 
 
@@ -73,17 +73,12 @@ class WordEncoder:
         return self._pack(self.encode(first)) + b"".join([known(w) or word(w) for w in rest])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(name: str = TOKENIZER) -> WordEncoder:
     """One encoder a worker process."""
-    if name not in _ENCODERS:
-        _ENCODERS[name] = WordEncoder(name)
-    return _ENCODERS[name]
+    return held(("encoder", name), lambda: WordEncoder(name))
 
 
-PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
+PIECE_SCHEMA = "uid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -93,18 +88,19 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(name)
         for batch in slices(batches, "text"):
-            rows: tuple[list, ...] = ([], [], [], [], [])
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
+            for uid, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "text")), strict=True):
                 ids = encode(text or "") + end
                 start, stop, n = 0, (len(ids) // 4 - 1) % capacity + 1, 0
                 while start < len(ids) // 4:
-                    for out, x in zip(rows, (doc_id, n, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
+                    for out, x in zip(rows, (uid, doc_id, n, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])), strict=True):
                         out.append(x)
                     start, stop, n = stop, stop + capacity, n + 1
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE_SCHEMA)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(cut, PIECE_SCHEMA)
 
 
 def fullest(counts: dict[int, int], room: int) -> list[int]:
@@ -159,9 +155,13 @@ def places(bins: list[tuple[list[int], int]]) -> dict[int, tuple[np.ndarray, np.
     return {x: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for x, r in runs.items()}
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], buckets: int = 64) -> DataFrame:
-    """Adds n, the number from 0 of a row among those of its key. A key is dealt to many buckets, whose sizes add up."""
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+def numbered(rows: DataFrame, key: str, order: list[str], counts: dict[int, int], bucket_rows: int = 20_000) -> DataFrame:
+    """Adds n, the number from 0 of a row among those of its key. A key is dealt to buckets, whose sizes add up.
+
+    counts: the rows of each key, which are few. A key has as many buckets as keep each at about bucket_rows rows.
+    """
+    parts = rows.sparkSession.createDataFrame([(k, max(1, -(-n // bucket_rows))) for k, n in counts.items()], "_length int, _parts long")
+    salted = rows.join(F.broadcast(parts), F.col(key) == F.col("_length")).withColumn("_salt", F.pmod(F.xxhash64(*order), F.col("_parts")))
     sizes = salted.groupBy(key, "_salt").agg(F.count(F.lit(1)).alias("_rows"))
     before = F.sum("_rows").over(Window.partitionBy(key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.select(F.col(key).alias("_key"), F.col("_salt").alias("_bucket"), F.coalesce(before, F.lit(0)).alias("_before"))
@@ -193,6 +193,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER, end_i
             kept[3] = kept[3].cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = numbered(cut, "length", ["doc_id", "piece", "ids_crc32", "start"])
+    # the row's own number parts repeated rows, which would else share a bucket; the written table gives it in each run alike
+    ranked = numbered(cut, "length", ["uid", "piece"], counts)
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("n").cast("long").alias("n"))
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -25,14 +25,14 @@ def rendered(turns: Column) -> Column:
 
 def spans(turns: Column) -> Column:
     """Spans "from:to" (characters from 0, the end left out) of the assistant's texts with their end marks, by spaces."""
-    size = lambda t: F.length(_head(t)) + F.length(t["text"]) + F.lit(len(END) + len(GAP))
 
-    def place(t: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(turns, F.lit(1), i), F.lit(0), lambda n, u: n + size(u))
-        start = before + F.length(_head(t))
-        return F.when(t["role"] == ASSISTANT, F.concat_ws(":", start, start + F.length(t["text"]) + F.lit(len(END))))
+    def step(so_far: Column, t: Column) -> Column:
+        start = so_far["at"] + F.length(_head(t))
+        stop = start + F.length(t["text"]) + F.lit(len(END))
+        own = F.when(t["role"] == ASSISTANT, F.array(F.concat_ws(":", start, stop))).otherwise(F.array().cast("array<string>"))
+        return F.struct((stop + F.lit(len(GAP))).alias("at"), F.concat(so_far["spans"], own).alias("spans"))
 
-    return F.array_join(F.filter(F.transform(turns, place), lambda s: s.isNotNull()), " ")
+    return F.aggregate(turns, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("spans")), step, lambda x: F.array_join(x["spans"], " "))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -45,11 +45,12 @@ def common_turns(a: Column, b: Column) -> Column:
 def format_pairs(pairs: DataFrame, key: str) -> DataFrame:
     """key, prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans for each row of pairs.
 
-    pairs has the key and chosen, rejected: array<struct<role string, text string>> without nulls inside. Equal
-    conversations give two empty completions; conversations without a common turn an empty prompt. A null conversation
+    pairs has the key and chosen, rejected: array<struct<role string, text string>>. A null role reads "unknown", a null
+    text is empty, and a null turn is both. Equal conversations give two empty completions; conversations without a common turn an empty prompt. A null conversation
     counts as one without turns. Repeated rows stay apart; other columns are not read.
     """
-    turns = lambda c: F.coalesce(F.col(c), F.array().cast("array<struct<role:string,text:string>>"))
+    whole = lambda t: F.struct(F.coalesce(t["role"], F.lit("unknown")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text"))
+    turns = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<struct<role:string,text:string>>")), whole)
     p = pairs.select(key, turns("chosen").alias("_a"), turns("rejected").alias("_b"))
     p = p.withColumn("prompt_turns", common_turns(F.col("_a"), F.col("_b")))
     rest = lambda c: F.slice(F.col(c), F.col("prompt_turns") + 1, F.greatest(F.size(c) - F.col("prompt_turns"), F.lit(0)))

@@ -1,6 +1,7 @@
 """URL filter: a trie over reversed host labels and path segments, broadcast to the tasks.
 
-The rules are a fixed parameter (at most MOST_RULES), so the trie has a bound. Each url walks the host labels from
+The rules are a parameter (at most MOST_RULES of MOST_CHARACTERS together), so the trie has a bound; more are an error, and so
+are two rules of one host and path with different verdicts. Each url walks the host labels from
 the last to the first, and at each label with rules walks the path's segments. The match with the most host labels
 wins, and among these the longest path, whether it allows or blocks.
 """
@@ -21,7 +22,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MOST_RULES = 1_000_000
+#: Bounds of the broadcast trie: rules, and characters of all hosts and paths.
+MOST_RULES, MOST_CHARACTERS = 1_000_000, 64_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,9 +35,11 @@ class RuleTrie:
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
         self.root: dict = {}
+        characters = 0
         for n, (verdict, host, path) in enumerate(rules):
-            if n >= MOST_RULES:
-                raise ValueError(f"more than {MOST_RULES} rules")
+            characters += len(host) + len(path)
+            if n >= MOST_RULES or characters > MOST_CHARACTERS:
+                raise ValueError(f"more than {MOST_RULES} rules or {MOST_CHARACTERS} characters of rules")
             node = self.root
             for label in reversed(host.split(".")):
                 node = node.setdefault(label, {})
@@ -43,7 +47,9 @@ class RuleTrie:
             *whole, start = path.split("/")
             for segment in whole:
                 node = node.setdefault(segment, {})
-            node.setdefault("/starts", {})[start] = (host + path, verdict)
+            own = node.setdefault("/starts", {}).setdefault(start, (host + path, verdict))
+            if own[1] != verdict:
+                raise ValueError(f"two verdicts for {host}{path}")
 
     @staticmethod
     def _path(node: dict, path: str) -> tuple[str, str] | None:
@@ -56,16 +62,23 @@ class RuleTrie:
                 break
         return best
 
-    def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """(rule, verdict) of the longest rule that fits, or None."""
-        best, node = None, self.root
+    def paths_of(self, host: str) -> list[dict]:
+        """The path tries of the labels of a host that have rules, the longest host first."""
+        out, node = [], self.root
         for label in reversed(host.split(".")):
             node = node.get(label)
             if node is None:
                 break
-            if "/paths" in node and (found := self._path(node["/paths"], path)):
-                best = found
-        return best
+            if "/paths" in node:
+                out.append(node["/paths"])
+        return out[::-1]
+
+    def find(self, host: str, path: str, known: dict[str, list[dict]] | None = None) -> tuple[str, str] | None:
+        """(rule, verdict) of the longest rule that fits, or None. known: path tries of hosts that were looked up before."""
+        known = {} if known is None else known
+        if host not in known:
+            known[host] = self.paths_of(host)
+        return next((found for node in known[host] if (found := self._path(node, path))), None)
 
 
 def host_of(url: Column) -> Column:
@@ -89,7 +102,8 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, defau
     def look_up(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         find = trie.value.find
         for hosts, paths in parts:
-            found = [find(h, p) or (None, default) for h, p in zip(hosts, paths, strict=True)]
+            known: dict[str, list[dict]] = {}  # each host of a batch is looked up once
+            found = [find(h, p, known) or (None, default) for h, p in zip(hosts, paths, strict=True)]
             yield pd.DataFrame(found, columns=["rule", "verdict"], dtype=object)
 
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
