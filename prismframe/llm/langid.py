@@ -25,7 +25,8 @@ SYMBOLS = 96
 #: Expected number of sampled documents a language, and the most bytes kept of one language's sample.
 SAMPLE_DOCS = 500
 SAMPLE_BYTES = 3_000_000
-MOST_LANGUAGES = 64
+#: Texts up to so many bytes are learned from, and so many languages at most.
+SAMPLE_TEXT, MOST_LANGUAGES = 64_000, 64
 UNKNOWN = "und"
 _HAS_LETTER = r"\p{L}"
 
@@ -105,28 +106,36 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, symbols: int = SYMB
             codes.append(np.unique(code))
         found = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         rows.append(found[np.isin(found % n ** (k - 1), rows[k - 1])])
-    tables = [_code_lengths(streams[lang], n, order, rows) for lang in langs]
+    lengths = lambda lang: np.concatenate([-np.log2(np.maximum(t, 1e-300)).astype(np.float32) for t in _code_lengths(streams[lang], n, order, rows)])
+    tables = [lengths(lang) for lang in langs]
     first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     row = np.zeros(1, np.int32)
     for k in range(1, order + 1):  # from the rows of contexts one shorter, which stand for all symbols before them
         row = np.tile(row, n)
         row[rows[k]] = first[k] + np.arange(len(rows[k]))
-    bits = np.stack([np.concatenate(t) for t in tables], axis=2) if langs else np.zeros((first[-1], n, 0))
-    return ContextTrees(symbol, row.astype(np.int32), (-np.log2(np.maximum(bits, 1e-300))).astype(np.float32), langs, order)
+    bits = np.stack(tables, axis=2) if langs else np.zeros((first[-1], n, 0), np.float32)
+    return ContextTrees(symbol, row.astype(np.int32), bits, langs, order)
 
 
 def sample(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES) -> dict[str, list[bytes]]:
-    """Whole lower-cased texts by language from rows that may be learned from, in a seeded order, to the bound in bytes."""
+    """Whole lower-cased texts by language from rows that may be learned from, in a seeded order, to the bound in bytes.
+
+    Texts of more than SAMPLE_TEXT bytes are not learned from, so what is collected has a bound. More than MOST_LANGUAGES
+    values of lang are an error, since the trees of all languages are broadcast; none is dropped.
+    """
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 5, 0))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
     out: dict[str, list[bytes]] = {}
     if not counts:
         return out
     rate = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, most_docs / n))])[F.col("lang")]
     drawn = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_003)) < rate * 1_000_003
-    rows = known.where(drawn & F.col("lang").isin(list(counts))).select("lang", "doc_id", F.lower("text").alias("text"))
+    order = F.xxhash64(F.lit("order"), "doc_id").alias("order")
+    rows = known.where(drawn & (F.octet_length("text") <= SAMPLE_TEXT)).select("lang", order, F.lower("text").alias("text"))
     size: dict[str, int] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["order"], r["text"])):
         text = r["text"].encode()
         if size.setdefault(r["lang"], 0) < most_bytes:
             size[r["lang"]] += len(text)

@@ -1,9 +1,11 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over windows of words, in numpy.
 
-Each word enters with a word input (the shrunken log odds of the lower-cased word in toxic against clean documents) and
-two character inputs (the highest and the mean log odds of its 4-byte grams, with marks at both ends), all hashed. In
-training, a document's own count is left out of its inputs. Windows of WINDOW words overlap by OVERLAP, so every word
-is read with context; a document's score is that of its most toxic window.
+Each word enters with a word input and character inputs. The word input is a learned vector of its hash and the shrunken log
+odds of the lower-cased word in toxic against clean documents; the character inputs are the mean of the learned vectors of its
+4-byte grams (with marks at both ends) and the highest and the mean log odds of these. In training, a document's own count is
+left out of its log odds, and the vectors of some words are blanked at random, so that the network does not learn single
+documents by heart. Windows of WINDOW words overlap by OVERLAP, so every word is read with context; a document's score is
+that of its most toxic window.
 
 Training uses a bounded sample: about MOST_TOXIC and MOST_CLEAN labelled documents. Each toxic document gives the
 window with the strongest inputs, each clean one that window and a random one.
@@ -22,15 +24,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, slices
+from .common import held, held_out, slices
 
 WINDOW, OVERLAP = 48, 16
 HIDDEN = 8
 MOST_TOXIC, MOST_CLEAN = 1500, 3000
-EPOCHS, BATCH, RATE = 30, 256, 0.02
+SAMPLE_TEXT = 64_000
+EPOCHS, BATCH, RATE = 20, 256, 0.02
 SHRINK = 3.0
 TABLE_BITS = 18
-CACHED_WORDS = 300_000
+#: Learned vectors: numbers in each, bits of their tables, share of words blanked in training, and the decay of unused ones.
+VECTOR, VECTOR_BITS, BLANK, DECAY = 4, 12, 0.5, 0.01
+INPUTS = 3 + 2 * VECTOR
+CACHED_WORDS = 200_000
 _MARKS = string.punctuation + string.digits
 _MIX = np.uint32(0x9E3779B1)
 
@@ -79,6 +85,43 @@ def inputs(words: list[bytes], word_odds: np.ndarray, gram_odds: np.ndarray) ->
     return out
 
 
+@dataclass
+class Parts:
+    """Rows of the vector tables that words use: of the word, and of its grams (owner says whose)."""
+
+    word: np.ndarray
+    owner: np.ndarray
+    gram: np.ndarray
+
+    @classmethod
+    def of(cls, words: list[bytes]) -> Parts:
+        owner, slot = grams(words)
+        shift = TABLE_BITS - VECTOR_BITS
+        return cls(word_slots(words) >> shift, owner, slot >> shift)
+
+    def take(self, some: np.ndarray) -> Parts:
+        """The parts of a sorted selection of words."""
+        first, last = np.searchsorted(self.owner, some), np.searchsorted(self.owner, some, side="right")
+        n = last - first
+        at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return Parts(self.word[some], np.repeat(np.arange(len(some)), n), self.gram[at])
+
+    def vectors(self, w: dict[str, np.ndarray]) -> np.ndarray:
+        """Rows (vector of the word, mean vector of its grams)."""
+        if not len(self.word):
+            return np.zeros((0, 2 * VECTOR), np.float32)
+        n = np.bincount(self.owner, minlength=len(self.word))
+        sums = np.stack([np.bincount(self.owner, weights=w["eg"][self.gram, i], minlength=len(self.word)) for i in range(VECTOR)], axis=1)
+        return np.hstack([w["ew"][self.word], sums / np.maximum(n, 1)[:, None]]).astype(np.float32)
+
+    def gradients(self, d: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the tables, from those of the rows of vectors()."""
+        n, rows = np.bincount(self.owner, minlength=len(self.word)), 1 << VECTOR_BITS
+        each = (d[:, VECTOR:] / np.maximum(n, 1)[:, None])[self.owner]
+        sums = lambda at, x: np.stack([np.bincount(at, weights=x[:, i], minlength=rows) for i in range(VECTOR)], axis=1)
+        return {"ew": sums(self.word, d[:, :VECTOR]), "eg": sums(self.gram, each)}
+
+
 def windows(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, position of the first word, words) of all windows of texts of so many words, laid end to end."""
     step = WINDOW - OVERLAP
@@ -102,6 +145,7 @@ class Network:
         self.w = {"att": r.normal(0, 0.3, (2 * hidden, 1)), "out": r.normal(0, 0.3, (2 * hidden, 1)), "bias": np.zeros(1)}
         for d in "fb":
             self.w |= {f"{d}w": r.normal(0, 0.5, (size, 3 * hidden)), f"{d}u": r.normal(0, hidden**-0.5, (hidden, 3 * hidden)), f"{d}b": np.zeros(3 * hidden)}
+        self.w |= {k: r.normal(0, 0.1, (1 << VECTOR_BITS, VECTOR)) for k in ("ew", "eg")}
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
     def _run(self, d: str, x: np.ndarray, mask: np.ndarray, keep: list | None) -> np.ndarray:
@@ -132,8 +176,8 @@ class Network:
             keep.update(tapes=tapes, states=states, a=a, pooled=pooled)
         return (pooled @ self.w["out"])[:, 0] + self.w["bias"][0]
 
-    def gradients(self, x: np.ndarray, mask: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean cross entropy."""
+    def gradients(self, x: np.ndarray, mask: np.ndarray, label: np.ndarray, d_x: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Of the mean cross entropy, by weight; those of the inputs are added to d_x."""
         keep: dict = {}
         k, n = self.hidden, x.shape[1]
         p = _sigmoid(self.forward(x, mask, keep))
@@ -155,18 +199,31 @@ class Network:
                 d_in = np.concatenate([d_z, d_r, d_c], axis=1)
                 d_rec = np.concatenate([d_z, d_r, d_c * r], axis=1)
                 g[f"{d}w"] += x[i].T @ d_in
+                if d_x is not None:
+                    d_x[i] += d_in @ self.w[f"{d}w"].T
                 g[f"{d}b"] += d_in.sum(axis=0)
                 g[f"{d}u"] += h.T @ d_rec
                 d_h = d_h * (1 - m * z) + d_rec @ u.T
         return g
 
-    def train(self, x: np.ndarray, mask: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
+    def train(self, odds: np.ndarray, word: np.ndarray, parts: Parts, mask: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> None:
+        """odds (time, windows, 3) and word (time, windows), the number of each word in parts."""
         r, first, second, t = np.random.default_rng(seed), {}, {}, 0
         for epoch in range(epochs):
-            order = r.permutation(x.shape[1])
+            order = r.permutation(odds.shape[1])
             for at in range(0, len(order), BATCH):
                 some, t = order[at : at + BATCH], t + 1
-                for name, grad in self.gradients(x[:, some], mask[:, some], label[some]).items():
+                seen, own = np.unique(word[:, some], return_inverse=True)
+                own, used = own.reshape(word[:, some].shape), parts.take(seen)
+                kept = (r.random(len(seen)) >= BLANK)[:, None] / (1 - BLANK)
+                x = np.concatenate([odds[:, some], (used.vectors(self.w) * kept).astype(np.float32)[own]], axis=2)
+                d_x = np.zeros_like(x)
+                grads = self.gradients(x, mask[:, some], label[some], d_x)
+                d = np.stack([np.bincount(own.ravel(), weights=d_x[:, :, 3 + i].ravel(), minlength=len(seen)) for i in range(2 * VECTOR)], axis=1)
+                grads |= used.gradients(d * kept)
+                for name in ("ew", "eg"):
+                    grads[name] += DECAY / len(label) * self.w[name]
+                for name, grad in grads.items():
                     grad = np.clip(grad, -1, 1)
                     first[name] = 0.9 * first.get(name, 0) + 0.1 * grad
                     second[name] = 0.99 * second.get(name, 0) + 0.01 * grad**2
@@ -186,7 +243,7 @@ class WordTable:
     """Inputs of the words seen so far, begun anew when it holds CACHED_WORDS."""
 
     def __init__(self) -> None:
-        self.ids, self.rows = _Ids(), np.zeros((0, 3), np.float32)
+        self.ids, self.rows = _Ids(), np.zeros((0, INPUTS), np.float32)
 
     def look_up(self, words: list[str], model: Model) -> np.ndarray:
         if len(self.ids) > CACHED_WORDS:
@@ -195,7 +252,7 @@ class WordTable:
         at = np.fromiter([ids[w] for w in words], np.int64, len(words))
         if len(ids) > len(self.rows):
             new = [normal(w) for w in list(ids)[len(self.rows) :]]
-            self.rows = np.concatenate([self.rows, inputs(new, model.word_odds, model.gram_odds)])
+            self.rows = np.concatenate([self.rows, np.hstack([inputs(new, model.word_odds, model.gram_odds), Parts.of(new).vectors(model.network.w)])])
         return self.rows[at]
 
 
@@ -230,7 +287,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     size, n_toxic, n_clean = 1 << TABLE_BITS, float(toxic.sum()), float((1 - toxic).sum())
     if not n_toxic or not n_clean:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), None)
-    split = [[normal(w) for w in t.split()] for t in texts]
+    same: dict[bytes, bytes] = {}  # one object a word
+    split = [[same.setdefault(w, w) for w in map(normal, t.split())] for t in texts]
     have: list[tuple[np.ndarray, np.ndarray]] = []
     counts = np.zeros((2, 2, size), np.float32)  # word or gram, clean or toxic
     for words, label in zip(split, toxic, strict=True):
@@ -238,7 +296,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         have.append((np.unique(word_slots(own)), np.unique(grams(own)[1])))
         for kind in (0, 1):
             counts[kind, label, have[-1][kind]] += 1
-    r, xs, sizes, labels = np.random.default_rng(11), [], [], []
+    r, xs, numbers, sizes, labels, vocabulary = np.random.default_rng(11), [], [], [], [], {}
     for words, own, label in zip(split, have, toxic, strict=True):
         if not words:
             continue
@@ -250,38 +308,41 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
             table[own[kind]] = log_odds(c[1], c[0], n_toxic - label, n_clean - (1 - label))
             odds.append(table)
         own_words = sorted(set(words))
-        x = inputs(own_words, *odds)[np.searchsorted(np.array(own_words, dtype=object), np.array(words, dtype=object))]
+        at = np.searchsorted(np.array(own_words, dtype=object), np.array(words, dtype=object))
+        x = inputs(own_words, *odds)[at]
         _, start, n = windows(np.array([len(words)]))
         strength = np.array([x[s : s + m].max(axis=0).sum() for s, m in zip(start, n, strict=True)])
         chosen = {int(strength.argmax())} | ({int(r.integers(len(start)))} if not label else set())
         for i in chosen:
             xs.append(np.pad(x[start[i] : start[i] + n[i]], ((0, WINDOW - n[i]), (0, 0))))
+            numbers.append(np.pad([vocabulary.setdefault(w, len(vocabulary)) for w in words[start[i] : start[i] + n[i]]], (0, WINDOW - n[i])))
             sizes.append(n[i])
             labels.append(label)
     if not xs:
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), None)
-    network = Network()
+    network = Network(size=INPUTS)
     mask = (np.arange(WINDOW)[:, None] < np.array(sizes)).astype(np.float32)
-    network.train(np.stack(xs, axis=1), mask, np.array(labels, dtype=np.float32))
+    network.train(np.stack(xs, axis=1), np.stack(numbers, axis=1), Parts.of(list(vocabulary)), mask, np.array(labels, dtype=np.float32))
     return Model(*[log_odds(c[1], c[0], n_toxic, n_clean) for c in counts], network)
 
 
 def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of about so many rows that may be learned from, drawn by a seeded hash of doc_id."""
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """Whole texts and labels of about so many rows that may be learned from, drawn by a seeded hash of doc_id.
+
+    Texts of more than SAMPLE_TEXT bytes are not learned from, so the sample has a bound in bytes. A doc_id with both labels
+    counts as toxic, and of the texts with one doc_id the least is learned from.
+    """
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = F.when(F.col("toxic") == 1, most_toxic / max(1, counts.get(1, 0))).otherwise(most_clean / max(1, counts.get(0, 0)))
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003)) < rate * 1_000_003)
-    ids = sorted({(r["doc_id"], r["toxic"]) for r in drawn.limit(4 * (most_toxic + most_clean)).collect()})
-    label = dict(ids)
-    rows = docs.where(F.col("text").isNotNull()).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in label], "_id long")), F.col("doc_id") == F.col("_id"), "left_semi")
-    texts = sorted((r["doc_id"], r["text"]) for r in rows.select("doc_id", "text").limit(8 * (most_toxic + most_clean)).collect())
+    # the draw gives about most_toxic + most_clean rows; the limit is there for its bound and is not reached
+    label = {r["doc_id"]: r["toxic"] for r in drawn.limit(4 * (most_toxic + most_clean)).collect()}
+    rows = docs.where(F.octet_length("text") <= SAMPLE_TEXT).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in label], "_id long")), F.col("doc_id") == F.col("_id"), "left_semi")
+    texts = sorted((r["doc_id"], r["text"]) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # one a label
     return [t for _, t in texts], np.array([label[i] for i, _ in texts], dtype=np.int64)
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs (text among them) and score, from 0 to 1.
 
@@ -292,12 +353,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.arrow_udf("double")
     def of(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if key not in _TABLES:  # a worker process keeps the table of the last model only
-            _TABLES.clear()
-            _TABLES[key] = WordTable()
+        known = held(key, WordTable)
         for part in parts:
             batches = slices(iter([pa.RecordBatch.from_arrays([part], names=["t"])]), "t")
-            yield pa.array(np.concatenate([np.zeros(0), *[shared.value.score(b.column(0).to_pylist(), _TABLES[key]) for b in batches]]))
+            yield pa.array(np.concatenate([np.zeros(0), *[shared.value.score(b.column(0).to_pylist(), known) for b in batches]]))
 
     rest = [c for c in docs.columns if c != "score"]
     return docs.select(*rest, of(F.col("text")).alias("score"))
