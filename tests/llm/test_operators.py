@@ -1,3 +1,5 @@
+import base64
+import hashlib
 import math
 import random
 import zlib
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prismframe.llm import components, digest, jaccard, langid, lmscore, mixing, packing, preference, topk, toxicity, urlrules
+from prismframe.llm import common, components, digest, jaccard, langid, lmscore, mixing, packing, preference, topk, toxicity, urlrules
 from prismframe.llm.common import held_out
 
 
@@ -38,6 +40,34 @@ def test_top_k_few_rows_and_none(spark):
     assert topk.top_k(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_rows_and_queries(spark):
+    rows = [(0, [1, 0]), (0, [1, 0]), (1, [5, 1]), (2, [4, 2]), (2, [4, 2]), (3, [1, 1])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    for block in (2, 100):
+        got = Counter(tuple(x) for x in topk.top_k(table, table.where("vec_id = 0"), k=3, block=block).collect())
+        assert got == Counter({(0, 1, 1, 5): 2, (0, 2, 2, 4): 2, (0, 3, 2, 4): 2})
+
+
+def test_coarse_levels_leave_few_pairs_of_structured_vectors():
+    r = np.random.default_rng(3)
+    centres = np.repeat(r.integers(-60, 60, (40, 4)), 16, axis=1)  # four flat segments each
+    rows = (centres[r.integers(0, 40, 4000)] + r.integers(-2, 3, (4000, 64))).astype(np.int64)
+    left: list[int] = []
+    got = topk.top_k_block(rows[:50], np.arange(50), rows, np.arange(4000), 10, alive_by_level=left)
+    want = brute_top_k(list(enumerate(rows)), list(enumerate(rows[:50])), 10)
+    assert {(q, v, s) for q, v, s in got.itertuples(index=False)} == {(q, v, s) for q, _, v, s in want}
+    assert left[0] > left[1] >= left[2] >= left[3] and left[2] < 0.2 * left[0]
+
+
+def test_top_k_is_exact_for_large_numbers():
+    big = 2**29
+    rows = np.array([[big, 1], [big, 2], [big, 0], [3, 3]], dtype=np.int64)
+    got = topk.top_k_block(rows[:1], np.array([9]), rows, np.arange(4), 3)
+    assert got["score"].tolist() == [big * big + 2, big * big + 1, big * big] and got["vec_id"].tolist() == [1, 0, 2]
+    with pytest.raises(OverflowError):
+        topk.top_k_block(rows * 2**10, np.array([9] * 4), rows, np.arange(4), 3)
+
+
 def test_quantised_leaves_out_bad_vectors(spark):
     nan, inf = float("nan"), float("inf")
     data = [(1, [0.5, -0.01]), (2, None), (3, [nan]), (4, [inf]), (5, [None]), (None, [1.0])]
@@ -78,6 +108,60 @@ def test_network_gradients():
             assert abs((up - down) / 2e-5 - g[i]) < 1e-7
 
 
+def test_gradients_of_learned_vectors():
+    r = np.random.default_rng(1)
+    words = [b"one", b"two", b"a", b"seventeen"]
+    parts = toxicity.Parts.of(words)
+    net = toxicity.Network(size=toxicity.INPUTS, hidden=3)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    odds, word, y = r.normal(size=(4, 3, 3)), r.integers(0, 4, (4, 3)), np.array([1, 0, 1.0])
+    mask = (np.arange(4)[:, None] < np.array([4, 2, 3])).astype(float)
+    rows = np.vstack([parts.take(np.array([j])).vectors(net.w) for j in range(4)])
+    assert np.allclose(rows, parts.vectors(net.w))
+    owner, gram = toxicity.grams(words)
+    assert np.allclose(rows[3, toxicity.VECTOR :], net.w["eg"][(gram[owner == 3] >> toxicity.TABLE_BITS - toxicity.VECTOR_BITS)].mean(axis=0), atol=1e-6)
+
+    def vectors():  # in full precision
+        w, n = net.w, np.bincount(parts.owner)
+        means = np.stack([np.bincount(parts.owner, weights=w["eg"][parts.gram, i]) for i in range(toxicity.VECTOR)], axis=1) / n[:, None]
+        return np.hstack([w["ew"][parts.word], means])
+
+    def loss():
+        p = 1 / (1 + np.exp(-net.forward(np.concatenate([odds, vectors()[word]], axis=2), mask)))
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    x = np.concatenate([odds, vectors()[word]], axis=2)
+    d_x = np.zeros_like(x)
+    net.gradients(x, mask, y, d_x)
+    d = np.stack([np.bincount(word.ravel(), weights=d_x[:, :, 3 + i].ravel(), minlength=4) for i in range(2 * toxicity.VECTOR)], axis=1)
+    for name, g in parts.gradients(d).items():
+        w = net.w[name]
+        for i in [tuple(j) for j in np.argwhere(g != 0)[:12]]:
+            old = w[i]
+            w[i] = old + 1e-5
+            up = loss()
+            w[i] = old - 1e-5
+            down = loss()
+            w[i] = old
+            assert abs((up - down) / 2e-5 - g[i]) < 1e-7
+
+
+def test_a_network_learns_from_word_vectors_alone():
+    r = np.random.default_rng(2)
+    words = [f"w{i}".encode() for i in range(400)]
+    word = r.integers(0, 400, (toxicity.WINDOW, 600))
+    word[5, :300] = 7  # about five in nine windows have the word
+    label = (word == 7).any(axis=0).astype(np.float32)
+    mask = np.ones(word.shape, np.float32)
+    net = toxicity.Network(size=toxicity.INPUTS)
+    none = np.zeros((*word.shape, 3), np.float32)
+    held = np.arange(600) % 3 == 0
+    net.train(none[:, ~held], word[:, ~held], toxicity.Parts.of(words), mask[:, ~held], label[~held], epochs=150)
+    x = np.concatenate([none, toxicity.Parts.of(words).vectors(net.w)[word]], axis=2)
+    assert abs(label.mean() - 0.5) < 0.1  # a guess is right about half of the time
+    assert ((net.forward(x[:, held], mask[:, held]) > 0) == (label[held] > 0)).mean() > 0.75
+
+
 def test_windows_cover_every_word():
     counts = np.array([0, 1, 47, 48, 49, 80, 81, 500])
     owner, start, size = toxicity.windows(counts)
@@ -202,6 +286,24 @@ def test_judge_odd_urls(spark):
         [(1, "www.example.com", "/en/1", "www.example.com/en/", "allow"), (2, "", "", None, "allow"), (3, "", "", None, "allow"), (4, "a.net", "", None, "allow"), (5, "a.net", "/fr/", "net/fr/", "block"), (None, "y:", "//z", None, "allow"), (7, "É.com", "/", "com/", "allow"), (7, "É.com", "/", "com/", "allow"), (8, "", "", None, "allow")], key=repr)
 
 
+def test_rules_that_contradict_each_other_are_refused(monkeypatch):
+    rule = ("allow", "a.com", "/x")
+    assert urlrules.RuleTrie([rule, rule]).find("b.a.com", "/xy") == ("a.com/x", "allow")
+    with pytest.raises(ValueError, match="two verdicts"):
+        urlrules.RuleTrie([rule, ("block", "a.com", "/x")])
+    monkeypatch.setattr(urlrules, "MOST_CHARACTERS", 12)
+    with pytest.raises(ValueError, match="characters"):
+        urlrules.RuleTrie([rule, ("block", "b.com", "/x")])
+
+
+def test_judge_long_repeated_and_no_urls(spark):
+    rows = [(1, "http://example.com/en/" + "a/" * 200_000), (1, "http://example.com/en/" + "a/" * 200_000), (2, "http://" + "a." * 50_000 + "net/es/"), (3, "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("rule", F.lit("x"))
+    got = Counter((x["page_id"], x["rule"], x["verdict"]) for x in urlrules.judge(pages).collect())
+    assert got == Counter({(1, "example.com/en/", "block"): 2, (2, "net/es/", "block"): 1, (3, None, "allow"): 1})
+    assert urlrules.judge(pages.limit(0)).count() == 0
+
+
 # 5: language
 
 
@@ -263,8 +365,9 @@ def test_window_costs_and_sliding_least():
 
 def test_digests_do_not_depend_on_neighbours(real_docs):
     texts = [x["text"].encode() for x in real_docs.limit(60).collect()] + [b"", b"short", b"a" * 500]
-    alone = [digest.digests([t])[0] for t in texts]
-    big = digest.digests([*texts, b"".join(texts) * 4, *texts])
+    ranks = digest.rarity(digest.entropy_counts(texts))
+    alone = [digest.digests([t], ranks)[0] for t in texts]
+    big = digest.digests([*texts, b"".join(texts) * 4, *texts], ranks)
     for i, d in enumerate(alone):
         assert np.array_equal(d, big[i]) and np.array_equal(d, big[len(texts) + 1 + i])
 
@@ -275,10 +378,11 @@ def test_digests_are_alike_on_both_sides_of_every_part_of_a_wide_input():
     best = digest.sliding_least((rank << 32) | np.arange(len(rank)), digest.WINDOW)
     assert (digest._least_wide(rank) == (best >> 32 << 20) | (best & ((1 << 20) - 1))).all()
     text = " ".join("".join(r.choice(list("etaoinshrdlu"), 5)) for _ in range(400)).encode()
-    alone = digest.digests([text])[0]
+    ranks = digest.rarity(digest.entropy_counts([text]))
+    alone = digest.digests([text], ranks)[0]
     for border in (2 * part, 3 * part):
         for shift in range(100, 2300, 500):
-            got = digest.digests([text, b"x" * (border - shift - len(text) - 3 * digest.WINDOW), text, text])
+            got = digest.digests([text, b"x" * (border - shift - len(text) - 3 * digest.WINDOW), text, text], ranks)
             assert all(np.array_equal(got[i], alone) for i in (0, 2, 3))
 
 
@@ -299,6 +403,94 @@ def test_fingerprint_follows_descending_doc_id(odd_docs, no_docs):
     assert len(one) == 1 and one[0]["near_next"] == 1
 
 
+def naive_features(text, ranks):
+    """Hashes of the features of a text, window by window."""
+    mask, w = (1 << 64) - 1, digest.WINDOW
+    if len(text) < w:
+        return [int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little")] if text else []
+    never, order = 1 << 60, []
+    for i in range(len(text) - w + 1):
+        counts = Counter(text[i : i + w]).values()
+        cost = int(sum(digest._COST[c] for c in counts))
+        bits = -sum(c / w * math.log2(c / w) for c in counts)
+        order.append(int(ranks[cost >> digest._GRAIN]) if bits >= digest.LEAST_BITS - 1e-6 else never)
+    padded = [never] * w + order + [never] * w  # the gaps between texts are no features
+    times, last, out = Counter(), [], []
+    for a in range(len(padded) - w + 1):
+        best = min(range(a, a + w), key=lambda j: (padded[j], j))
+        if padded[best] < never:
+            times[best - w] += 1
+            if not last or last[-1] != best - w:
+                last.append(best - w)
+    for at in last:
+        if times[at] >= digest.POPULAR:
+            h = 0
+            for j in range(0, w, 8):
+                h = ((h ^ int.from_bytes(text[at + j : at + j + 8], "little")) * 0x9E3779B97F4A7C15) & mask
+                h ^= h >> 31
+            out.append(h)
+    return out
+
+
+def naive_digest(text, ranks):
+    found, out = naive_features(text, ranks), []
+    for a in range(0, len(found), digest.FILTER_FEATURES):
+        out.append({(h >> 11 * i) % digest.FILTER_BITS for h in found[a : a + digest.FILTER_FEATURES] for i in range(digest.HASHES)})
+    return out
+
+
+def naive_likeness(a, b):
+    if not a or not b:
+        return float(len(a) == len(b))
+    if len(a) > len(b):
+        a, b = b, a
+    total = 0.0
+    for x in a:
+        share = []
+        for y in b:
+            most, chance = min(len(x), len(y)), len(x) * len(y) / digest.FILTER_BITS
+            chance += digest.CUT * (most - chance)
+            share.append((len(x & y) - chance) / max(most - chance, 1e-9))
+        total += len(x) * max(0.0, max(share))
+    return min(1.0, total / sum(map(len, a)))
+
+
+def test_fingerprints_are_those_of_a_naive_digest(spark, real_docs):
+    texts = [x["text"] or "" for x in real_docs.orderBy("doc_id").limit(40).collect()] + ["", "tiny", "ab" * 300, "é" * 40, "".join(chr(33 + (i * i) % 90) for i in range(9000))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    counts = Counter()
+    for t in texts:
+        b = t.encode()
+        for i in range(len(b) - digest.WINDOW + 1):
+            counts[int(sum(digest._COST[c] for c in Counter(b[i : i + digest.WINDOW]).values())) >> digest._GRAIN] += 1
+    by_count = sorted(range(digest._KINDS), key=lambda k: (counts[k], k))
+    ranks = np.empty(digest._KINDS, np.int64)
+    ranks[by_count] = np.arange(digest._KINDS)
+    assert np.array_equal(digest.measured_rarity(docs), ranks)
+    own = [naive_digest(t.encode(), ranks) for t in texts]
+    for x in digest.fingerprint(docs, chunk=20_000).collect():
+        i = x["doc_id"]
+        changed = naive_digest(digest.edited(texts[i], texts[i - 1]).encode(), ranks)
+        for name, want in (("fingerprint", own[i]), ("edited_fingerprint", changed)):
+            n, body = x[name].split(":")
+            rows = np.unpackbits(np.frombuffer(base64.b64decode(body), np.uint8)).reshape(int(n), digest.FILTER_BITS)
+            assert [set(np.nonzero(r)[0].tolist()) for r in rows] == want
+        assert math.isclose(x["near_edited"], naive_likeness(own[i], changed), abs_tol=1e-9) and math.isclose(x["near_next"], naive_likeness(own[i], own[i - 1]), abs_tol=1e-9)
+
+
+def test_null_ids_follow_each_other_in_many_buckets(spark):
+    rows = [(None, f"text {i} " * 9) for i in range(300)] + [(i, f"known {i}") for i in range(50)] + [(None, None), (None, "text 1 " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    met = digest.with_neighbour(docs)
+    assert met.where("extra = 0").select("bucket").distinct().count() > 20
+    got = digest.fingerprint(docs).collect()
+    assert Counter((x["doc_id"], x["n_chars"]) for x in got) == Counter((i, len(t or "")) for i, t in rows)
+    # each text is followed by one text, in one round: the edited texts take each text's start once
+    order = sorted(met.where("extra = 0").collect(), key=lambda x: (x["bucket"], -(x["doc_id"] or 0), x["hash"] or 0, x["text"]))
+    want = Counter(hashlib.sha256(digest.edited(x["text"], order[(i + 1) % len(order)]["text"]).encode()).hexdigest() for i, x in enumerate(order))
+    assert Counter(x["edited_sha256"] for x in got) == want
+
+
 def test_likeness_tells_edited_from_other_texts(real_docs):
     got = digest.fingerprint(real_docs).where("n_chars > 300").collect()
     assert np.mean([x["near_edited"] for x in got]) > 0.3 + np.mean([x["near_next"] for x in got])
@@ -312,11 +504,11 @@ def test_attention_gradients_and_forward():
     net = lmscore.Attention(10, 6)
     net.w = {k: v.astype(np.float64) * 2 for k, v in net.w.items()}
     x, y = r.integers(0, 10, (3, 7)), r.integers(0, 6, (3, 7))
-    weight = (r.random((3, 7)) < 0.8).astype(float)
+    weight = (r.random((3, 7)) < 0.6).astype(float)
     loss, grads = net.gradients(x, y, weight)
-    own, parts = net.log_classes(net.states(x, net.tables()), y.ravel())
+    every = np.tile(np.arange(7), (3, 1))
+    own = net.log_classes(net.states(x, every, net.tables()), y.ravel())
     assert math.isclose(loss, -(weight.ravel() * own).sum() / weight.sum())
-    assert np.allclose(np.exp(parts).sum(axis=1), 1)
     for name, g in grads.items():
         w = net.w[name]
         for _ in range(6):
@@ -328,6 +520,97 @@ def test_attention_gradients_and_forward():
             down = net.gradients(x, y, weight)[0]
             w[i] = old
             assert abs((up - down) / 2e-5 - g[i]) < 1e-7
+    again = lmscore.Attention(10, 6, seed=9)
+    again.set_flat(net.flat())
+    assert all(np.allclose(again.w[k], net.w[k]) for k in net.w)
+
+
+def naive_class_log(net, inputs, wanted):
+    """The log probability of a class after some inputs, one position and one number at a time."""
+    w, d = net.w, lmscore.WIDTH
+    h = [w["e"][i] + w["p"][j] for j, i in enumerate(inputs)]
+    q = h[-1] @ w["q"]
+    scores = [float(q @ (x @ w["k"])) / math.sqrt(d) for x in h]
+    e = [math.exp(s - max(scores)) for s in scores]
+    mean = sum(x / sum(e) * (v @ w["v"]) for x, v in zip(e, h))
+    y = h[-1] + mean @ w["o"]
+    y = y + np.maximum(y @ w["m1"] + w["m1b"], 0) @ w["m2"]
+    z = (y @ w["c"] + w["cb"]).tolist()
+    return z[wanted] - max(z) - math.log(sum(math.exp(v - max(z)) for v in z))
+
+
+def naive_step(spelling, topic, before, own):
+    """A step of the spelling chain from the listed pairs, order by order."""
+    pairs = [(k // (lmscore.END_ID + 1) ** 2, k // (lmscore.END_ID + 1) % (lmscore.END_ID + 1), k % (lmscore.END_ID + 1), c) for k, c in zip(spelling.keys.tolist(), spelling.counts.tolist())]
+    p = 1 / (lmscore.END_ID + 1)
+    for fits in (lambda t, b: True, lambda t, b: t == topic, lambda t, b: b == before, lambda t, b: t == topic and b == before):
+        some = Counter()
+        for t, b, o, c in pairs:
+            if fits(t, b):
+                some[o] += c
+        p = (some[own] + (len(some) + 1e-6) * p) / (sum(some.values()) + len(some) + 1e-6)
+    return p
+
+
+def test_scores_are_those_of_a_naive_model(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "STEPS", 60)
+    r = random.Random(5)
+    words = ["".join(r.choice(["ba", "ne", "tion", "qu", "xo", "é"]) for _ in range(r.randint(1, 4))) for _ in range(40)]
+    texts = [" ".join(r.choice(words[: 10 + i % 30]) for _ in range(r.choice([3, 20, 70]))) for i in range(40)] + ["", None, "zebra ba"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    rows = lmscore.score(docs, F.col("doc_id") >= 30).collect()
+    model, counts = lmscore.fit(docs.where("doc_id < 30"))
+    known = {bytes(x["word"]): x["n"] for x in counts.collect()}
+    encode = lmscore.subwords().encode
+    for x in rows:
+        own = (texts[x["doc_id"]] or "").encode().lower().split()
+        coded = [encode(" " + w.decode()) for w in own] + [[lmscore.END_ID]]
+        ids = [j for c in coded for j in c]
+        before, total, at = [lmscore.END_ID, *ids[:-1]], 0.0, 0
+        for w, c in zip([*own, None], coded):
+            step = lmscore.WINDOW - lmscore.CONTEXT
+            nth = 0 if at < lmscore.WINDOW else -(-(at + 1 - lmscore.WINDOW) // step)
+            inputs = [int(model.input_of[j]) for j in before[nth * step : at + 1]]
+            k = int(model.class_of[c[0]])
+            log_a = naive_class_log(model.net, inputs, k) - model.log_mass[k]
+            n = model.ends if w is None else known.get(w, 0)
+            spelt = 0.0
+            if w is not None:
+                spelt = math.exp(model.log_left[k]) * model.spelling.begin_share[c[0]]
+                for b, o in zip(c, [*c[1:], lmscore.END_ID]):
+                    spelt *= naive_step(model.spelling, int(model.spelling.topic_of[c[0]]), b, o)
+            p = math.exp(log_a) * (max(n - lmscore.DISCOUNT, 0) + spelt)
+            total += math.log10(model.mixture * (n + 0.5) / model.room + (1 - model.mixture) * p)
+            at += len(c)
+        assert math.isclose(total, x["score"], rel_tol=2e-4), x
+
+
+def test_spelling_and_classes_are_probabilities(spark, real_docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "STEPS", 20)
+    model, counts = lmscore.fit(real_docs.select("doc_id", "text"))
+    own = np.arange(lmscore.END_ID + 1)
+    for before in (int(model.spelling.keys[0] // len(own) % len(own)), 17):
+        assert math.isclose(np.exp(model.spelling.steps(np.zeros_like(own), np.full_like(own, before), own)).sum(), 1, rel_tol=1e-6)
+    listed = np.nonzero(model.class_of >= 0)[0]
+    share = np.bincount(model.class_of[listed], weights=model.spelling.begin_share[listed], minlength=lmscore.CLASSES)
+    assert np.allclose(share[share > 0], 1)
+    # discounted counts and what they leave make up the tokens of each class
+    table, rows = lmscore.subwords(), [(bytes(x["word"]), x["n"]) for x in counts.collect()]
+    first = model.class_of[table.flat[table.first[:-1][table.look_up([w for w, _ in rows])]]]
+    kept = np.bincount(first, weights=[n - lmscore.DISCOUNT for _, n in rows], minlength=lmscore.CLASSES)
+    kept[model.class_of[lmscore.END_ID]] += model.ends - lmscore.DISCOUNT
+    assert np.allclose(kept + np.exp(model.log_left), np.exp(model.log_mass))
+
+
+def test_the_model_tells_known_words_better_than_their_corpus_shares(real_docs):
+    test = held_out(F.col("doc_id"), 5, 1)
+    model, counts = lmscore.fit(real_docs.where(~test).select("doc_id", "text"))
+    known = {bytes(x["word"]): x["n"] for x in counts.collect()}
+    log_a, log_b, _, words = model.score([x["text"].encode() for x in real_docs.where(test & F.col("text").isNotNull()).collect()])
+    n = np.array([c for ws in words for c in [*[known.get(w, 0) for w in ws], model.ends]], dtype=float)
+    base, own = np.log10((n + 0.5) / model.room), np.log10(model.probability(log_a, log_b, n))
+    assert own[n > 3].mean() > base[n > 3].mean() + 0.1
+    assert np.log10(model.mixture * 10**base + (1 - model.mixture) * 10**own).mean() > base.mean() + 0.05
 
 
 def test_each_id_is_scored_once():
@@ -337,8 +620,8 @@ def test_each_id_is_scored_once():
     assert seen == Counter(range(sizes.sum()))
 
 
-def test_lm_base_scores_match_brute_force(real_docs, odd_docs, no_docs):
-    lmscore.Attention.train.__defaults__ = (20, 2)
+def test_lm_base_scores_match_brute_force(real_docs, odd_docs, no_docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "STEPS", 20)
     for docs in (real_docs, odd_docs):
         rows = docs.select("doc_id", "text").collect()
         words = [(x["doc_id"], [*(x["text"] or "").encode().lower().split(), None]) for x in rows]
@@ -426,6 +709,40 @@ def test_near_copies_of_very_long_texts_are_linked(spark):
     assert {(x["doc_id"], x["class_id"], x["links"]) for x in got} == {(1, 1, 1), (2, 1, 1), (3, 3, 0)}
 
 
+def test_recall_of_runs_and_rare_words_covers_every_level():
+    missed = 1 - (1 - math.exp(-0.8 * jaccard.FAN)) * (1 - math.exp(-0.8 * jaccard.DEEP_FAN)) ** (jaccard.DEPTH - 1)
+    assert missed ** jaccard.runs_for(0.999) <= 0.001 < missed ** (jaccard.runs_for(0.999) - 1)
+
+
+@pytest.mark.parametrize("limit", [0, common.MOST_BITMAP_BYTES])
+def test_counted_rows_by_bitmap_and_by_join(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "MOST_BITMAP_BYTES", limit)
+    keys = [0, 1, 7, 8, 32_767, 32_768, 32_769, 1 << 33, (5 << 33) + 11]
+    rows = spark.createDataFrame([(k, f"r{k}") for k in keys], "k long, text string")
+    counts = spark.createDataFrame([(0, 1), (7, 3), (8, 2), (32_768, 1), (1 << 33, 2), (99, 1)], "key long, n int")
+    got = {(x["k"], x["_count"]) for x in common.counted(rows, "k", counts, 3).collect()}
+    assert got == {(0, 1), (7, 3), (8, 2), (32_768, 1), (1 << 33, 2)}
+    assert {x["k"] for x in common.marked(rows, "k", counts.select("key")).collect()} == {k for k, _ in got}
+    assert common.marked(rows, "k", counts.select("key").where("key < 0")).count() == 0
+
+
+def test_skewed_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(60)], "k long, i long")
+    table = rows.groupBy(F.col("k").alias("key")).agg(F.count(F.lit(1)).alias("n")).where("key <> 5")
+    got = Counter((x["i"], x["n"]) for x in common.join_skewed(rows, table, {"k": "key"}, "n", 60).collect())
+    assert got == Counter((x["i"], x["n"]) for x in rows.join(table, F.col("k") == F.col("key")).collect())
+
+
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with common.scratch(spark) as keep:
+        inner = common.settle(spark.range(5))
+        outer = keep(inner)
+    assert outer.count() == 5
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        inner.agg(F.sum("id")).collect()
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 50)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7), (500, 500)]
@@ -538,3 +855,14 @@ def test_pairs_of_odd_conversations(spark):
     assert got[None]["prompt_turns"] == 2 and got[None]["chosen"] == ""
     assert got[3]["rejected"] == "<|assistant|>\nb<|end|>\n"
     assert preference.format_pairs(preference.pairs_of(table.limit(0)), "conv_id").count() == 0
+
+
+def test_nulls_inside_conversations_and_very_long_ones(spark):
+    kind = "array<struct<role:string,text:string>>"
+    many = [("assistant" if i % 2 else "user", f"t{i}" * (50_000 if i == 3 else 1)) for i in range(400)]
+    data = [(1, [("user", None), None, (None, "x"), ("assistant", None)], [("user", ""), None, ("unknown", "x"), ("assistant", "y")]), (2, many, [*many[:-1], ("assistant", "other")]), (3, [None], [])]
+    got = {x["k"]: x for x in preference.format_pairs(spark.createDataFrame(data, f"k long, chosen {kind}, rejected {kind}"), "k").collect()}
+    assert got[1]["prompt_turns"] == 3 and got[1]["prompt"] == "<|user|>\n<|end|>\n<|unknown|>\n<|end|>\n<|unknown|>\nx<|end|>\n"
+    assert (got[1]["chosen"], got[1]["rejected"]) == ("<|assistant|>\n<|end|>\n", "<|assistant|>\ny<|end|>\n") and got[1]["chosen_spans"] == "14:21"
+    assert got[2]["prompt_turns"] == 399 and got[2]["rejected"] == "<|assistant|>\nother<|end|>\n" and len(got[2]["prompt"]) > 100_000
+    assert (got[3]["prompt_turns"], got[3]["chosen"], got[3]["rejected"]) == (0, "<|unknown|>\n<|end|>\n", "")
