@@ -95,18 +95,19 @@ def fit(samples: dict[str, list[bytes]], order: int = ORDER, symbols: int = SYMB
     symbol = np.full(256, len(common), np.int32)
     symbol[common] = np.arange(len(common))
     n = len(common) + 1
-    streams = {lang: symbol[b].astype(np.int64) for lang, b in joined.items()}
+    streams = {lang: symbol[b].astype(np.uint8) for lang, b in joined.items()}  # widened one language at a time
     rows = [np.zeros(1, np.int64)]
     for k in range(1, order + 1):
         codes = []
         for x in streams.values():
-            code = np.zeros(max(0, len(x) - k), np.int64)
+            code = np.zeros(max(0, len(x) - k), np.int32)  # below symbols ** order
             for i in range(k):
-                code = code * n + x[i : len(x) - k + i]
-            codes.append(np.unique(code))
+                code *= n
+                code += x[i : len(x) - k + i]
+            codes.append(np.unique(code).astype(np.int64))
         found = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         rows.append(found[np.isin(found % n ** (k - 1), rows[k - 1])])
-    lengths = lambda lang: np.concatenate([-np.log2(np.maximum(t, 1e-300)).astype(np.float32) for t in _code_lengths(streams[lang], n, order, rows)])
+    lengths = lambda lang: np.concatenate([-np.log2(np.maximum(t, 1e-300)).astype(np.float32) for t in _code_lengths(streams[lang].astype(np.int64), n, order, rows)])
     tables = [lengths(lang) for lang in langs]
     first = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
     row = np.zeros(1, np.int32)
