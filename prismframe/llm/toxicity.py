@@ -13,6 +13,7 @@ window with the strongest inputs, each clean one that window and a random one.
 
 from __future__ import annotations
 
+import pickle
 import string
 import uuid
 from collections.abc import Iterator
@@ -326,8 +327,8 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
     return Model(*[log_odds(c[1], c[0], n_toxic, n_clean) for c in counts], network)
 
 
-def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> tuple[list[str], np.ndarray]:
-    """Whole texts and labels of about so many rows that may be learned from, drawn by a seeded hash of doc_id.
+def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
+    """Rows (doc_id, toxic, text), about so many, that may be learned from, drawn by a seeded hash of doc_id; whole texts.
 
     Texts of more than SAMPLE_TEXT bytes are not learned from, so the sample has a bound in bytes. A doc_id with both labels
     counts as toxic, and of the texts with one doc_id the least is learned from.
@@ -337,10 +338,22 @@ def sample(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, mos
     rate = F.when(F.col("toxic") == 1, most_toxic / max(1, counts.get(1, 0))).otherwise(most_clean / max(1, counts.get(0, 0)))
     drawn = usable.where(F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1_000_003)) < rate * 1_000_003)
     # the draw gives about most_toxic + most_clean rows; the limit is there for its bound and is not reached
-    label = {r["doc_id"]: r["toxic"] for r in drawn.limit(4 * (most_toxic + most_clean)).collect()}
-    rows = docs.where(F.octet_length("text") <= SAMPLE_TEXT).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in label], "_id long")), F.col("doc_id") == F.col("_id"), "left_semi")
-    texts = sorted((r["doc_id"], r["text"]) for r in rows.groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # one a label
-    return [t for _, t in texts], np.array([label[i] for i, _ in texts], dtype=np.int64)
+    label = [(r["doc_id"], r["toxic"]) for r in drawn.limit(4 * (most_toxic + most_clean)).collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(label, "_id long, toxic int"))
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_TEXT).join(wanted, F.col("doc_id") == F.col("_id"))
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one a label
+
+
+def learned(rows: DataFrame) -> Model:
+    """fit() on all rows of a sample, which one task gathers and learns from; only the model goes to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted((r["doc_id"], r["toxic"], r["text"]) for batch in batches for r in batch.to_pylist())
+        model = fit([t for _, _, t in own], np.array([x for _, x, _ in own], dtype=np.int64))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    found = rows.select("doc_id", "toxic", "text").repartition(1).mapInArrow(work, "model binary").first()
+    return pickle.loads(bytes(found["model"])) if found else fit([], np.zeros(0, np.int64))  # no rows: no task
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -364,4 +377,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs (doc_id, text) with score, by a model learned from the labelled rows that are not held out."""
-    return score(docs, fit(*sample(docs, labels)))
+    return score(docs, learned(sample(docs, labels)))
