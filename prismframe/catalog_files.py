@@ -549,10 +549,9 @@ def exr_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Version words, part types, tile descriptions, windows and chunk counts, from header bytes; a copy for each nation."""
     from .sources import layout
 
-    made = [(k, bytearray(layout.encode_headers(spec, [0] * len(spec)))) for k, spec in header_specs().items()]
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey")
-    copies = nations.crossJoin(F.broadcast(spark.createDataFrame(made, "key string, content binary")))  # seven rows
-    found = exr.parts(copies.select(F.concat_ws(":", "n_nationkey", "key").alias("path"), "content"))
+    made = [F.struct(F.lit(k).alias("key"), F.lit(layout.encode_headers(spec, [0] * len(spec))).alias("content")) for k, spec in header_specs().items()]
+    copies = _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*made)).alias("m"))
+    found = exr.parts(copies.select(F.concat_ws(":", "n_nationkey", "m.key").alias("path"), "m.content"))
     return found.select(F.split_part("path", F.lit(":"), F.lit(1)).cast("int").alias("n_nationkey"), F.split_part("path", F.lit(":"), F.lit(2)).alias("path"), *[c for c in found.columns if c != "path"])
 
 
