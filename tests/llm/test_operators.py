@@ -580,7 +580,8 @@ def test_scores_are_those_of_a_naive_model(spark, monkeypatch):
                 for b, o in zip(c, [*c[1:], lmscore.END_ID]):
                     spelt *= naive_step(model.spelling, int(model.spelling.topic_of[c[0]]), b, o)
             p = math.exp(log_a) * (max(n - lmscore.DISCOUNT, 0) + spelt)
-            total += math.log10(model.mixture * (n + 0.5) / model.room + (1 - model.mixture) * p)
+            share = (n + 0.5) / model.room if n or w is None else 0.5 / model.room * spelt / sum(math.exp(x) for x in model.log_left)
+            total += math.log10(model.mixture * share + (1 - model.mixture) * p)
             at += len(c)
         assert math.isclose(total, x["score"], rel_tol=2e-4), x
 
@@ -610,7 +611,22 @@ def test_the_model_tells_known_words_better_than_their_corpus_shares(real_docs):
     n = np.array([c for ws in words for c in [*[known.get(w, 0) for w in ws], model.ends]], dtype=float)
     base, own = np.log10((n + 0.5) / model.room), np.log10(model.probability(log_a, log_b, n))
     assert own[n > 3].mean() > base[n > 3].mean() + 0.1
-    assert np.log10(model.mixture * 10**base + (1 - model.mixture) * 10**own).mean() > base.mean() + 0.05
+    even = np.log10(model.share(log_b, n))  # the base score's own unseen words have more than the share of all together
+    assert np.all(even <= base + 1e-9) and model.mixed(log_a, log_b, n).mean() > even.mean() + 0.1
+
+
+def test_mixed_probabilities_sum_to_one_at_most(real_docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "STEPS", 20)
+    model, counts = lmscore.fit(real_docs.select("doc_id", "text"))
+    known = {bytes(x["word"]): x["n"] for x in counts.collect()}
+    fresh = [f"{a}{b}{c}".encode() for a in "abcdefghij" for b in "klmnopqrst" for c in ("", "a", "ion", "ing")]
+    words = [*known, *[w for w in fresh if w not in known]]
+    # every word as the first one of a text: the probabilities of one place
+    log_a, log_b, _, _ = (x if i == 3 else x[np.cumsum([2] * len(words)) - 2] for i, x in enumerate(model.score(words)))
+    end = model.score([None])
+    n = np.array([known.get(w, 0) for w in words], dtype=float)
+    total = (10 ** model.mixed(log_a, log_b, n)).sum() + (10 ** model.mixed(end[0], end[1], np.array([model.ends]))).sum()
+    assert 0.8 < total <= 1 + 1e-4  # the rest is for words that are not asked for
 
 
 def test_each_id_is_scored_once():
