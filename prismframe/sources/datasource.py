@@ -1,30 +1,47 @@
-"""`spark.read.format("exr")` and `spark.readStream.format("exr")` after register(spark).
+"""`spark.read`, `spark.readStream` and `df.write` with format("exr") after register(spark).
 
-The options are entry (a reader's name, see exr.ENTRIES), rows (chunks, lines or attributes) and, for lines, channels (names
-joined by commas), level ("x,y") and split_bytes. The driver lists the files; files larger than split_bytes are cut at chunks by
-their headers and offset tables, and small files are put together, so partitions have about that size. It opens files through
-Arrow's file systems, on the driver and on executors. exr.write() is the sink.
+Reading. Options: entry (a reader's name, see exr.ENTRIES), rows (lines, chunks or attributes), mode (FAILFAST, PERMISSIVE or
+DROPMALFORMED, see exr.MODES; PERMISSIVE adds the column error), recover (true: find chunks by their headers), window
+("x0,y0,x1,y1" of the first level, inclusive), split_bytes and, for lines, channels (names joined by commas) and level
+("x,y"). Comparisons of part_no, lvl_x, lvl_y, y, tx, ty, chunk_idx, x0, channel and path with constants are pushed down: chunks that
+they exclude are not read, and Spark does not check them again. A schema of fewer columns (spark.read.schema(...)) gives those alone.
+
+The driver lists files and cuts them into ranges of about split_bytes without opening any; small files are put together. A
+task reads the headers and the offset table of its files and takes the chunks that begin in its range.
+
+Writing. df has rows as exr.encode_chunks() takes them, all rows of a file in one task (df.repartition("path")), or with
+option rows = pieces those of exr.prepared(), whose chunks many tasks have encoded. parts: exr.parts_json() of the spec.
+Files appear when all tasks have ended; a job that fails leaves none. Modes append and overwrite (which empties the folder of exr files).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
+)
 
 from . import exr, layout
+from .layout import InvalidData, Unsupported
+from .planning import Wanted
 
 SCHEMAS = {"chunks": exr.CHUNKS, "lines": exr.LINES, "attributes": exr.ATTRIBUTES}
+#: Columns whose comparisons are pushed down, by kind of rows.
+PUSHED = {"lines": ("path", "part_no", "lvl_x", "lvl_y", "channel", "y", "x0"), "chunks": ("path", "part_no", "lvl_x", "lvl_y", "tx", "ty", "chunk_idx"), "attributes": ("path", "part_no")}
 
 
 @dataclass
 class Ranges(InputPartition):
-    """Rows of exr.SPLITS, as dicts, or whole files where there are no offsets."""
+    """Files or ranges of bytes of files, as (path, length, first byte, byte after the last)."""
 
-    splits: list[dict]
+    pieces: list[tuple[str, int, int, int]]
 
 
 def found_files(path: str) -> list[tuple[str, int]]:
@@ -42,18 +59,19 @@ def found_files(path: str) -> list[tuple[str, int]]:
 
 
 def planned(files: list[tuple[str, int]], split_bytes: int) -> list[Ranges]:
+    """Files in partitions of about split_bytes; none is opened."""
     out, small, size = [], [], 0
     for path, length in files:
         if length > split_bytes:
-            with exr.open_file(path) as f:
-                out += [Ranges([s]) for s in exr.file_splits(f, path, length, split_bytes)]
+            cuts = [*range(0, length, split_bytes), length]
+            out += [Ranges([(path, length, a, b)]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             continue
         if small and size + length > split_bytes:
             out.append(Ranges(small))
             small, size = [], 0
-        small.append({"path": path, "length": length, "offsets": None})
+        small.append((path, length, 0, length))
         size += length
-    return out + ([Ranges(small)] if small else [])
+    return out + ([Ranges(small)] if small or not out else [])
 
 
 class ExrSource(DataSource):
@@ -61,54 +79,108 @@ class ExrSource(DataSource):
     def name(cls) -> str:
         return "exr"
 
+    def _option(self, name: str, default: str = "") -> str:
+        return {k.lower(): v for k, v in self.options.items()}.get(name, default)  # option names come in any case
+
     @property
     def kind(self) -> str:
-        kind = self.options.get("rows", "lines")
+        kind = self._option("rows", "lines")
         if kind not in SCHEMAS:
             raise ValueError(f"rows must be one of {', '.join(SCHEMAS)}")
         return kind
 
     def schema(self) -> str:
-        return SCHEMAS[self.kind]
+        permissive = self.kind == "lines" and self._option("mode").upper() == exr.PERMISSIVE
+        return SCHEMAS[self.kind] + (", error string" if permissive else "")
 
     def reader(self, schema) -> DataSourceReader:
-        return ExrReader(self.kind, dict(self.options))
+        return ExrReader(self.kind, dict(self.options), schema.names)
 
     def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802  Spark's name
-        return ExrStreamReader(self.kind, dict(self.options))
+        return ExrStreamReader(self.kind, dict(self.options), schema.names)
+
+    def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
+        out = ExrWriter(dict(self.options), schema.names, overwrite)
+        out.begin()
+        return out
+
+
+def _mask(batch: pa.RecordBatch, f: Filter) -> pa.Array:
+    """Where a filter holds; null counts as no."""
+    column = batch.column(f.attribute[0])
+    if isinstance(f, In):
+        return pc.is_in(column, pa.array([v for v in f.value if v is not None], column.type))
+    compare = {EqualTo: pc.equal, GreaterThan: pc.greater, GreaterThanOrEqual: pc.greater_equal, LessThan: pc.less, LessThanOrEqual: pc.less_equal}[type(f)]
+    return pc.fill_null(compare(column, pa.scalar(f.value, column.type)), False)
 
 
 class _Reading:
-    def __init__(self, kind: str, options: dict):
-        self.kind = kind
-        # option names come in any case
+    def __init__(self, kind: str, options: dict, columns: list[str]):
+        self.kind, self.columns, self.filters = kind, columns, []
         o = {k.lower(): v for k, v in options.items()}
         self.path, self.entry, self.split_bytes = o["path"], o.get("entry", "any"), int(o.get("split_bytes", 32 << 20))
         self.channels = [c.strip() for c in o["channels"].split(",")] if "channels" in o else None
-        self.level = tuple(int(x) for x in o["level"].split(",")) if "level" in o else (0, 0) if self.entry == "single" else None
+        self.recover, self.mode = o.get("recover", "false").lower() == "true", exr._mode(o.get("mode", exr.FAILFAST))
+        self.wanted = Wanted(window=tuple(int(x) for x in o["window"].split(",")) if "window" in o else None)
+        level = tuple(int(x) for x in o["level"].split(",")) if "level" in o else (0, 0) if self.entry == "single" else None
+        if level is not None:
+            self.wanted = self.wanted.narrowed("lvl_x", level[0], level[0]).narrowed("lvl_y", level[1], level[1])
+
+    def take(self, f: Filter) -> bool:
+        """Whether a filter is handled here; it then narrows what is wanted."""
+        if not isinstance(f, (EqualTo, In, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) or len(f.attribute) != 1 or f.attribute[0] not in PUSHED[self.kind]:
+            return False
+        name, value = f.attribute[0], f.value
+        if isinstance(f, EqualTo) and value is None:
+            return False
+        self.filters.append(f)
+        if name in ("part_no", "lvl_x", "lvl_y") or name == "y" and self.kind == "lines":
+            values = [v for v in value if v is not None] if isinstance(f, In) else [value]
+            low, high = (min(values), max(values)) if values else (0, -1)
+            low = None if isinstance(f, (LessThan, LessThanOrEqual)) else low + isinstance(f, GreaterThan)
+            high = None if isinstance(f, (GreaterThan, GreaterThanOrEqual)) else high - isinstance(f, LessThan)
+            self.wanted = self.wanted.narrowed(name, low, high)
+        elif name == "channel" and isinstance(f, (EqualTo, In)):
+            named = [value] if isinstance(f, EqualTo) else [v for v in value if v is not None]
+            self.channels = named if self.channels is None else [c for c in self.channels if c in named]
+        return True
+
+    def _kept(self, path: str) -> bool:
+        one = pa.RecordBatch.from_pydict({"path": [path]})
+        return all(_mask(one, f)[0].as_py() for f in self.filters if f.attribute == ("path",))
+
+    def _batches(self, piece: tuple[str, int, int, int]) -> Iterator[pa.RecordBatch]:
+        path, length, first, stop = piece
+        with exr.open_file(path) as f:
+            if self.kind == "attributes":
+                if first == 0:
+                    try:
+                        yield from exr.attribute_batches(path, f.read_at(layout.plan_by_ranges(exr.range_reader(f), length).at, 0))
+                    except (InvalidData, Unsupported):
+                        if self.mode == exr.FAILFAST:
+                            raise
+                return
+            cut = exr.file_splits(f, path, length, self.split_bytes, self.entry, self.wanted, self.recover, self.mode, (first, stop))
+        if cut:
+            chunks = exr.range_batches(iter([pa.RecordBatch.from_pylist(cut, schema=exr.arrow_schema(exr.SPLITS))]), self.entry, self.wanted, self.mode)
+            yield from chunks if self.kind == "chunks" else exr.line_batches(chunks, self.channels, self.wanted, self.mode)
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
-        for s in partition.splits:
-            with exr.open_file(s["path"]) as f:
-                if self.kind == "attributes":
-                    yield from exr.attribute_batches(s["path"], f.read_at(layout.plan_by_ranges(exr.range_reader(f), s["length"]).at, 0))
-                    continue
-                cut = exr.file_splits(f, s["path"], s["length"], self.split_bytes) if s["offsets"] is None else [s]
-            chunks = exr.range_batches(iter([pa.RecordBatch.from_pylist(cut, schema=exr.arrow_schema(exr.SPLITS))]), self.entry) if cut else iter(())
-            if self.level is not None:
-                chunks = (_of_level(b, *self.level) for b in chunks)
-            yield from chunks if self.kind == "chunks" else exr.line_batches(chunks, self.channels)
-
-
-def _of_level(batch: pa.RecordBatch, x: int, y: int) -> pa.RecordBatch:
-    import pyarrow.compute as pc
-
-    return batch.filter(pc.and_(pc.equal(batch.column("lvl_x"), x), pc.equal(batch.column("lvl_y"), y)))
+        for piece in partition.pieces:
+            if self._kept(piece[0]):
+                for batch in self._batches(piece):
+                    for f in self.filters:
+                        batch = batch.filter(_mask(batch, f))
+                    yield batch.select(self.columns)
 
 
 class ExrReader(_Reading, DataSourceReader):
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802  Spark's name
+        return [f for f in filters if not self.take(f)]
+
     def partitions(self) -> list[Ranges]:
-        return planned(found_files(self.path), 1 << 62 if self.kind == "attributes" else self.split_bytes)
+        files = [x for x in found_files(self.path) if self._kept(x[0])]
+        return planned(files, 1 << 62 if self.kind == "attributes" else self.split_bytes)
 
 
 class ExrStreamReader(_Reading, DataSourceStreamReader):
@@ -128,6 +200,149 @@ class ExrStreamReader(_Reading, DataSourceStreamReader):
         pass
 
 
+@dataclass
+class Drafts(WriterCommitMessage):
+    """Finished files of a task: (path, draft, bytes)."""
+
+    files: list[tuple[str, str, int]]
+
+
+class _Collected:
+    """Chunks of one file from its rows, in any order: each is encoded when all its rows are there."""
+
+    def __init__(self, spec: list[layout.Part]):
+        self.spec, self.waiting, self.bodies, self.most = spec, {}, {}, [0] * len(spec)
+
+    def add(self, no: int, lx: int, ly: int, channel: str, y: int, samples: np.ndarray, counts: np.ndarray | None) -> None:
+        if not 0 <= no < len(self.spec):
+            raise InvalidData(f"rows of part {no}")
+        part = self.spec[no]
+        across, down = part.grids.get((lx, ly), (0, 0))
+        ty = y // (part.tile[1] if part.tiled else part.rows)
+        if not 0 <= ty < down:
+            raise InvalidData(f"rows that part {no} has no place for: {(channel, y, lx, ly)}")
+        layout.check_lines(part, 0, ty, lx, ly, [(channel, y)])
+        _, y0, _, h = part.box(0, ty, lx, ly)
+        encoded = (no, part.place(0, ty, lx, ly)) in self.bodies
+        have = self.waiting.setdefault((no, lx, ly, ty), {})
+        if encoded or (channel, y) in have:
+            raise InvalidData(f"two rows of channel {channel} have y {y}")
+        have[channel, y] = (samples, counts)
+        if len(have) == sum(r % c.ys == 0 for r in range(y0, y0 + h) for c in part.channels):
+            self._encode(no, lx, ly, ty, across)
+
+    def _encode(self, no: int, lx: int, ly: int, ty: int, across: int) -> None:
+        part, have = self.spec[no], self.waiting.pop((no, lx, ly, ty))
+        starts = {k: None if n is None else np.concatenate([[0], np.cumsum(n)]) for k, (_, n) in have.items()}
+        xs = {c.name: c.xs for c in part.channels}
+        for tx in range(across):
+            x, _, w, _ = part.box(tx, ty, lx, ly)
+            own = {}
+            for k, (v, n) in have.items():
+                a, b = (x, x + w) if n is not None else (-(-x // xs[k[0]]), -(-(x + w) // xs[k[0]]))
+                if tx + 1 == across and len(v if n is None else n) != b:
+                    raise InvalidData(f"a row of another length: {k}")
+                own[k] = (v[a:b], None) if n is None else (v[starts[k][a] : starts[k][b]], n[a:b])
+            body, most = layout.encode_chunk(part, tx, ty, lx, ly, own)
+            self.bodies[no, part.place(tx, ty, lx, ly)] = body
+            self.most[no] = max(self.most[no], most)
+
+    def pieces(self, path: str) -> Iterator[pa.RecordBatch]:
+        """The file as batches of exr.PIECES."""
+        if self.waiting or len(self.bodies) != sum(p.count for p in self.spec):
+            raise InvalidData(f"{len(self.bodies)} chunks for {path}: rows are missing, or lie in another task")
+        many = len(self.spec) > 1 or bool(self.spec[0].name)
+        order = sorted(self.bodies, key=lambda k: (k[0], layout.laid(self.spec[k[0]], k[1])))
+        at = len(layout.encode_headers(self.spec, self.most)) + 8 * len(order)
+        offsets = {}
+        for k in order:
+            offsets[k] = at
+            at += len(self.bodies[k]) + 4 * many
+        schema = exr.arrow_schema(exr.PIECES)
+        yield pa.RecordBatch.from_pylist([{"path": path, "step": 0, "tops": self.most}], schema=schema)
+        yield pa.RecordBatch.from_pylist([{"path": path, "step": 1, "n": offsets[k]} for k in sorted(offsets)], schema=schema)
+        for k in order:
+            yield pa.RecordBatch.from_pylist([{"path": path, "step": 2, "part_no": k[0], "body": self.bodies.pop(k)}], schema=schema)
+
+
+class ExrWriter(DataSourceArrowWriter):
+    """Tasks finish whole files under draft names; the commit moves them, and an abort deletes them.
+
+    The drafts' folder is made before any task, and by none, so a task that still runs after an abort cannot leave a draft.
+    """
+
+    def __init__(self, options: dict, columns: list[str], overwrite: bool):
+        o = {k.lower(): v for k, v in options.items()}
+        if "parts" not in o:
+            raise ValueError("the option parts must tell what the files consist of: exr.parts_json(spec)")
+        self.folder, self.rows, self.spec, self.overwrite = o["path"], o.get("rows", "lines"), exr.parts_of_json(o["parts"]), overwrite
+        layout.check_parts(self.spec)
+        need = exr._names(exr.PIECES) if self.rows == "pieces" else ["path", "part_no", "lvl_x", "lvl_y", "channel", "y", "samples", "counts"]
+        if self.rows not in ("lines", "pieces") or set(need) - set(columns):
+            raise ValueError(f"rows must be lines or pieces, with the columns {', '.join(need)}")
+        self.job = uuid.uuid4().hex
+
+    @property
+    def drafts(self) -> str:
+        return f"{self.folder.rstrip('/')}/_exr-{self.job}"
+
+    def begin(self) -> None:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(self.drafts)
+        system.create_dir(place, recursive=True)
+
+    def _whole(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict[str, _Collected] = {}
+        for batch in batches:
+            for path, *rest in exr.line_values(batch):
+                if path not in now:
+                    now[path] = _Collected(self.spec)
+                now[path].add(*rest)
+        for path in sorted(now):
+            yield from now.pop(path).pieces(path)
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Drafts:
+        own = exr.Stitching(self.spec, self.drafts)
+        try:
+            for batch in iterator if self.rows == "pieces" else self._whole(iterator):
+                own.add(batch)
+            own.close()
+        except BaseException:
+            own.abandon()
+            raise
+        return Drafts(own.done)
+
+    def commit(self, messages: list[Drafts | None]) -> None:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(root, recursive=True)
+        files = [x for m in messages if m is not None for x in m.files]
+        names = [path for path, _, _ in files]
+        if len(set(names)) < len(names):
+            self.abort(messages)
+            raise InvalidData("rows of a file lie in several tasks: repartition by path first")
+        if self.overwrite:
+            for x in system.get_file_info(fs.FileSelector(root)):
+                if x.is_file and x.path.endswith("." + exr.EXTENSION):
+                    system.delete_file(x.path)
+        for path, draft, _ in files:
+            system.move(draft, f"{root}/{path}.{exr.EXTENSION}")
+        self._clear()
+
+    def abort(self, messages: list[Drafts | None]) -> None:
+        self._clear()
+
+    def _clear(self) -> None:
+        from pyarrow import fs
+
+        system, place = fs.FileSystem.from_uri(self.drafts)
+        if system.get_file_info(place).type == fs.FileType.Directory:
+            system.delete_dir(place)
+
+
 def register(spark: SparkSession) -> None:
-    """Make the source known to a session."""
+    """Make the source and the sink known to a session, and let it push filters into Python sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ExrSource)

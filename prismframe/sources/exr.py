@@ -25,8 +25,9 @@ from ..functions import geometry
 from ..functions.numeric import preview_quantise
 from ..operators.tables import running_offsets
 from ..plans.lineage import cut
-from . import layout
+from . import layout, planning
 from .layout import Channel, InvalidData, Part, Unsupported
+from .planning import Wanted
 
 EXTENSION = "exr"
 #: Readers by name, as (many parts, kinds, level modes) that each accepts. "single" gives level (0, 0) only, and
@@ -43,9 +44,11 @@ _VALUE = "ints array<long>, floats array<double>, string string, strings array<s
 ATTRIBUTES = f"path string, version long, part_no int, attr_idx int, name string, type_name string, {_VALUE}"
 PARTS = "path string, version long, part_no int, name string, kind string, codec string, width long, height long, x0 int, y0 int, tile_x long, tile_y long, mode int, up boolean, chunks long"
 CHANNELS = "path string, part_no int, ch_idx int, name string, pixel_type string, p_linear boolean, x_sampling int, y_sampling int"
-SPLITS = "path string, length long, start long, stop long, part_nos array<int>, chunk_idxs array<int>, offsets array<long>"
-CHUNKS = "path string, part string, part_no int, chunk_idx int, y int, tx int, ty int, lvl_x int, lvl_y int, table_size long, unpacked_size long, payload binary"
+SPLITS = "path string, length long, start long, stop long, part_nos array<int>, chunk_idxs array<int>, offsets array<long>, walked boolean, error string"
+CHUNKS = "path string, part string, part_no int, chunk_idx int, y int, tx int, ty int, lvl_x int, lvl_y int, table_size long, unpacked_size long, payload binary, error string"
 LINES = "path string, part_no int, lvl_x int, lvl_y int, channel string, y int, x0 int, counts array<int>, starts array<int>, samples array<float>"
+#: What a damaged file or chunk does: an error of the job, a row with nothing but its place and the error, or no row.
+MODES = FAILFAST, PERMISSIVE, DROPMALFORMED = ("FAILFAST", "PERMISSIVE", "DROPMALFORMED")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -97,6 +100,15 @@ def _part(text: str) -> Part:
     return Part(**{**d, "channels": [Channel(**c) for c in d["channels"]], "tile": tuple(d["tile"]), "extra": [tuple(x) for x in d["extra"]]})
 
 
+def parts_json(spec: list[Part]) -> str:
+    """Parts as the option `parts` of the sink."""
+    return json.dumps([_part_json(p) for p in spec])
+
+
+def parts_of_json(text: str) -> list[Part]:
+    return [_part(x) for x in json.loads(text)]
+
+
 class _Parts(dict):
     """Parts by their text, each made once a task."""
 
@@ -198,60 +210,100 @@ def heads(spark: SparkSession, path: str) -> DataFrame:
     return listed(spark, path).mapInArrow(read, "path string, content binary")
 
 
-def file_splits(f, path: str, length: int, split_bytes: int) -> list[dict]:
-    """Rows of SPLITS of an open file."""
-    plan = layout.plan_by_ranges(range_reader(f), length)
-    placed = plan.offsets(f.read_at(8 * sum(plan.counts), plan.at), length)
-    ends, rows, first = [*[x[2] for x in placed[1:]], length], [], 0
-    for i in range(len(placed)):
-        if i + 1 == len(placed) or ends[i + 1] - placed[first][2] > split_bytes:
-            nos, idxs, offsets = zip(*placed[first : i + 1], strict=True)
-            rows.append({"path": path, "length": length, "start": offsets[0], "stop": ends[i], "part_nos": nos, "chunk_idxs": idxs, "offsets": offsets})
-            first = i + 1
+def file_splits(f, path: str, length: int, split_bytes: int, entry: str = "any", wanted: Wanted = Wanted(), recover: bool = False, mode: str = FAILFAST, within: tuple[int, int] | None = None) -> list[dict]:  # noqa: B008  not changed
+    """Rows of SPLITS of an open file, of its wanted chunks. within: only of chunks that begin in this range of bytes."""
+    whole = {"path": path, "length": length, "start": 0, "stop": 0, "part_nos": [], "chunk_idxs": [], "offsets": [], "walked": False}
+    lead = within is None or within[0] == 0
+    try:
+        plan = layout.plan_by_ranges(range_reader(f), length)
+        _guard(plan.version, plan.parts, entry)
+        index = planning.index_of(plan, range_reader(f), length, wanted, recover, mode == FAILFAST)
+    except (InvalidData, Unsupported) as e:
+        if mode == FAILFAST:
+            raise
+        return [whole | {"error": f"{type(e).__name__}: {e}"}] if lead else []
+    if within is not None:
+        index = index.take(np.nonzero((index.start >= within[0]) & (index.start < within[1]))[0])
+    rows = []
+    for a, b in planning.runs(index, split_bytes):
+        rows.append(whole | {"start": index.start[a], "stop": index.stop[b - 1], "part_nos": index.part[a:b], "chunk_idxs": index.number[a:b], "offsets": index.start[a:b], "walked": index.walked, "error": None})
+    for no, number, what in index.bad if lead else []:
+        rows.append(whole | {"part_nos": [no], "chunk_idxs": [number], "offsets": [-1], "error": f"InvalidData: {what}"})
     return rows
 
 
-def splits(spark: SparkSession, path: str, split_bytes: int = 4 << 20) -> DataFrame:
+def splits(spark: SparkSession, path: str, split_bytes: int = 4 << 20, entry: str = "any", wanted: Wanted = Wanted(), recover: bool = False, mode: str = FAILFAST) -> DataFrame:  # noqa: B008  not changed
     """Rows of SPLITS: runs of neighbouring chunks of about split_bytes, from headers and offset tables alone."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, length in zip(batch.column("path").to_pylist(), batch.column("length").to_pylist(), strict=True):
                 with open_file(path) as f:
-                    rows = file_splits(f, path, length, split_bytes)
+                    rows = file_splits(f, path, length, split_bytes, entry, wanted, recover, mode)
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(SPLITS))
 
     return listed(spark, path).mapInArrow(split, SPLITS)
 
 
-def range_batches(batches: Iterator[pa.RecordBatch], entry: str) -> Iterator[pa.RecordBatch]:
+def range_batches(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted = Wanted(), mode: str = FAILFAST) -> Iterator[pa.RecordBatch]:  # noqa: B008  not changed
     """Batches of SPLITS to batches of CHUNKS; a task holds one range at a time."""
     last, plan, texts = None, None, []
     for batch in batches:
         for s in batch.to_pylist():
+            if s["error"]:
+                if mode == PERMISSIVE:
+                    place = {"part_no": s["part_nos"][0], "chunk_idx": s["chunk_idxs"][0]} if s["part_nos"] else {}
+                    yield pa.RecordBatch.from_pylist([{"path": s["path"], "error": s["error"]} | place], schema=arrow_schema(CHUNKS))
+                continue
             if not 0 <= s["start"] <= s["stop"] <= s["length"]:
                 raise InvalidData(f"a chunk outside {s['path']}")
+            rows = []
             with open_file(s["path"]) as f:
                 if s["path"] != last:
                     last, plan = s["path"], layout.plan_by_ranges(range_reader(f), s["length"])
                     _guard(plan.version, plan.parts, entry)
                     texts = [_part_json(p) for p in plan.parts]
                 data = f.read_at(s["stop"] - s["start"], s["start"])
-            rows = []
-            for no, idx, at in zip(s["part_nos"], s["chunk_idxs"], s["offsets"], strict=True):
-                row, _ = plan.chunk(data, at - s["start"])
-                if row["part_no"] != no:
-                    raise InvalidData(f"a chunk of part {row['part_no']} in the table of part {no}")
-                rows.append({"path": s["path"], "part": texts[no], "chunk_idx": idx} | row)
+                for no, idx, at in zip(s["part_nos"], s["chunk_idxs"], s["offsets"], strict=True):
+                    try:
+                        row, _ = plan.chunk(data, at - s["start"])
+                        if row["part_no"] != no:
+                            raise InvalidData(f"a chunk of part {row['part_no']} in the table of part {no}; a walk by headers (recover) does not need the table")
+                        row = {"path": s["path"], "part": texts[no], "chunk_idx": idx} | row
+                        if not s["walked"]:
+                            planning.check_places(plan, range_reader(f), s["length"], [row], wanted)
+                        rows.append(row)
+                    except InvalidData as e:
+                        if mode == FAILFAST:
+                            raise
+                        if mode == PERMISSIVE:
+                            rows.append({"path": s["path"], "part": texts[no], "part_no": no, "chunk_idx": idx, "error": f"InvalidData: {e}"})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(CHUNKS))
 
 
-def read_chunks(spark: SparkSession, path: str, entry: str = "any", split_bytes: int = 4 << 20, tasks: int | None = None) -> DataFrame:
-    """Rows as chunks() gives them, for the files under path, each file in many tasks."""
-    found = splits(spark, path, split_bytes)
+def _mode(mode: str) -> str:
+    if mode.upper() not in MODES:
+        raise ValueError(f"mode must be one of {', '.join(MODES)}")
+    return mode.upper()
+
+
+def read_chunks(
+    spark: SparkSession, path: str, entry: str = "any", split_bytes: int = 4 << 20, tasks: int | None = None, wanted: Wanted = Wanted(), recover: bool = False, mode: str = FAILFAST,  # noqa: B008  not changed
+) -> DataFrame:
+    """Rows as chunks() gives them, for the files under path, each file in many tasks.
+
+    wanted: read no more than the chunks that hold these parts, levels, rows or this window. recover: find chunks by their
+    headers, one after another, instead of by the offset tables (done in any case where a file of many parts has
+    tables that are not filled in). mode: what damage does (see MODES); error tells it in rows of PERMISSIVE.
+    No file gives no rows.
+    """
+    mode = _mode(mode)
+    if entry == "single":
+        wanted = wanted.narrowed("lvl_x", 0, 0).narrowed("lvl_y", 0, 0)
+    found = splits(spark, path, split_bytes, entry, wanted, recover, mode)
     dealt = found.repartition("path", "start") if tasks is None else found.repartition(tasks, "path", "start")
-    return _first_level(dealt.mapInArrow(lambda batches: range_batches(batches, entry), CHUNKS), entry)
+    return dealt.mapInArrow(lambda batches: range_batches(batches, entry, wanted, mode), CHUNKS)
 
 
 def incomplete(packed: DataFrame) -> DataFrame:
@@ -262,26 +314,100 @@ def incomplete(packed: DataFrame) -> DataFrame:
     return found.withColumn("expected", expected("part")).where("chunks <> expected OR places <> expected").drop("part")
 
 
-def line_batches(batches: Iterator[pa.RecordBatch], only: list[str] | None = None) -> Iterator[pa.RecordBatch]:
-    """Batches of CHUNKS to batches of LINES, one a chunk."""
-    known = _Parts()
-    for batch in batches:
-        for i in range(batch.num_rows):
-            r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-            found = [x for x in layout.decode_chunk(known[r["part"]], r) if only is None or x[0] in only]
-            if found:
-                own = {k: [r[k]] * len(found) for k in ("path", "part_no", "lvl_x", "lvl_y")}
-                columns = own | dict(zip(("channel", "y", "x0", "counts", "samples"), zip(*found, strict=True), strict=True))
-                columns["starts"] = [None if c is None else [0, *np.cumsum(c)[:-1].tolist()] for c in columns["counts"]]
-                yield pa.RecordBatch.from_pydict({k: pa.array(v, arrow_schema(LINES).field(k).type) for k, v in columns.items()}, schema=arrow_schema(LINES))
+def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """Arrays as a list column, by their buffers; None is null."""
+    ends = np.concatenate([[0], np.cumsum([0 if v is None else len(v) for v in values])]).astype(np.int32)
+    some = [v for v in values if v is not None]
+    flat = pa.array(np.concatenate(some) if some else np.zeros(0), kind)
+    mask = pa.array([v is None for v in values]) if len(some) < len(values) else None
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=mask)
+
+
+def _line_batch(out: list[tuple], errors: bool) -> pa.RecordBatch:
+    """A batch of LINES from (path, part_no, lvl_x, lvl_y, channel, y, x0, counts, samples, error)."""
+    path, no, lx, ly, channel, y, x0, counts, samples, error = zip(*out, strict=True)
+    starts = [None if c is None else np.cumsum(c) - c for c in counts]
+    columns = [pa.array(v, k) for v, k in ((path, pa.string()), (no, pa.int32()), (lx, pa.int32()), (ly, pa.int32()), (channel, pa.string()), (y, pa.int32()), (x0, pa.int32()))]
+    columns += [_lists(list(counts), pa.int32()), _lists(starts, pa.int32()), _lists(list(samples), pa.float32())]
+    names = _names(LINES)
+    return pa.RecordBatch.from_arrays([*columns, pa.array(error, pa.string())] if errors else columns, names=[*names, "error"] if errors else names)
 
 
-def lines(packed: DataFrame, only: list[str] | None = None) -> DataFrame:
+def cropped(found: tuple, part: Part, box: tuple[int, int, int, int]) -> tuple | None:
+    """(channel, y, x0, counts, samples) of a line within a box of its level, in pixels; None where nothing is left.
+
+    Sample i of a channel of x sampling s lies on pixel i s.
+    """
+    channel, y, x, counts, samples = found
+    if not box[1] <= y <= box[3]:
+        return None
+    xs = next(c.xs for c in part.channels if c.name == channel)
+    n = len(samples) if counts is None else len(counts)
+    a, b = max(-(-box[0] // xs) - x, 0), min(box[2] // xs - x + 1, n)
+    if a >= b:
+        return None
+    if counts is None:
+        return channel, y, x + a, None, samples[a:b]
+    ends = np.cumsum(counts)
+    return channel, y, x + a, counts[a:b], samples[ends[a] - counts[a] : ends[b - 1]]
+
+
+def line_batches(batches: Iterator[pa.RecordBatch], only: list[str] | None = None, wanted: Wanted = Wanted(), mode: str = FAILFAST, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:  # noqa: B008  not changed
+    """Batches of CHUNKS to batches of LINES of about batch_bytes, or one chunk; with PERMISSIVE they have error, too."""
+    known, errors = _Parts(), mode == PERMISSIVE
+    keys = ("path", "part", "part_no", "chunk_idx", "tx", "ty", "lvl_x", "lvl_y", "table_size", "unpacked_size", "payload", "error")
+    out, size = [], 0
+    for batch in batches:
+        for values in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
+            r = dict(zip(keys, values, strict=True))
+            own = (r["path"], r["part_no"], r["lvl_x"], r["lvl_y"])
+            error = r["error"]
+            if error is None:
+                part = known[r["part"]]
+                try:
+                    found = layout.decode_chunk(part, r)
+                except InvalidData as e:
+                    if mode == FAILFAST:
+                        raise
+                    error = f"InvalidData: {e}"
+            if error is not None:
+                if errors:
+                    out.append((*own, None, None, None, None, None, error))
+                continue
+            box = None if wanted.window is None and wanted.y is None else wanted.box(part, r["lvl_x"], r["lvl_y"])
+            for line in found:
+                if only is None or line[0] in only:
+                    line = line if box is None else cropped(line, part, box)
+                    if line is not None:
+                        out.append((*own, *line, None))
+                        size += 100 + 4 * len(line[4]) + (0 if line[3] is None else 8 * len(line[3]))
+            if size > batch_bytes:
+                yield _line_batch(out, errors)
+                out, size = [], 0
+    if out:
+        yield _line_batch(out, errors)
+
+
+def lines(packed: DataFrame, only: list[str] | None = None, wanted: Wanted = Wanted(), mode: str = FAILFAST) -> DataFrame:  # noqa: B008  not changed
     """A row for each channel and row of each chunk: samples from x0 on, and for deep parts the counts of its pixels.
 
-    Choose levels, parts or rows with a filter on packed before this; only: channels to keep.
+    Choose levels, parts or rows with read_chunks(wanted=...), or with a filter on packed before this; only: channels to
+    keep. wanted: cut lines to its rows and window. mode PERMISSIVE gives chunks that cannot be decoded as a row
+    with error, and adds that column to all.
+    """
+    mode = _mode(mode)
+    return packed.mapInArrow(lambda batches: line_batches(batches, only, wanted, mode), LINES + (", error string" if mode == PERMISSIVE else ""))
+
+
+def region(spark: SparkSession, path: str, window: tuple[int, int, int, int], levels: tuple[tuple[int, int], tuple[int, int]] | None = None, only: list[str] | None = None, entry: str = "any", **more) -> DataFrame:
+    """Lines of a window (x0, y0, x1, y1 of the first level, inclusive) on all levels, or on ranges of lvl_x and of lvl_y.
+
+    Only chunks that the window touches are read, and lines are cut to it. A window outside of the image gives no rows.
     """
-    return packed.mapInArrow(lambda batches: line_batches(batches, only), LINES)
+    wanted = Wanted(window=window)
+    for name, (low, high) in zip(("lvl_x", "lvl_y"), levels or (), strict=False):
+        wanted = wanted.narrowed(name, low, high)
+    return lines(read_chunks(spark, path, entry, wanted=wanted, **more), only, wanted, more.get("mode", FAILFAST))
 
 
 def pixels(rows: DataFrame) -> DataFrame:
@@ -311,7 +437,7 @@ def preview(long: DataFrame) -> DataFrame:
 def _tile_columns(spec: list[Part], name: str) -> Column:
     """A value of a row's part, by part_no."""
     value = {"tile_x": lambda p: p.tile[0] if p.tiled else p.width, "tile_y": lambda p: p.tile[1] if p.tiled else p.rows}[name]
-    return F.element_at(F.array(*[F.lit(value(p)) for p in spec]), F.col("part_no") + 1)
+    return F.get(F.array(*[F.lit(value(p)) for p in spec]), F.col("part_no"))
 
 
 def rgba_planes(rows: DataFrame) -> DataFrame:
@@ -329,6 +455,30 @@ def rgba_planes(rows: DataFrame) -> DataFrame:
     return checked.select(*rest, *own, named).select(*rest, *keys, "_p.channel", "_p.samples", F.lit(None).cast("array<int>").alias("counts"))
 
 
+def _blocks(lines: pa.ListArray) -> Iterator[dict[tuple[str, int], tuple[np.ndarray, np.ndarray | None]]]:
+    """The lines of each row as (samples, counts) by channel and row, as views of the Arrow buffers; none may be there twice."""
+    ends, rows = lines.offsets.to_numpy(), lines.values
+    channel, y = rows.field("channel").to_pylist(), rows.field("y").to_numpy(zero_copy_only=False)
+    samples, counts = rows.field("samples"), rows.field("counts")
+    at, values = samples.offsets.to_numpy(), samples.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    n_at, n, flat = counts.offsets.to_numpy(), counts.values.to_numpy(zero_copy_only=False), counts.is_null().to_numpy(zero_copy_only=False)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        have = {(channel[i], int(y[i])): (values[at[i] : at[i + 1]], None if flat[i] else n[n_at[i] : n_at[i + 1]]) for i in range(a, b)}
+        if len(have) < b - a:
+            raise InvalidData("two rows of a channel have the same y")
+        yield have
+
+
+def line_values(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(path, part_no, lvl_x, lvl_y, channel, y, samples, counts) of each row, samples and counts as views of the buffers."""
+    samples, counts = batch.column("samples"), batch.column("counts")
+    at, values = samples.offsets.to_numpy(), samples.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+    n_at, n, flat = counts.offsets.to_numpy(), counts.values.to_numpy(zero_copy_only=False), counts.is_null().to_pylist()
+    keys = zip(*(batch.column(k).to_pylist() for k in ("path", "part_no", "lvl_x", "lvl_y", "channel", "y")), strict=True)
+    for i, key in enumerate(keys):
+        yield (*key, values[at[i] : at[i + 1]], None if flat[i] else n[n_at[i] : n_at[i + 1]])
+
+
 BODIES = "path string, part_no int, at int, place int, body binary, most int"
 
 
@@ -340,7 +490,9 @@ def encode_chunks(rows: DataFrame, spec: list[Part]) -> DataFrame:
     which has a bounded size, is encoded in one task. place: the chunk's number in the order in which chunks lie in the part.
     """
     layout.check_parts(spec)
-    text = json.dumps([_part_json(p) for p in spec])
+    text = parts_json(spec)
+    told = F.assert_true(F.col("part_no").between(0, len(spec) - 1), F.concat(F.lit("rows of part "), F.col("part_no").cast("string")))
+    rows = rows.withColumn("part_no", F.when(told.isNull(), F.col("part_no")))
     tx, ty = _tile_columns(spec, "tile_x"), _tile_columns(spec, "tile_y")
     length = F.when(F.col("counts").isNull(), F.size("samples")).otherwise(F.size("counts"))
     sampled = F.element_at(F.create_map(*[F.lit(x) for no, p in enumerate(spec) for c in p.channels for x in (f"{no} {c.name}", c.xs)]), F.concat_ws(" ", "part_no", "channel"))
@@ -356,18 +508,21 @@ def encode_chunks(rows: DataFrame, spec: list[Part]) -> DataFrame:
     blocks = cut.groupBy("path", "part_no", "lvl_x", "lvl_y", "tx", "ty").agg(F.collect_list("line").alias("lines"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = [_part(x) for x in json.loads(text)]
-        number = [{c: i for i, c in enumerate(p.chunks())} for p in told]
+        told = parts_of_json(text)
         for batch in batches:
             out: dict[str, list] = {k: [] for k in _names(BODIES)}
-            for r in batch.to_pylist():
-                no, key = r["part_no"], (r["tx"], r["ty"], r["lvl_x"], r["lvl_y"])
-                if key not in number[no]:
-                    raise InvalidData(f"rows outside part {no}: {key}")
-                have = {(x["channel"], x["y"]): (np.array(x["samples"], dtype=np.float32), x["counts"]) for x in r["lines"]}
-                body, most = layout.encode_chunk(told[no], *key, have)
-                at = number[no][key]
-                for k, v in zip(out, (r["path"], no, at, layout.laid(told[no], at), body, most), strict=True):
+            blocks = _blocks(batch.column("lines"))
+            for path, no, lx, ly, tx, ty in zip(*(batch.column(k).to_pylist() for k in ("path", "part_no", "lvl_x", "lvl_y", "tx", "ty")), strict=True):
+                if not 0 <= no < len(told):
+                    raise InvalidData(f"rows of part {no}")
+                across, down = told[no].grids.get((lx, ly), (0, 0))
+                if not (0 <= tx < across and 0 <= ty < down):
+                    raise InvalidData(f"rows outside part {no}: {(tx, ty, lx, ly)}")
+                have = next(blocks)
+                layout.check_lines(told[no], tx, ty, lx, ly, have)
+                body, most = layout.encode_chunk(told[no], tx, ty, lx, ly, have)
+                at = told[no].place(tx, ty, lx, ly)
+                for k, v in zip(out, (path, no, at, layout.laid(told[no], at), body, most), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=arrow_schema(BODIES))
 
@@ -376,11 +531,11 @@ def encode_chunks(rows: DataFrame, spec: list[Part]) -> DataFrame:
 
 def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
     """Rows (path, content): small files (under 2 GB, each made in one task) from rows as encode_chunks() takes them."""
-    text, done = json.dumps([_part_json(p) for p in spec]), encode_chunks(rows, spec)
+    text, done = parts_json(spec), encode_chunks(rows, spec)
     whole = done.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part_no", "at", "body", "most"))).alias("chunks"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = [_part(x) for x in json.loads(text)]
+        told = parts_of_json(text)
         for batch in batches:
             for r in batch.to_pylist():
                 found = r["chunks"]
@@ -391,17 +546,17 @@ def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
     return whole.mapInArrow(join, "path string, content binary")
 
 
+PIECES = "path string, step int, nth long, part_no int, n long, tops array<int>, body binary"
 WRITTEN = "path string, file string, bytes long"
 
 
-def write(rows: DataFrame, spec: list[Part], folder: str) -> DataFrame:
-    """Write a file folder/path.exr for each path of rows, and give rows (path, file, bytes). rows as for encode_chunks().
+def prepared(rows: DataFrame, spec: list[Part]) -> DataFrame:
+    """Rows of PIECES: all that the files of rows consist of, a file in one task, in order. rows as for encode_chunks().
 
-    The chunks are encoded by many tasks and written down once. A running sum of
-    their sizes places them, and one task a file streams headers, offset table and chunks, a batch at a time, under a name of its
-    own that is then moved over, so a task that is run again does no harm.
+    The chunks are encoded by many tasks and written down once, and a running sum of their sizes places them. step: 0 the headers,
+    1 an offset of the table, 2 a chunk. A file with chunks missing or twice is an error.
     """
-    text, many = json.dumps([_part_json(p) for p in spec]), len(spec) > 1 or bool(spec[0].name)
+    many = len(spec) > 1 or bool(spec[0].name)
     base = len(layout.encode_headers(spec, [0] * len(spec))) + 8 * sum(p.count for p in spec)
     counts = [p.count for p in spec]
     first = F.element_at(F.array(*[F.lit(sum(counts[:no])) for no in range(len(spec))]), F.col("part_no") + 1)
@@ -409,47 +564,95 @@ def write(rows: DataFrame, spec: list[Part], folder: str) -> DataFrame:
     sized = bodies.select("path", "part_no", (first + F.col("at")).alias("number"), (first + F.col("place")).alias("nth"), (F.octet_length("body") + F.lit(4 * many)).cast("long").alias("size"), "most")
     placed = running_offsets(sized, ["path"], "nth", "size").select("path", "part_no", "number", (F.col("offset") + base).alias("offset"), "most")
     most = F.greatest(F.col("most"), F.lit(0))
-    tops = placed.groupBy("path").agg(F.array(*[F.max(F.when(F.col("part_no") == no, most)) for no in range(len(spec))]).alias("tops"), F.count(F.lit(1)).alias("n"))
+    tops = placed.groupBy("path").agg(F.array(*[F.coalesce(F.max(F.when(F.col("part_no") == no, most)), F.lit(0)) for no in range(len(spec))]).alias("tops"), F.count(F.lit(1)).alias("n"))
+    whole = F.assert_true(F.col("n") == sum(counts), F.concat(F.col("n").cast("string"), F.lit(" chunks for "), F.col("path")))
+    tops = tops.select("path", F.when(whole.isNull(), F.col("n")).alias("n"), "tops")
     none = lambda kind: F.lit(None).cast(kind)
-    # 0: headers, 1: offsets in order of number, 2: chunks in order of place
-    parts_of_file = (
-        tops.select("path", F.lit(0).alias("step"), F.lit(0).alias("nth"), none("int").alias("part_no"), "n", "tops", none("binary").alias("body"))
+    pieces = (
+        tops.select("path", F.lit(0).alias("step"), F.lit(0).cast("long").alias("nth"), none("int").alias("part_no"), "n", "tops", none("binary").alias("body"))
         .union(placed.select("path", F.lit(1), "number", none("int"), F.col("offset"), none("array<int>"), none("binary")))
         .union(bodies.select("path", F.lit(2), first + F.col("place"), "part_no", none("long"), none("array<int>"), "body"))
     )
-    ordered = parts_of_file.repartition("path").sortWithinPartitions("path", "step", "nth")
+    return pieces.repartition("path").sortWithinPartitions("path", "step", "nth")
 
-    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+class Stitching:
+    """Files from batches of PIECES, streamed under draft names of their own. done: (path, draft, bytes) of each finished one."""
+
+    def __init__(self, spec: list[Part], folder: str):
         from pyarrow import fs
 
-        told = [_part(x) for x in json.loads(text)]
-        system, root = fs.FileSystem.from_uri(folder)
-        system.create_dir(root, recursive=True)
-        path = out = None
-        draft = f"{root}/_draft-{uuid.uuid4().hex}"
+        self.spec, self.many = spec, len(spec) > 1 or bool(spec[0].name)
+        self.system, self.root = fs.FileSystem.from_uri(folder)
+        self.path, self.out, self.draft, self.done = None, None, "", []
+
+    def _begin(self, path: str) -> None:
+        self.close()
+        self.path, self.draft = path, f"{self.root}/_draft-{uuid.uuid4().hex}"
+        self.out = self.system.open_output_stream(self.draft)
+
+    def close(self) -> None:
+        if self.out is not None:
+            size = self.out.tell()
+            self.out.close()
+            self.done.append((self.path, self.draft, size))
+            self.out = None
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        paths, steps = batch.column("path").to_pylist(), batch.column("step").to_pylist()
+        cuts = [i for i in range(len(paths)) if not i or paths[i] != paths[i - 1] or steps[i] != steps[i - 1]] + [len(paths)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if steps[a] == 0:
+                self._begin(paths[a])
+                self.out.write(layout.encode_headers(self.spec, batch.column("tops")[a].as_py()))
+            elif self.out is None or paths[a] != self.path:
+                raise InvalidData(f"pieces of {paths[a]} before its headers: its rows are not in one task, or not in order")
+            elif steps[a] == 1:
+                self.out.write(batch.column("n").slice(a, b - a).to_numpy(zero_copy_only=False).astype("<u8").tobytes())
+            else:
+                for no, body in zip(batch.column("part_no").slice(a, b - a).to_pylist(), batch.column("body").slice(a, b - a).to_pylist(), strict=True):
+                    self.out.write((no.to_bytes(4, "little") if self.many else b"") + body)
+
+    def abandon(self) -> None:
+        """Delete all drafts."""
+        if self.out is not None:
+            self.out.close()
+            self.done.append((self.path, self.draft, 0))
+            self.out = None
+        for _, draft, _ in self.done:
+            if self.system.get_file_info(draft).is_file:
+                self.system.delete_file(draft)
+
+    def name(self, path: str) -> str:
+        return f"{self.root}/{path}.{EXTENSION}"
+
+
+def make_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
-        def close() -> pa.RecordBatch:
-            size, name = out.tell(), f"{root}/{path}.{EXTENSION}"
-            out.close()
-            system.move(draft, name)
-            return pa.RecordBatch.from_pydict({"path": [path], "file": [name], "bytes": [size]}, schema=arrow_schema(WRITTEN))
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                r = {k: batch.column(k)[i].as_py() for k in batch.schema.names}
-                if r["path"] != path:
-                    if out is not None:
-                        yield close()
-                    path, out = r["path"], system.open_output_stream(draft)
-                if r["step"] == 0:
-                    if r["n"] != sum(p.count for p in told):
-                        raise InvalidData(f"{r['n']} chunks for {path}")
-                    out.write(layout.encode_headers(told, [n or 0 for n in r["tops"]]))
-                elif r["step"] == 1:
-                    out.write(int(r["n"]).to_bytes(8, "little"))
-                else:
-                    out.write((r["part_no"].to_bytes(4, "little") if many else b"") + r["body"])
-        if out is not None:
-            yield close()
-
-    return ordered.mapInArrow(stitch, WRITTEN)
+def write(rows: DataFrame, spec: list[Part], folder: str) -> DataFrame:
+    """Write a file folder/path.exr for each path of rows, and give rows (path, file, bytes). rows as for encode_chunks().
+
+    One task a file streams headers, offset table and chunks (see prepared()), a batch at a time, under a name of its
+    own that is then moved over, so a task that is run again does no harm. No rows make an empty folder.
+    """
+    layout.check_parts(spec)
+    text = parts_json(spec)
+    make_folder(rows.sparkSession, folder)
+
+    def stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Stitching(parts_of_json(text), folder)
+        try:
+            for batch in batches:
+                own.add(batch)
+            own.close()
+        except BaseException:
+            own.abandon()
+            raise
+        for path, draft, size in own.done:
+            own.system.move(draft, own.name(path))
+            yield pa.RecordBatch.from_pydict({"path": [path], "file": [own.name(path)], "bytes": [size]}, schema=arrow_schema(WRITTEN))
+
+    return prepared(rows, spec).mapInArrow(stitch, WRITTEN)

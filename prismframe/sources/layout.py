@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -152,6 +152,16 @@ class Part:
     def count(self) -> int:
         return sum(w * h for w, h in self.grids.values())
 
+    @cached_property
+    def firsts(self) -> dict[tuple[int, int], int]:
+        """The number of the first chunk of each level in the part's offset table."""
+        sizes = [w * h for w, h in self.grids.values()]
+        return dict(zip(self.grids, np.concatenate([[0], np.cumsum(sizes)[:-1]]).tolist(), strict=True))
+
+    def place(self, tx: int, ty: int, lx: int, ly: int) -> int:
+        """The number of a chunk in a table that is in order."""
+        return self.firsts[lx, ly] + ty * self.grids[lx, ly][0] + tx
+
     def box(self, tx: int, ty: int, lx: int, ly: int) -> tuple[int, int, int, int]:
         """(x, y, width, height) of a chunk within its level."""
         w, h = geometry.level_extent(self.width, lx, self.up), geometry.level_extent(self.height, ly, self.up)
@@ -248,16 +258,13 @@ class Plan:
     def many(self) -> bool:
         return bool(self.version & MULTIPART)
 
-    def offsets(self, tables: bytes, length: int) -> list[tuple[int, int, int]]:
-        """(part, number, offset) of each chunk from the bytes of all offset tables, in the order of a file of so many bytes."""
-        flat = struct.unpack_from(f"<{sum(self.counts)}Q", tables)
-        if any(not self.at <= x < length for x in flat):
-            raise InvalidData("an offset outside the file")
-        named = [(no, i) for no, n in enumerate(self.counts) for i in range(n)]
-        return sorted(((no, i, at) for (no, i), at in zip(named, flat, strict=True)), key=lambda x: x[2])
+    @property
+    def body(self) -> int:
+        """Where the first chunk may begin."""
+        return self.at + 8 * sum(self.counts)
 
-    def chunk(self, data: bytes, at: int) -> tuple[dict, int]:
-        """A chunk's row without chunk_idx, and the place after it."""
+    def head(self, data: bytes, at: int) -> tuple[dict, int, int]:
+        """A chunk's row without chunk_idx and payload, the size of its header and that of its payload."""
         no, extra = (struct.unpack_from("<i", data, at)[0], 4) if self.many and at + 4 <= len(data) else (0, 4 * self.many)
         if not 0 <= no < len(self.parts):
             raise InvalidData(f"chunk of part {no}")
@@ -277,15 +284,22 @@ class Plan:
                 raise InvalidData(f"a chunk at row {row['y']}")
         if part.deep:
             row["table_size"], size, row["unpacked_size"] = struct.unpack_from("<3Q", data, p)
-            size, p = size + row["table_size"], p + 24
+            size += row["table_size"]
         else:
-            size, p = struct.unpack_from("<i", data, p)[0], p + 4
+            size = struct.unpack_from("<i", data, p)[0]
         across, down = part.grids.get((row["lvl_x"], row["lvl_y"]), (0, 0))
         if not (0 <= row["tx"] < across and 0 <= row["ty"] < down):
             raise InvalidData(f"a chunk outside its part: {row}")
-        if size < 0 or p + size > len(data):
+        if size < 0:
+            raise InvalidData("a chunk of a negative size")
+        return row, extra + KINDS[part.kind], size
+
+    def chunk(self, data: bytes, at: int) -> tuple[dict, int]:
+        """A chunk's row without chunk_idx, and the place after it."""
+        row, head, size = self.head(data, at)
+        if at + head + size > len(data):
             raise InvalidData("a chunk is cut off")
-        return row | {"payload": data[p : p + size]}, p + size
+        return row | {"payload": data[at + head : at + head + size]}, at + head + size
 
 
 def plan_of(head: bytes, length: int) -> Plan:
@@ -343,7 +357,7 @@ def _present(part: Part, x: int, y: int, w: int, h: int) -> list[tuple[int, Chan
     return [(r, c, -(-w // c.xs)) for r in range(y, y + h) for c in part.channels if r % c.ys == 0]
 
 
-def decode_chunk(part: Part, row: dict) -> list[tuple[str, int, int, list[int] | None, np.ndarray]]:
+def decode_chunk(part: Part, row: dict) -> list[tuple[str, int, int, np.ndarray | None, np.ndarray]]:
     """(channel, row, first x, counts of a deep row, samples) of a chunk; rows and x count from 0 in the level."""
     x, y, w, h = part.box(row["tx"], row["ty"], row["lvl_x"], row["lvl_y"])
     data = row["payload"]
@@ -379,7 +393,7 @@ def decode_chunk(part: Part, row: dict) -> list[tuple[str, int, int, list[int] |
     return out
 
 
-def _decode_deep(part: Part, row: dict, x: int, y: int, w: int, h: int) -> list[tuple[str, int, int, list[int] | None, np.ndarray]]:
+def _decode_deep(part: Part, row: dict, x: int, y: int, w: int, h: int) -> list[tuple[str, int, int, np.ndarray | None, np.ndarray]]:
     data, size, stride = row["payload"], row["table_size"], w
     if part.tiled and part.codec == "NONE" and size == 4 * part.tile[0] * part.tile[1]:
         stride = part.tile[0]  # a table of the whole tile
@@ -397,11 +411,11 @@ def _decode_deep(part: Part, row: dict, x: int, y: int, w: int, h: int) -> list[
     for c in part.channels:
         values = codecs.from_native(raw[at : at + total * codecs.NATIVE[c.kind]], c.kind)
         at += total * codecs.NATIVE[c.kind]
-        out += [(c.name, y + r, x, counts[r].tolist(), values[ends[r] - counts[r].sum() : ends[r]]) for r in range(h)]
+        out += [(c.name, y + r, x, counts[r], values[ends[r] - counts[r].sum() : ends[r]]) for r in range(h)]
     return out
 
 
-def encode_chunk(part: Part, tx: int, ty: int, lx: int, ly: int, lines: dict[tuple[str, int], tuple[np.ndarray, list[int] | None]]) -> tuple[bytes, int]:
+def encode_chunk(part: Part, tx: int, ty: int, lx: int, ly: int, lines: dict[tuple[str, int], tuple[np.ndarray, np.ndarray | None]]) -> tuple[bytes, int]:
     """(bytes of a chunk without the part number, most samples of a pixel) from samples by channel and row."""
     x, y, w, h = part.box(tx, ty, lx, ly)
     head = struct.pack("<4i", tx, ty, lx, ly) if part.tiled else struct.pack("<i", part.y0 + y)
@@ -434,6 +448,13 @@ def encode_chunk(part: Part, tx: int, ty: int, lx: int, ly: int, lines: dict[tup
     return head + struct.pack("<i", len(body)) + body, 0
 
 
+def check_lines(part: Part, tx: int, ty: int, lx: int, ly: int, lines: Iterable[tuple[str, int]]) -> None:
+    """Lines (channel, row) that are told for a chunk belong to it."""
+    _, y, _, h = part.box(tx, ty, lx, ly)
+    if stray := set(lines) - {(c.name, r) for r in range(y, y + h) for c in part.channels if r % c.ys == 0}:
+        raise InvalidData(f"rows that the part has no place for: {sorted(stray)[:3]}")
+
+
 def check_parts(parts: list[Part]) -> None:
     many = len(parts) > 1 or bool(parts[0].name)
     names = [p.name for p in parts]

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from prismframe import catalog_files
 from prismframe.functions import codecs, geometry
 from prismframe.functions.codecs import InvalidData, Unsupported
-from prismframe.sources import datasource, exr, layout
+from prismframe.sources import datasource, exr, layout, planning
 from prismframe.sources.layout import Part
 from tests.test_exr import ROWS, SPECS, _file, ch, sample_rows
 
@@ -116,7 +116,8 @@ def test_rows_of_a_decreasing_file_lie_from_last_to_first():
     spec = [Part(4, 5, ch("Y"), codec="NONE", line_order=1)]
     data = _file(spec)
     plan = layout.plan_of(data, len(data))
-    assert [i for _, i, _ in plan.offsets(data[plan.at :], len(data))] == [4, 3, 2, 1, 0]
+    read = lambda at, n: data[at : at + n]
+    assert planning.index_of(plan, read, len(data)).number.tolist() == [4, 3, 2, 1, 0]
     assert [r["y"] for r in layout.walk_chunks(data)] == [0, 1, 2, 3, 4]
 
 
