@@ -759,7 +759,9 @@ def test_scratch_tables_go_and_kept_ones_stay(spark):
         inner.agg(F.sum("id")).collect()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [3, 40, 500_000])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(components, "CHUNK", chunk)
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(1, 50)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(50)] + [(7, 7), (500, 500)]
     parent = {}
@@ -772,7 +774,7 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         parent[max(a, b)] = min(a, b)
-    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    got = {x["node"]: x["root"] for x in components.components(spark.createDataFrame(edges, "u long, v long").repartition(5)).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
