@@ -529,12 +529,6 @@ def exr_roundtrip_scanline_pxr24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read_back(_image_rows(spark, sf_dir), _image("PXR24"))
 
 
-@query()
-def exr_roundtrip_tiled_b44(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lossy: SQL does not follow the search for a block's shift. Tests hold blocks against their inverse."""
-    return _read_back(_image_rows(spark, sf_dir), _image("B44", "tiledimage", "HALF"))
-
-
 @query(f"SELECT vec_id AS vec_id, CAST(lvl AS INTEGER) AS lvl_x, 'Y' AS channel, CAST({_SIDE} >> CAST(lvl AS INTEGER) AS INTEGER) AS side, CAST(({_SIDE} >> CAST(lvl AS INTEGER)) * ({_SIDE} >> CAST(lvl AS INTEGER)) AS BIGINT) AS pixels FROM embeddings, range(0, 4) AS r(lvl)")
 def exr_roundtrip_mipmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pyramids made, written as mip levels and read back: the extents and pixels of each level."""
@@ -593,4 +587,4 @@ def oracle_sql() -> dict[str, str]:
     return known_oracles()
 
 
-from . import catalog_files  # noqa: E402, F401  registers the queries on files
+from . import catalog_files, catalog_reading  # noqa: E402, F401  registers the queries on files

@@ -1,6 +1,6 @@
 """The registered queries on files: tables written as images of several blocks and cut tiles, and read back, values and all.
 
-Flat images have 40 x 37 pixels: a row is the first 40 numbers of an embedding, and 37 vectors make a file. Deep images have
+Flat images have 64 x 37 pixels: a row is an embedding, and 37 vectors make a file. Deep images have
 20 x 7 pixels: a pixel is an order, its samples are the prices of its line items. Rows and pixels that the tables do not fill
 are 0 and without samples.
 """
@@ -20,10 +20,10 @@ from .sources import datasource, exr
 from .sources.layout import Channel, Part
 from .streaming.frames import stream_lines
 
-WIDE, HIGH = 40, 37
+WIDE, HIGH = 64, 37
 DEEP_WIDE, DEEP_HIGH = 20, 7
 DEEP_PIXELS = DEEP_WIDE * DEEP_HIGH
-TILE, DEEP_TILE = (16, 16), (8, 4)
+TILE, DEEP_TILE = (24, 16), (8, 4)
 MIP, RIP = geometry.MIPMAP, geometry.RIPMAP
 
 
@@ -45,7 +45,7 @@ def flat_rows(spark: SparkSession, sf_dir: str, files: int | None = None) -> Dat
     n = _files(e, "vec_id", HIGH) if files is None else files
     zeros = F.array_repeat(F.lit(0.0).cast("float"), WIDE)
     rows = spark.range(n * HIGH).join(e, F.col("id") == F.col("vec_id"), "left")
-    return rows.select(F.floor(F.col("id") / HIGH).cast("string").alias("path"), F.pmod("id", F.lit(HIGH)).cast("int").alias("y"), F.coalesce(F.slice("embedding", 1, WIDE), zeros).alias("samples"))
+    return rows.select(F.floor(F.col("id") / HIGH).cast("string").alias("path"), F.pmod("id", F.lit(HIGH)).cast("int").alias("y"), F.coalesce("embedding", zeros).alias("samples"))
 
 
 def crop(rows: DataFrame, width: int, height: int) -> DataFrame:
@@ -219,7 +219,7 @@ def exr_scanline_rle_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {img_sql()} {_THREE_SQL}")
 def exr_tiled_zips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tiles of 16 x 16, cut at the right and lower edge."""
+    """Tiles of 24 x 16, cut at the right and lower edge."""
     return flat_back(_three_rows(spark, sf_dir), _three("ZIPS", "tiledimage"), "single")
 
 
@@ -264,9 +264,9 @@ def exr_tiled_b44a(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_back(rows, [Part(WIDE, HIGH, _B44_CHANNELS, kind="tiledimage", tile=TILE, codec="B44A")], "single")
 
 
-@query(f"WITH {img_sql()} SELECT file, CAST(2 AS BIGINT) AS chunks, CAST((8 + 2) * 10 * 3 AS BIGINT) AS payload FROM img GROUP BY file")
+@query(f"WITH {img_sql()} SELECT file, CAST(2 AS BIGINT) AS chunks, CAST((8 + 2) * 16 * 3 AS BIGINT) AS payload FROM img GROUP BY file")
 def exr_b44a_flat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat blocks take 3 bytes each: 8 and 2 rows of 10 blocks in blocks of 32 rows."""
+    """Flat blocks take 3 bytes each: 8 and 2 rows of 16 blocks in blocks of 32 rows."""
     rows = as_part(flat_rows(spark, sf_dir).withColumn("samples", _flat_blocks()))
     got = exr.read_chunks(spark, stored(rows, [flat_part("B44A", pixel="HALF")]), "single")
     return got.groupBy(file_no()).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.octet_length("payload")).cast("long").alias("payload"))
@@ -526,32 +526,44 @@ def exr_incomplete_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # headers
 
 
-def header_specs() -> dict[str, list[Part]]:
-    """Specs whose headers the query of headers reads, by a letter."""
+def header_specs(n: int) -> dict[str, list[Part]]:
+    """Specs whose headers the query of headers reads, by a letter; sizes, windows and tiles go by n."""
+    w, h, tile = WIDE + 7 * n, HIGH + n, (16 + n % 9, 8 + n % 5)
+    part = lambda codec, kind="scanlineimage", **more: Part(w, h, [Channel("Y", more.pop("pixel", "FLOAT"))], kind=kind, codec=codec, tile=tile, **more)
     return {
-        "a": [flat_part("PXR24", x0=5, y0=-3)], "b": [flat_part("B44", "tiledimage", pixel="HALF")], "c": [flat_part("ZIP", "tiledimage", mode=MIP, up=True)], "d": [flat_part("NONE", "tiledimage", mode=RIP)],
-        "e": [deep_part()], "f": [deep_part("NONE", "deeptile", mode=RIP)], "g": [flat_part("ZIPS", name="left"), deep_part("RLE", "deeptile", name="right")],
+        "a": [part("PXR24", x0=n - 5, y0=-3 * n)], "b": [part("B44", "tiledimage", pixel="HALF")], "c": [part("ZIP", "tiledimage", mode=MIP, up=True)], "d": [part("NONE", "tiledimage", mode=RIP)],
+        "e": [part("ZIPS", "deepscanline")], "f": [part("NONE", "deeptile", mode=RIP)], "g": [part("ZIPS", name="left"), part("RLE", "deeptile", name=f"right {n}")],
     }
 
 
-_W, _H = WIDE, HIGH
-_HEADER_ROWS = f"""('a', 2, 0, '', 'scanlineimage', 'PXR24', {_W}, {_H}, 5, -3, NULL, NULL, 0, false, 3), ('b', 514, 0, '', 'tiledimage', 'B44', {_W}, {_H}, 0, 0, 16, 16, 0, false, 9),
-('c', 514, 0, '', 'tiledimage', 'ZIP', {_W}, {_H}, 0, 0, 16, 16, 1, true, 18), ('d', 514, 0, '', 'tiledimage', 'NONE', {_W}, {_H}, 0, 0, 16, 16, 2, false, 81),
-('e', 2050, 0, '', 'deepscanline', 'ZIPS', 20, 7, 0, 0, NULL, NULL, 0, false, 7), ('f', 2050, 0, '', 'deeptile', 'NONE', 20, 7, 0, 0, 8, 4, 2, false, 32),
-('g', 6146, 0, 'left', 'scanlineimage', 'ZIPS', {_W}, {_H}, 0, 0, NULL, NULL, 0, false, 37), ('g', 6146, 1, 'right', 'deeptile', 'RLE', 20, 7, 0, 0, 8, 4, 0, false, 6)"""
+_TILES_ACROSS, _TILES_DOWN = "(greatest(1, {w}) + tx - 1) // tx", "(greatest(1, {h}) + ty - 1) // ty"
+# levels by doubling: rounded up while 2 ** k is short of the extent, rounded down while it is no larger
+_CHUNKS_SQL = f"""CASE path WHEN 'a' THEN (h + 15) // 16 WHEN 'e' THEN h WHEN 'b' THEN {_TILES_ACROSS.format(w='w')} * ({_TILES_DOWN.format(h='h')})
+  WHEN 'c' THEN list_sum([({_TILES_ACROSS.format(w='(w + (1 << k) - 1) >> k')}) * ({_TILES_DOWN.format(h='(h + (1 << k) - 1) >> k')}) FOR k IN range(0, 12) IF k = 0 OR (1 << greatest(k - 1, 0)) < greatest(w, h)])
+  WHEN 'g' THEN CASE part_no WHEN 0 THEN h ELSE {_TILES_ACROSS.format(w='w')} * ({_TILES_DOWN.format(h='h')}) END
+  ELSE list_sum([{_TILES_ACROSS.format(w='w >> k')} FOR k IN range(0, 12) IF (1 << k) <= w]) * list_sum([{_TILES_DOWN.format(h='h >> k')} FOR k IN range(0, 12) IF (1 << k) <= h]) END"""
+_HEADER_ROWS = """('a', 2, 0, '', 'scanlineimage', 'PXR24', 0, false), ('b', 514, 0, '', 'tiledimage', 'B44', 0, false), ('c', 514, 0, '', 'tiledimage', 'ZIP', 1, true), ('d', 514, 0, '', 'tiledimage', 'NONE', 2, false),
+('e', 2050, 0, '', 'deepscanline', 'ZIPS', 0, false), ('f', 2050, 0, '', 'deeptile', 'NONE', 2, false), ('g', 6146, 0, 'left', 'scanlineimage', 'ZIPS', 0, false), ('g', 6146, 1, 'right ', 'deeptile', 'RLE', 0, false)"""
 
 
 @query(
-    f"WITH h(path, version, part_no, name, kind, codec, width, height, x0, y0, tile_x, tile_y, mode, up, chunks) AS (VALUES {_HEADER_ROWS})"
-    ' SELECT n_nationkey, path, CAST(version AS BIGINT) AS version, part_no, name, kind, codec, CAST(width AS BIGINT) AS width, CAST(height AS BIGINT) AS height, x0, y0, CAST(tile_x AS BIGINT) AS tile_x, CAST(tile_y AS BIGINT) AS tile_y, mode, up, CAST(chunks AS BIGINT) AS chunks FROM nation, h'
+    f"WITH n AS (SELECT n_nationkey, n_nationkey AS n, CAST({WIDE} + 7 * n_nationkey AS BIGINT) AS w, CAST({HIGH} + n_nationkey AS BIGINT) AS h, CAST(16 + n_nationkey % 9 AS BIGINT) AS tx, CAST(8 + n_nationkey % 5 AS BIGINT) AS ty FROM nation),"
+    f" k(path, version, part_no, name, kind, codec, mode, up) AS (VALUES {_HEADER_ROWS})"
+    f" SELECT n_nationkey, path, CAST(version AS BIGINT) AS version, part_no, CASE WHEN name = 'right ' THEN name || n ELSE name END AS name, kind, codec, w AS width, h AS height, CAST(CASE path WHEN 'a' THEN n - 5 ELSE 0 END AS INTEGER) AS x0,"
+    f" CAST(CASE path WHEN 'a' THEN -3 * n ELSE 0 END AS INTEGER) AS y0, CASE WHEN kind IN ('tiledimage', 'deeptile') THEN tx END AS tile_x, CASE WHEN kind IN ('tiledimage', 'deeptile') THEN ty END AS tile_y, mode, up, CAST({_CHUNKS_SQL} AS BIGINT) AS chunks FROM n, k"
 )
 def exr_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Version words, part types, tile descriptions, windows and chunk counts, from header bytes; a copy for each nation."""
+    """Version words, part types, tile descriptions, windows and chunk counts, from header bytes made by the key of each nation."""
     from .sources import layout
 
-    made = [F.struct(F.lit(k).alias("key"), F.lit(layout.encode_headers(spec, [0] * len(spec))).alias("content")) for k, spec in header_specs().items()]
-    copies = _table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(*made)).alias("m"))
-    found = exr.parts(copies.select(F.concat_ws(":", "n_nationkey", "m.key").alias("path"), "m.content"))
+    def headers(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [(f"{n}:{k}", layout.encode_headers(spec, [0] * len(spec))) for n in batch.column(0).to_pylist() for k, spec in header_specs(n).items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["path", "content"])
+
+    found = exr.parts(_table(spark, sf_dir, "nation").select("n_nationkey").mapInArrow(headers, "path string, content binary"))
     return found.select(F.split_part("path", F.lit(":"), F.lit(1)).cast("int").alias("n_nationkey"), F.split_part("path", F.lit(":"), F.lit(2)).alias("path"), *[c for c in found.columns if c != "path"])
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import numeric
 
 #: Pairs of places in a block of 4 x 4 whose differences a packed block holds, in the order of its bits.
-_EDGES = ((0, 4), (4, 8), (8, 12), (0, 1), (4, 5), (8, 9), (12, 13), (1, 2), (5, 6), (9, 10), (13, 14), (2, 3), (6, 7), (10, 11), (14, 15))
+EDGES = ((0, 4), (4, 8), (8, 12), (0, 1), (4, 5), (8, 9), (12, 13), (1, 2), (5, 6), (9, 10), (13, 14), (2, 3), (6, 7), (10, 11), (14, 15))
 _RUN = re.compile(rb"(.)\1{1,127}", re.DOTALL)
 
 
@@ -216,7 +216,7 @@ def b44_pack(values: np.ndarray, flat: bool = False, linear: bool = False) -> by
         s = shift[left][:, None]
         x = (top[left][:, None] - t[left]) << 1
         d[left] = (x + ((1 << s) - 1) + ((x >> (s + 1)) & 1)) >> (s + 1)
-        r[left] = np.stack([d[left, a] - d[left, b] for a, b in _EDGES], axis=1) + 32
+        r[left] = np.stack([d[left, a] - d[left, b] for a, b in EDGES], axis=1) + 32
         left = left[((r[left] < 0) | (r[left] > 63)).any(axis=1)]
         shift[left] += 1
     first = t[:, 0] if linear else top - (d[:, 0] << shift)
@@ -225,32 +225,48 @@ def b44_pack(values: np.ndarray, flat: bool = False, linear: bool = False) -> by
     if not flat:
         return packed.tobytes()
     same = (t == t[:, :1]).all(axis=1)
-    return b"".join(p[:2].tobytes() + b"\xfc" if s else p.tobytes() for p, s in zip(packed, same, strict=True))
+    packed[same, 2] = 0xFC
+    return packed[np.arange(14) < np.where(same, 3, 14)[:, None]].tobytes()
 
 
 def _bits(x: np.ndarray, n: int) -> np.ndarray:
     return (x[:, None] >> np.arange(n - 1, -1, -1)) & 1
 
 
+def _block_places(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, bytes, flat) of n blocks laid end to end. Where each block begins follows from those before it.
+
+    Stretches of blocks of one size are taken at once: as long as the guess holds, it is doubled.
+    """
+    at, size, done, place, guess = np.zeros(n, np.int64), np.zeros(n, np.int64), 0, 0, 16
+    while done < n:
+        if place + 3 > len(x):
+            raise InvalidData("a block is cut off")
+        own = 3 if x[place + 2] >= 0x34 else 14
+        some = place + own * np.arange(min(guess, n - done))
+        some = some[some + 2 < len(x)]
+        alike = (x[some + 2] >= 0x34) == (own == 3)
+        k = int(alike.argmin()) if not alike.all() else len(some)
+        at[done : done + k], size[done : done + k] = some[:k], own
+        done, place, guess = done + k, place + k * own, min(2 * guess, 4096) if k == len(some) else 16
+    if place > len(x):
+        raise InvalidData("a block is cut off")
+    return at, size, size == 3
+
+
 def b44_unpack(data: bytes, height: int, width: int, linear: bool = False) -> tuple[np.ndarray, int]:
     """(plane, bytes read)."""
     rows, cols = -(-height // 4), -(-width // 4)
-    at, blocks = 0, np.zeros((rows * cols, 14), np.uint8)
-    is_flat = np.zeros(len(blocks), bool)
-    for i in range(len(blocks)):
-        if at + 3 > len(data):
-            raise InvalidData("a block is cut off")
-        is_flat[i] = data[at + 2] >= 0x34
-        n = 3 if is_flat[i] else 14
-        if at + n > len(data):
-            raise InvalidData("a block is cut off")
-        blocks[i, :n] = np.frombuffer(data, np.uint8, n, at)
-        at += n
+    x, n = np.frombuffer(data, np.uint8), rows * cols
+    at, size, is_flat = _block_places(x, n)
+    whole = np.append(x, np.zeros(14, np.uint8))[at[:, None] + np.arange(14)]
+    blocks = np.where(np.arange(14) < size[:, None], whole, 0).astype(np.uint8)
+    at = int(at[-1] + size[-1]) if n else 0
     bits = np.unpackbits(blocks, axis=1).astype(np.int64)
     number = lambda a, n: bits[:, a : a + n] @ (1 << np.arange(n - 1, -1, -1))
     s = np.zeros((len(blocks), 16), np.int64)
     s[:], shift = number(0, 16)[:, None], number(16, 6)
-    for i, (a, b) in enumerate(_EDGES):
+    for i, (a, b) in enumerate(EDGES):
         s[:, b] = np.where(is_flat, s[:, b], (s[:, a] + ((number(22 + 6 * i, 6) - 32) << np.where(is_flat, 0, shift))) & 0xFFFF)
     code = np.where(s & 0x8000, s & 0x7FFF, ~s & 0xFFFF).astype(np.uint16)
     if linear:

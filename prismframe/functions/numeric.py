@@ -6,9 +6,11 @@ bits themselves is a Column expression. Wrapping arithmetic is done in BIGINT, s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -168,6 +170,18 @@ def from_pxr24(code: np.ndarray) -> np.ndarray:
     return ((code.astype(np.uint32) & 0xFFFFFF) << 8).astype(np.uint32).view(np.float32)
 
 
+def linear_relation(spark: SparkSession) -> DataFrame:
+    """The tables of linear_tables() as 65,536 rows (code, forward, back), to be broadcast to codes that are looked up."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forward, back = linear_tables()
+        for batch in batches:
+            code = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(t[code].astype(np.int64)) for t in (forward, back)]], names=["code", "forward", "back"])
+
+    return spark.range(65_536).mapInArrow(rows, "code long, forward long, back long")
+
+
 def linear_tables() -> tuple[np.ndarray, np.ndarray]:
     """For each half code, half(exp(x / 8)) and half(8 ln x): the tables of perceptually linear channels.
 

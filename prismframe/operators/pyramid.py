@@ -1,12 +1,18 @@
-"""Pyramids of planes in rows (keys, y, samples array<float>): a shuffle of whole rows a level, none along x.
+"""Pyramids of planes in rows (keys, y, samples array<float>): a shuffle of whole rows for several levels, none along x.
 
 All arithmetic is in FLOAT and in a fixed order, since sums and averages in DOUBLE give other bits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from ..functions.geometry import level_count, level_extent
 from ..plans.lineage import cut
@@ -40,30 +46,93 @@ def mip_level(rows: DataFrame, keys: list[str], width: int, height: int) -> Data
     return _pairs(rows, keys, height).select(*keys, "y", F.transform(columns, value).alias("samples"))
 
 
+#: Levels made in one shuffle: strips of 2 ** STRIP rows meet in a task, which holds one strip at a time.
+STRIP = 6
+Halve = Callable[[np.ndarray, np.ndarray, int], np.ndarray]
+
+
+def strips(rows: DataFrame, keys: list[str], height: int, first: int, halve: Halve, levels: int = STRIP) -> DataFrame:
+    """Rows (keys, lvl, y, samples) of `levels` levels above level `first`, whose rows (keys, y, samples) are given.
+
+    halve(up, low, lvl) makes a row from two rows of level lvl. height: of level 0.
+    """
+    own = rows.select(*keys, F.col("y").cast("int").alias("y"), "samples")
+    strip = F.floor(F.col("y") / (1 << levels)).cast("int").alias("_strip")
+    dealt = own.select("*", strip).repartition(*keys, "_strip").sortWithinPartitions(*keys, "_strip", "y")
+    made = StructType([*[own.schema[k] for k in keys], *_LEVEL_FIELDS])
+    arrow = to_arrow_schema(made)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            samples = batch.column("samples")
+            at, values = samples.offsets.to_numpy(), samples.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
+            for i, (*key, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in (*keys, "_strip", "y")), strict=True)):
+                if key != now:
+                    yield from finished(now, held)
+                    now, held = key, []
+                held.append((y, values[at[i] : at[i + 1]].copy()))
+        yield from finished(now, held)
+
+    def finished(key: list | None, held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for lvl in range(first, first + levels):
+            pairs: dict[int, list[np.ndarray]] = {}
+            for y, v in held:
+                if y < 2 * level_extent(height, lvl + 1):  # an odd last row goes, an only row counts twice
+                    pairs.setdefault(y // 2, []).append(v)
+            held = [(y, halve(p[0], p[-1], lvl)) for y, p in sorted(pairs.items())]
+            out += [(lvl + 1, y, v) for y, v in held]
+        if out:
+            lvl, y, v = zip(*out, strict=True)
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in v])]), pa.int32()), pa.array(np.concatenate(v), pa.float32()))
+            columns = [*[pa.array([k] * len(out), arrow.field(i).type) for i, k in enumerate(key[:-1])], pa.array(lvl, pa.int32()), pa.array(y, pa.int32()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=arrow.names)
+
+    return dealt.mapInArrow(work, made)
+
+
+_LEVEL_FIELDS = [StructField("lvl", IntegerType()), StructField("y", IntegerType()), StructField("samples", ArrayType(FloatType()))]
+
+
+def _levels_above(rows: DataFrame, keys: list[str], height: int, count: int, halve: Halve) -> DataFrame | None:
+    """Rows (keys, lvl, y, samples) of levels 1 to count - 1; one written table for STRIP levels."""
+    out, first = None, 0
+    while first < count - 1:
+        n = min(STRIP, count - 1 - first)
+        made = cut(strips(rows, keys, height, first, halve, n))
+        out = made if out is None else out.union(made)
+        rows, first = made.where(F.col("lvl") == first + n), first + n
+    return out
+
+
 def mip_pyramid(rows: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
-    """All levels from 0, with lvl_x = lvl_y. Each level reads the one before, a quarter of its size."""
-    now = rows.select(*keys, "y", "samples")
-    out = now.withColumn("lvl_x", F.lit(0))
-    for level in range(1, level_count(max(width, height))):
-        now = cut(mip_level(now, keys, level_extent(width, level - 1), level_extent(height, level - 1)))
-        out = out.union(now.withColumn("lvl_x", F.lit(level)))
-    return out.withColumn("lvl_y", F.col("lvl_x"))
+    """All levels from 0, with lvl_x = lvl_y, by the box filter: a quarter of ((v00 + v01) + v10) + v11."""
+
+    def halve(up: np.ndarray, low: np.ndarray, lvl: int) -> np.ndarray:
+        n = level_extent(width, lvl)
+        x = 2 * np.arange(level_extent(width, lvl + 1))
+        beside = np.minimum(x + 1, n - 1)
+        return np.float32(0.25) * (((up[x] + up[beside]) + low[x]) + low[beside])
+
+    now = rows.select(*keys, F.lit(0).alias("lvl"), F.col("y").cast("int").alias("y"), F.col("samples").cast("array<float>").alias("samples"))
+    above = _levels_above(now, keys, height, level_count(max(width, height)), halve)
+    out = now if above is None else now.union(above)
+    return out.select(*keys, "y", "samples", F.col("lvl").alias("lvl_x"), F.col("lvl").alias("lvl_y"))
 
 
 def rip_pyramid(rows: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
     """All cells (lvl_x, lvl_y): halves along x at full height, which is no shuffle, then along y for all lvl_x at once."""
-    own = rows.select(*keys, "y", "samples")
+    own = rows.select(*keys, F.col("y").cast("int").alias("y"), F.col("samples").cast("array<float>").alias("samples"))
     across = own.withColumn("lvl_x", F.lit(0))
     for level in range(1, level_count(width)):
         own = own.withColumn("samples", _halved(level_extent(width, level - 1)))
         across = across.union(own.withColumn("lvl_x", F.lit(level)))
-    own = across.select(*keys, "lvl_x", "y", "samples")
-    out = own.withColumn("lvl_y", F.lit(0))
-    for level in range(1, level_count(height)):
-        pairs = _pairs(own, [*keys, "lvl_x"], level_extent(height, level - 1))
-        own = cut(pairs.select(*keys, "lvl_x", "y", F.zip_with("up", "low", lambda a, b: _f(0.5) * (a + b)).alias("samples")))
-        out = out.union(own.withColumn("lvl_y", F.lit(level)))
-    return out
+    across = across.select(*keys, "lvl_x", "y", "samples")
+    above = _levels_above(across, [*keys, "lvl_x"], height, level_count(height), lambda up, low, _: np.float32(0.5) * (up + low))
+    out = across.select(*keys, "lvl_x", F.lit(0).alias("lvl"), "y", "samples")
+    out = out if above is None else out.union(above)
+    return out.select(*keys, "lvl_x", "y", "samples", F.col("lvl").alias("lvl_y"))
 
 
 def _halved(width: int) -> Column:

@@ -1,4 +1,4 @@
-"""Window and grouping operators of the file layout on tables: offsets, deep counts, byte streams, blocks and names."""
+"""Window and grouping operators of the file layout on tables: offsets, deep counts, blocks and names."""
 
 from __future__ import annotations
 
@@ -57,62 +57,11 @@ def prefix_codes(rows: DataFrame, line: list[str], x: str, delta: str = "delta")
     return rows.withColumn("restored", F.pmod(F.sum(delta).over(w), F.lit(WRAP)))
 
 
-def byte_array(text: Column) -> Column:
-    """The bytes of a text or binary value as array<int>."""
-    return F.transform(F.regexp_extract_all(F.hex(text), F.lit("(..)"), 1), lambda h: F.conv(h, 16, 10).cast("int"))
-
-
-def hex_of(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda b: F.lpad(F.hex(b), 2, "0")), "")
-
-
-def _index(values: Column) -> Column:
-    """0 to n - 1, empty for n = 0."""
-    return F.transform(values, lambda _, i: i)
-
-
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value), with value worked out once a row even where use names it inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def predicted(values: Column) -> Column:
-    """Differences of neighbouring bytes, 128 standing for none; the first stays."""
-    return bound(values, lambda v: F.transform(v, lambda b, i: F.when(i == 0, b).otherwise(F.pmod(b - F.get(v, i - 1) + 128, F.lit(256)))))
-
-
-def _half(values: Column) -> Column:
-    return F.floor((F.size(values) + 1) / 2).cast("int")
-
-
-def interleaved(values: Column) -> Column:
-    """Bytes at even places, then those at odd places."""
-    return bound(values, lambda v: F.transform(_index(v), lambda i: F.get(v, F.when(i < _half(v), 2 * i).otherwise(2 * (i - _half(v)) + 1))))
-
-
-def uninterleaved(values: Column) -> Column:
-    return bound(values, lambda v: F.transform(_index(v), lambda i: F.get(v, F.floor(i / 2).cast("int") + F.when(F.pmod(i, F.lit(2)) == 0, 0).otherwise(_half(v)))))
-
-
-def unpredicted(rows: DataFrame, key: str, values: str) -> DataFrame:
-    """key and bytes array<int>: running sums of the differences in the column values, modulo 256."""
-    long = rows.select(key, F.posexplode(values).alias("i", "b"))
-    step = F.when(F.col("i") == 0, F.col("b")).otherwise(F.col("b") - 128)
-    w = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    summed = long.select(key, "i", F.pmod(F.sum(step).over(w), F.lit(256)).cast("int").alias("b"))
-    return summed.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("i", "b"))).alias("r")).select(key, F.col("r.b").alias("bytes"))
-
-
-def byte_runs(rows: DataFrame, key: str, values: str, least: int = 2) -> DataFrame:
-    """key, start, length, byte of each run of at least `least` equal bytes."""
-    long = rows.select(key, F.posexplode(values).alias("i", "byte"))
-    w = Window.partitionBy(key).orderBy("i")
-    begins = F.coalesce((F.lag("byte").over(w) != F.col("byte")).cast("int"), F.lit(1))
-    marked = long.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = marked.groupBy(key, "_run", "byte").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("length"))
-    return runs.where(F.col("length") >= least).select(key, "start", "length", "byte")
-
-
 def blocks(pixels: DataFrame, keys: list[str], value: str, size: int = 4) -> DataFrame:
     """keys, by, bx, low, high, flat of each block of size x size pixels (y, x)."""
     at = [F.floor(F.col(c) / size).cast("int").alias(f"b{c}") for c in "yx"]

@@ -16,6 +16,7 @@ Files appear when all tasks have ended; a job that fails leaves none. Modes appe
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage,
 )
@@ -183,18 +185,91 @@ class ExrReader(_Reading, DataSourceReader):
         return planned(files, 1 << 62 if self.kind == "attributes" else self.split_bytes)
 
 
+class FileLog:
+    """Files by the batch that has them, in a folder: one small file a batch, and all names together now and then.
+
+    A batch is written under a draft name and moved, so it is whole or not there. The last KEPT batches stay readable by number.
+    """
+
+    COMPACT, KEPT = 10, 100
+
+    def __init__(self, folder: str):
+        from pyarrow import fs
+
+        self.system, self.root = fs.FileSystem.from_uri(folder)
+        self.system.create_dir(self.root, recursive=True)
+
+    def _numbers(self, end: str) -> list[int]:
+        from pyarrow import fs
+
+        infos = self.system.get_file_info(fs.FileSelector(self.root))
+        return sorted(int(x.base_name.removesuffix(end)) for x in infos if x.is_file and x.base_name.endswith(end) and x.base_name.removesuffix(end).isdigit())
+
+    def _write(self, name: str, rows: list) -> None:
+        draft = f"{self.root}/_draft-{uuid.uuid4().hex}"
+        with self.system.open_output_stream(draft) as out:
+            out.write(json.dumps(rows).encode())
+        self.system.move(draft, f"{self.root}/{name}")
+
+    def _read(self, name: str) -> list[tuple[str, int]]:
+        with self.system.open_input_stream(f"{self.root}/{name}") as f:
+            return [tuple(x) for x in json.loads(f.read())]
+
+    def last(self) -> int:
+        return max([0, *self._numbers(".batch"), *self._numbers(".all")])
+
+    def seen(self) -> set[tuple[str, int]]:
+        whole = max(self._numbers(".all"), default=0)
+        out = set(self._read(f"{whole}.all")) if whole else set()
+        for n in self._numbers(".batch"):
+            if n > whole:
+                out.update(self._read(f"{n}.batch"))
+        return out
+
+    def add(self, files: list[tuple[str, int]]) -> int:
+        """The number of a new batch of these files."""
+        n = self.last() + 1
+        self._write(f"{n}.batch", files)
+        if n % self.COMPACT == 0:
+            self._write(f"{n}.all", sorted(self.seen()))
+            for old in self._numbers(".all"):
+                if old < n:
+                    self.system.delete_file(f"{self.root}/{old}.all")
+            for old in self._numbers(".batch"):
+                if old <= n - self.KEPT:
+                    self.system.delete_file(f"{self.root}/{old}.batch")
+        return n
+
+    def files(self, first: int, last: int) -> list[tuple[str, int]]:
+        """Of the batches after first, up to last; all of them for a stream that begins now."""
+        whole = max((n for n in self._numbers(".all") if n <= last), default=0) if first == 0 else 0
+        out = self._read(f"{whole}.all") if whole else []
+        return out + [x for n in range(max(first, whole) + 1, last + 1) for x in self._read(f"{n}.batch")]
+
+
 class ExrStreamReader(_Reading, DataSourceStreamReader):
-    """Files that are added under the path; the offset is the list of files seen so far."""
+    """Files that are added under the path. The offset is the number of a batch in a log of files.
+
+    The log lies in the option log, or in the folder _exr_log of the path; streams with logs of their own do not disturb each other.
+    A file counts by path and length, once.
+    """
+
+    def __init__(self, kind: str, options: dict, columns: list[str]):
+        super().__init__(kind, options, columns)
+        o = {k.lower(): v for k, v in options.items()}
+        self.log = o.get("log") or (self.path + "_log" if self.path.endswith("." + exr.EXTENSION) else self.path.rstrip("/") + "/_exr_log")
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"seen": []}
+        return {"batch": 0}
 
     def latestOffset(self) -> dict:  # noqa: N802
-        return {"seen": [list(x) for x in found_files(self.path)]}
+        log = FileLog(self.log)
+        seen = log.seen()
+        new = [x for x in found_files(self.path) if x not in seen]
+        return {"batch": log.add(new) if new else log.last()}
 
     def partitions(self, start: dict, end: dict) -> list[Ranges]:
-        old = {tuple(x) for x in start["seen"]}
-        return planned([tuple(x) for x in end["seen"] if tuple(x) not in old], self.split_bytes)
+        return planned(FileLog(self.log).files(start["batch"], end["batch"]), self.split_bytes)
 
     def commit(self, end: dict) -> None:
         pass
@@ -342,7 +417,23 @@ class ExrWriter(DataSourceArrowWriter):
             system.delete_dir(place)
 
 
+class ExrLines:
+    """The table function exr_lines(TABLE(...)) for SQL: rows as exr.lines() gives them, of a table with the columns path and content.
+
+    A null content gives no rows.
+    """
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for name, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            if data is None:
+                continue
+            told = [exr._part_json(p) for p in layout.plan_of(data, len(data)).parts]
+            rows = [{"path": name, "part": told[r["part_no"]]} | r for r in layout.walk_chunks(data)]
+            yield from exr.line_batches(iter([pa.RecordBatch.from_pylist(rows, schema=exr.arrow_schema(exr.CHUNKS))]))
+
+
 def register(spark: SparkSession) -> None:
-    """Make the source and the sink known to a session, and let it push filters into Python sources."""
+    """Make the source, the sink and the table function known to a session, and let it push filters into Python sources."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(ExrSource)
+    spark.udtf.register("exr_lines", F.arrow_udtf(ExrLines, returnType=exr.LINES))

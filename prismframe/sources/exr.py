@@ -632,6 +632,25 @@ def make_folder(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
+def save(made: DataFrame, folder: str) -> DataFrame:
+    """Write each row (path, content) of made, as encode() gives them, as folder/path.exr, and give rows (path, file, bytes)."""
+    make_folder(made.sparkSession, folder)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                draft, name = f"{root}/_draft-{uuid.uuid4().hex}", f"{root}/{path}.{EXTENSION}"
+                with system.open_output_stream(draft) as out:
+                    out.write(content)
+                system.move(draft, name)
+                yield pa.RecordBatch.from_pydict({"path": [path], "file": [name], "bytes": [len(content)]}, schema=arrow_schema(WRITTEN))
+
+    return made.select("path", "content").mapInArrow(work, WRITTEN)
+
+
 def write(rows: DataFrame, spec: list[Part], folder: str) -> DataFrame:
     """Write a file folder/path.exr for each path of rows, and give rows (path, file, bytes). rows as for encode_chunks().
 
