@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry
 from .operators import pyramid
-from .plans.lineage import shared_dir
+from .plans.lineage import new_folder
 from .registry import query
 from .sources import datasource, exr
 from .sources.layout import Channel, Part
@@ -92,11 +92,8 @@ def deep_part(codec: str = "ZIPS", kind: str = "deepscanline", **more) -> Part:
 
 def stored(rows: DataFrame, spec: list[Part]) -> str:
     """The shared folder that the files of rows are written to."""
-    spark = rows.sparkSession
-    folder = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
+    folder = new_folder(rows.sparkSession, "files")
     exr.write(rows, spec, folder).agg(F.sum("bytes")).collect()
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return folder
 
 
@@ -605,7 +602,7 @@ def exr_shared_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {img_sql()} {part_sql()}")
 def exr_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that a stream finds, decoded as they come."""
-    folder, at, name = stored(as_part(flat_rows(spark, sf_dir)), [flat_part()]), f"{shared_dir(spark)}/files/{uuid.uuid4().hex}", f"lines_{uuid.uuid4().hex}"
+    folder, at, name = stored(as_part(flat_rows(spark, sf_dir)), [flat_part()]), new_folder(spark, "files"), f"lines_{uuid.uuid4().hex}"
     run = stream_lines(spark, folder).writeStream.format("parquet").queryName(name).option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return exr.pixels(spark.read.schema(exr.LINES).parquet(f"{at}/rows")).select(file_no(), *KEYS, "value")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,23 +15,15 @@ from .catalog_files import (
     as_part, deep_part, deep_rows, deep_sql, file_no, flat_part, flat_rows, img_sql, part_sql, pyramid_sql, stored, whole,
 )
 from .functions import blocks44, codecs, geometry, numeric
-from .plans.lineage import shared_dir
+from .plans.lineage import new_folder
 from .registry import query
 from .sources import datasource, exr, layout
 from .sources.layout import Channel, Part
 
 
-def _new_folder(spark: SparkSession) -> str:
-    """A folder in the shared one that goes when the JVM ends."""
-    folder = f"{shared_dir(spark)}/files/{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return folder
-
-
 def _saved(made: DataFrame) -> str:
     """The folder of the files that rows (path, content) tell."""
-    folder = _new_folder(made.sparkSession)
+    folder = new_folder(made.sparkSession, "files")
     exr.save(made, folder).collect()
     return folder
 
@@ -76,7 +67,7 @@ def exr_deep_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exr_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """df.write.format("exr") of rows of samples, all of a file in one task, and back."""
     datasource.register(spark)
-    folder, spec = _new_folder(spark), _two_parts("PXR24", "scanlineimage")
+    folder, spec = new_folder(spark, "files"), _two_parts("PXR24", "scanlineimage")
     spec = [Part(p.width, p.height, p.channels, p.kind, "ZIP", p.name) for p in spec]
     _two_rows(spark, sf_dir).repartition("path").write.format("exr").option("parts", exr.parts_json(spec)).mode("append").save(folder)
     return exr.pixels(spark.read.format("exr").option("entry", "multipart").load(folder)).select(file_no(), *KEYS, "value")
@@ -86,7 +77,7 @@ def exr_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exr_sink_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sink of pieces: chunks of deep tiles and levels that many tasks have encoded."""
     datasource.register(spark)
-    folder, spec = _new_folder(spark), _deep_pair("deeptile", RIP)
+    folder, spec = new_folder(spark, "files"), _deep_pair("deeptile", RIP)
     exr.prepared(_twice(spark, sf_dir, RIP), spec).write.format("exr").option("rows", "pieces").option("parts", exr.parts_json(spec)).mode("overwrite").save(folder)
     return exr.deep_samples(spark.read.format("exr").option("entry", "multipart_deep_tiled_ripmap").load(folder)).select(file_no(), *KEYS, "sample_idx", "value")
 
@@ -322,3 +313,66 @@ def exr_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = exr.encode(as_part(flat_rows(spark, sf_dir)), [flat_part("RLE")])
     lines = spark.sql("SELECT * FROM exr_lines(TABLE(SELECT path, content FROM {made}))", made=made)
     return exr.pixels(lines).select(file_no(), *KEYS, "value")
+
+
+# refusals, by planted damage to deep files
+
+
+def _deep_damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files by number modulo 10; see _REFUSED."""
+    for batch in batches:
+        out = []
+        for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            plan, kind = layout.plan_of(data, len(data)), int(path) % 10
+            entry = lambda k: struct.unpack_from("<Q", data, plan.at + 8 * k)[0]  # noqa: B023, E731  used at once
+            value = lambda name, type_name: data.index(f"{name}\0{type_name}\0".encode()) + len(name) + len(type_name) + 6  # noqa: B023, E731
+            at, new = {
+                1: lambda: (value("compression", "compression"), b"\4"), 2: lambda: (value("compression", "compression"), b"\3"), 3: lambda: (value("chunkCount", "int"), struct.pack("<i", 7)),
+                4: lambda: (entry(1), struct.pack("<i", 99)), 5: lambda: (entry(1) + 32, struct.pack("<Q", 1 << 40)), 6: lambda: (entry(1) + 24, struct.pack("<Q", 1 << 40)),
+                7: lambda: (value("dataWindow", "box2i") + 8, struct.pack("<i", 2**31 - 1)), 8: lambda: (plan.at + 8, data[plan.at : plan.at + 8]), 9: lambda: (entry(1), struct.pack("<i", 0)),
+            }.get(kind, lambda: (0, b""))()
+            out.append(data[:at] + new + data[at + len(new) :])
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.binary())], names=["path", "content"])
+
+
+#: What is told of each kind of damage, and how many lines of 42 can still be read.
+_REFUSED = {
+    0: ("", 42), 1: ("Unsupported: compression PIZ of a part of type deeptile", 0), 2: ("Unsupported: compression ZIP of a part of type deeptile", 0), 3: ("InvalidData: chunkCount", 0), 4: ("InvalidData: a chunk outside its part", 34),
+    5: ("InvalidData: the samples take", 34), 6: ("InvalidData: a chunk is cut off", 34), 7: ("InvalidData: a data window that no file of this size can fill", 0), 8: ("InvalidData: a deep chunk twice", 34), 9: ("InvalidData: a deep chunk twice or missing in part", 34),
+}
+_DEEP_FILES_SQL = "(SELECT coalesce(max(l_orderkey) // 140 + 1, 0) FROM lineitem)"
+
+
+@query(
+    f"WITH f AS (SELECT unnest(range(0, {_DEEP_FILES_SQL})) AS file), k(kind, what, n) AS (VALUES {', '.join(str((k, *v)) for k, v in _REFUSED.items())})"
+    " SELECT file, what, CAST(1 AS BIGINT) AS lines FROM f JOIN k ON kind = file % 10 WHERE kind > 0 UNION ALL SELECT file, '', CAST(n AS BIGINT) FROM f JOIN k ON kind = file % 10 WHERE n > 0"
+)
+def exr_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of unsupported codecs, counts, tiles, sizes and windows that cannot be, and of tiles twice, a chunk at a time."""
+    made = exr.encode(deep_rows(spark, sf_dir), [deep_part("RLE", "deeptile")])
+    folder = _saved(made.mapInArrow(_deep_damage, "path string, content binary"))
+    told = exr.lines(exr.read_chunks(spark, folder, mode=exr.PERMISSIVE), mode=exr.PERMISSIVE)
+    what = F.regexp_extract("error", r"^([A-Za-z]+: [^0-9:{]*[a-z])", 1)
+    return told.groupBy(file_no(), F.coalesce(what, F.lit("")).alias("what")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(
+    f"WITH f AS (SELECT unnest(range(0, {_FLAT_FILES})) AS file), l(lvl) AS (SELECT unnest(range(0, 7))), x AS (SELECT file, CAST(lvl AS INTEGER) AS lvl, CAST(greatest(1, {HIGH} >> lvl) AS INTEGER) AS h FROM f, l)"
+    " SELECT file, 0 AS part_no, lvl AS lvl_x, lvl AS lvl_y, 'Y' AS channel, h AS expected, h - CASE file % 4 WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS found, CASE file % 4 WHEN 2 THEN 1 WHEN 3 THEN 1 ELSE 0 END AS wrong FROM x WHERE file % 4 > 0 AND lvl = 1"
+)
+def exr_shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pyramids are looked at before they are written: level 1 lacks a line, has a shorter one, or one too many, by the file."""
+    kind, hit = F.pmod(F.col("path").cast("long"), F.lit(4)), (F.col("lvl_x") == 1) & (F.col("y") == 2)
+    rows = _levels_of(spark, sf_dir, MIP).where(~(hit & (kind == 1)))
+    rows = rows.withColumn("samples", F.when(hit & (kind == 2), F.slice("samples", 1, 5)).otherwise(F.col("samples")))
+    more = rows.where(hit & (kind == 3)).withColumn("y", F.lit(1000))
+    found = exr.shape_faults(rows.union(more), [flat_part("ZIP", "tiledimage", mode=MIP)])
+    return found.select(file_no(), "part_no", "lvl_x", "lvl_y", "channel", "expected", "found", "wrong")
+
+
+@query(f"WITH f AS (SELECT unnest(range(0, {_DEEP_FILES_SQL})) AS file) SELECT file, count(l_orderkey) AS samples, CAST(coalesce(max(n), 0) AS BIGINT) AS most FROM f LEFT JOIN (SELECT l_orderkey, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) ON l_orderkey // 140 = file GROUP BY file")
+def exr_total_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of a deep file and the most of a pixel, from its tables of counts."""
+    lines = exr.lines(exr.read_chunks(spark, stored(deep_rows(spark, sf_dir), [deep_part("RLE", "deeptile")]), "deep_tiled"), ["Z"])
+    own = F.aggregate("counts", F.lit(0).cast("long"), lambda n, x: n + x)
+    return lines.groupBy(file_no()).agg(F.sum(own).alias("samples"), F.max(F.array_max("counts")).cast("long").alias("most"))

@@ -19,11 +19,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """The name of a new folder in the shared one, which goes when the JVM ends."""
+    folder = f"{shared_dir(spark)}/{kind}/{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a table written once to the shared folder, which goes when the JVM ends."""
-    spark = df.sparkSession
-    place, schema = f"{shared_dir(spark)}/cuts/{uuid.uuid4().hex}", df.schema
+    place, schema = new_folder(df.sparkSession, "cuts"), df.schema
     df.write.parquet(place)
-    path = spark._jvm.org.apache.hadoop.fs.Path(place)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(schema).parquet(place)
+    return df.sparkSession.read.schema(schema).parquet(place)

@@ -529,6 +529,38 @@ def encode_chunks(rows: DataFrame, spec: list[Part]) -> DataFrame:
     return blocks.mapInArrow(pack, BODIES)
 
 
+def shape_faults(rows: DataFrame, spec: list[Part]) -> DataFrame:
+    """What is wrong with the shape of rows before they are written: path, part_no, lvl_x, lvl_y, channel, expected, found, wrong.
+
+    rows as for encode_chunks(). A row for each channel of a level of a file that has not each of its lines once (expected and found
+    tell their numbers, found of distinct ones in place) or has lines of another length, repeated or out of place (wrong); also for
+    channels, levels and parts that the spec does not have (expected 0). No rows: all files can be written.
+    """
+    cells = []
+    for no, p in enumerate(spec):
+        for lx, ly in p.grids:
+            w, h = geometry.level_extent(p.width, lx, p.up), geometry.level_extent(p.height, ly, p.up)
+            cells += [(no, lx, ly, c.name, -(-h // c.ys), -(-w // c.xs), c.ys) for c in p.channels]
+    names = ("_no", "_lx", "_ly", "_channel", "expected", "_width", "_step")
+    # as a column of the paths: the spec is small, and each file meets all of it
+    told = F.explode(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, c, strict=True)]) for c in cells])).alias("_c")
+    want = rows.select(F.col("path").alias("_path")).distinct().select("_path", told).select("_path", "_c.*")
+    length = F.when(F.col("counts").isNull(), F.size("samples")).otherwise(F.size("counts"))
+    same = (F.col("path") == F.col("_path")) & (F.col("part_no") == F.col("_no")) & (F.col("lvl_x") == F.col("_lx")) & (F.col("lvl_y") == F.col("_ly")) & (F.col("channel") == F.col("_channel"))
+    keys = ("path", "part_no", "lvl_x", "lvl_y", "channel")
+    have = rows.select(*keys, "y", length.alias("_length")).groupBy(*keys, "y", "_length").agg(F.count(F.lit(1)).alias("_n"))
+    have = have.groupBy(*keys).agg(F.collect_list(F.struct("y", "_length", "_n")).alias("_lines"))  # at most the lines of a plane, by y
+    fits = lambda x: (x["y"] >= 0) & (F.pmod(x["y"], F.col("_step")) == 0) & (F.floor(x["y"] / F.col("_step")) < F.col("expected")) & (x["_length"] == F.col("_width")) & (x["_n"] == 1)
+    met = have.join(want, same, "full_outer")
+    lines = F.coalesce("_lines", F.array().cast(have.schema["_lines"].dataType))
+    good = F.coalesce(F.size(F.filter(lines, fits)), F.lit(0))
+    out = met.select(
+        *[F.coalesce(a, b).alias(a) for a, b in zip(keys, ("_path", "_no", "_lx", "_ly", "_channel"), strict=True)], F.coalesce("expected", F.lit(0)).alias("expected"),
+        F.when(F.col("expected").isNull(), 0).otherwise(good).alias("found"), (F.size(lines) - F.when(F.col("expected").isNull(), 0).otherwise(good)).alias("wrong"),
+    )
+    return out.where("found <> expected OR wrong > 0")
+
+
 def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
     """Rows (path, content): small files (under 2 GB, each made in one task) from rows as encode_chunks() takes them."""
     text, done = parts_json(spec), encode_chunks(rows, spec)

@@ -309,6 +309,8 @@ def plan_of(head: bytes, length: int) -> Plan:
     counts = []
     for part, count in told:
         n = part.count if part.width * part.height <= 4 * length * 65536 else -1
+        if n < 0 and (part.deep or part.tiled):
+            raise InvalidData("a data window that no file of this size can fill")
         if count is not None and count != n and (part.deep or part.tiled):
             raise InvalidData(f"chunkCount {count} where there are {n} chunks")
         counts.append(n if count is None else count)
@@ -405,7 +407,7 @@ def _decode_deep(part: Part, row: dict, x: int, y: int, w: int, h: int) -> list[
     total = int(counts.sum())
     width = sum(codecs.NATIVE[c.kind] for c in part.channels)
     if total * width != row["unpacked_size"]:
-        raise InvalidData(f"{total * width} bytes of samples where {row['unpacked_size']} are told")
+        raise InvalidData(f"the samples take {total * width} bytes, not the {row['unpacked_size']} that are told")
     raw = codecs.unpack(data[size:], total * width, part.codec) if total else b""
     ends, out, at = np.cumsum(counts.sum(axis=1)), [], 0
     for c in part.channels:

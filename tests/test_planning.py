@@ -1,11 +1,12 @@
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from prismframe.functions import geometry
-from prismframe.functions.codecs import InvalidData
+from prismframe.functions.codecs import InvalidData, Unsupported
 from prismframe.sources import datasource, exr, layout, planning
 from prismframe.sources.layout import Part
 from prismframe.sources.planning import Wanted
@@ -385,3 +386,39 @@ def test_no_rows_make_an_empty_folder(spark, tmp_path):
         at = str(tmp_path / folder)
         assert exr.read_chunks(spark, at).count() == 0 and exr.lines(exr.chunks(exr.files(spark, at))).count() == 0
         assert spark.read.format("exr").load(at).count() == 0 and exr.heads(spark, at).count() == 0
+
+
+# each reader refuses what it does not read, through the code that reads
+
+
+@pytest.mark.parametrize("reader", exr.ENTRIES)
+def test_readers_refuse_other_kinds_while_planning(store, reader):
+    folder = store(**FILES)
+    for name, data in FILES.items():
+        with exr.open_file(f"{folder}/{name}.exr") as f:
+            if reader == "any" or name in TAKES[reader] or reader == "mixed" and name == "deep_rip_up_parts":
+                found = exr.file_splits(f, f"{folder}/{name}.exr", len(data), 1 << 20, reader)
+                batch = pa.RecordBatch.from_pylist(found, schema=exr.arrow_schema(exr.SPLITS))
+                assert sum(b.num_rows for b in exr.range_batches(iter([batch]), reader)) == sum(p.count for p in ALL[name])
+            else:
+                with pytest.raises(Unsupported, match="does not read"):
+                    exr.file_splits(f, f"{folder}/{name}.exr", len(data), 1 << 20, reader)
+
+
+# shapes before writing
+
+
+@pytest.mark.parametrize("name", ["mip", "rip_up", "mixed", "subsampled", "deep_tile"])
+def test_shape_faults_tell_lines_that_are_missing_or_wrong(spark, name):
+    spec, rows = ALL[name], sample_rows(ALL[name]) + sample_rows(ALL[name], "b")
+    shown_faults = lambda r: sorted(tuple(x) for x in exr.shape_faults(spark.createDataFrame(r, ROWS), spec).collect())
+    assert shown_faults(rows) == []
+    lost, (path, no, lx, ly, c, y, counts, values) = rows[1:], rows[0]
+    n = sum(r[:5] == rows[0][:5] for r in rows)
+    assert shown_faults(lost) == [(path, no, lx, ly, c, n, n - 1, 0)]
+    assert shown_faults([*rows, rows[0]]) == [(path, no, lx, ly, c, n, n - 1, 1)]
+    assert shown_faults([*rows, (path, no, lx, ly, c, 999, counts, values)]) == [(path, no, lx, ly, c, n, n, 1)]
+    assert shown_faults([*rows, (path, 9, 0, 0, "Q", 0, counts, values)]) == [(path, 9, 0, 0, "Q", 0, 0, 1)]
+    left = [r for r in rows if r[0] != path or r[1:4] != (no, lx, ly)]
+    if any(r[0] == path for r in left):  # a file without rows is none
+        assert shown_faults(left)[0][5:] == (n, 0, 0)
