@@ -2,12 +2,14 @@ import base64
 import hashlib
 import math
 import random
+import string
 import zlib
 from collections import Counter
 from fractions import Fraction
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from prismframe.llm import common, components, digest, jaccard, langid, lmscore, mixing, packing, preference, topk, toxicity, urlrules
@@ -189,6 +191,51 @@ def test_toxicity_learns_and_scores_held_out_rows(spark):
     assert sum((got[i] >= 0.5) == bool(labels[i][1]) for i in test) >= 0.97 * len(test)
 
 
+def naive_toxicity(model, text):
+    """The score of a text: window by window, step by step, number by number."""
+    w, k = {name: x.astype(np.float64) for name, x in model.network.w.items()}, model.network.hidden
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def enters(word):
+        b = word.lower().strip(string.punctuation + string.digits).encode()
+        marked = b"<" + b + b">" + b"\0" * (2 - len(b))
+        codes = [int.from_bytes(marked[i : i + 4], "big") for i in range(len(marked) - 3)]
+        slots = [((c ^ c >> 15) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - toxicity.TABLE_BITS for c in codes]
+        own, less = xxhash.xxh32_intdigest(b) >> 32 - toxicity.TABLE_BITS, toxicity.TABLE_BITS - toxicity.VECTOR_BITS
+        odds = [float(model.gram_odds[i]) for i in slots]
+        return np.array([float(model.word_odds[own]), max(odds), sum(odds) / len(odds), *w["ew"][own >> less], *np.mean([w["eg"][i >> less] for i in slots], axis=0)])
+
+    def states(d, xs):
+        h, out = np.zeros(k), []
+        for x in xs:
+            a, g = x @ w[f"{d}w"] + w[f"{d}b"], h @ w[f"{d}u"]
+            z, r = sigmoid(a[:k] + g[:k]), sigmoid(a[k : 2 * k] + g[k : 2 * k])
+            h = (1 - z) * h + z * np.tanh(a[2 * k :] + r * g[2 * k :])
+            out.append(h)
+        return out
+
+    words, best, at = text.split(), -np.inf, 0
+    while words:
+        xs = [enters(x) for x in words[at : at + toxicity.WINDOW]]
+        both = [np.concatenate(s) for s in zip(states("f", xs), states("b", xs[::-1])[::-1], strict=True)]
+        weight = np.exp([float((s @ w["att"])[0]) for s in both])
+        pooled = sum(a * s for a, s in zip(weight / weight.sum(), both, strict=True))
+        best = max(best, float((pooled @ w["out"])[0] + w["bias"][0]))
+        at += toxicity.WINDOW - toxicity.OVERLAP
+        if at + toxicity.OVERLAP >= len(words):
+            break
+    return float(sigmoid(best)) if words else 0.0
+
+
+def test_scores_are_those_of_a_naive_network():
+    r = random.Random(8)
+    make = lambda n, toxic: " ".join("".join(r.choice("abcdeé!9") for _ in range(r.randint(1, 6))) for _ in range(n)) + (" vile stuff" if toxic else "")
+    texts = [make(r.randint(5, 120), i % 3 == 0) for i in range(60)]
+    model = toxicity.fit(texts, np.array([int(i % 3 == 0) for i in range(60)]))
+    shown = [make(n, n % 2) for n in (1, 2, 16, 17, 47, 48, 49, 80, 81, 200)] + ["", " ", "!!", "é"]
+    assert np.allclose(model.score(shown, toxicity.WordTable()), [naive_toxicity(model, t) for t in shown], atol=1e-4)
+
+
 def test_toxicity_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (7, 0), (3, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     got = toxicity.assess(odd_docs, labels)
