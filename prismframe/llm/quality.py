@@ -49,7 +49,7 @@ def _kinds() -> np.ndarray:
     return out
 
 
-def pieces(text: str, most: int = PIECE) -> Iterator[str]:
+def pieces(text: str, most: int) -> Iterator[str]:
     """A text in runs of up to `most` code points, cut before white space where there is some in a run."""
     at = 0
     while len(text) - at > most:
@@ -106,7 +106,7 @@ def statistics(texts: list[str | None]) -> np.ndarray:
     A text of more than PIECE code points is counted in pieces, so a word without white space for so long counts as several,
     and an echo across a cut is not seen.
     """
-    parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t or "")]
+    parts = [(i, p) for i, t in enumerate(texts) for p in pieces(t or "", PIECE)]
     owner = np.array([i for i, _ in parts], dtype=np.int64)
     out, seen, at = np.zeros((len(texts), len(COUNTS))), [], 0
     while at < len(parts):

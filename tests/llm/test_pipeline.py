@@ -129,5 +129,5 @@ def test_rows_that_share_an_id_stay_apart(spark):
 
 def test_registry_has_one_query_for_each_operator():
     names = list(registry.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert set(registry.oracle_sql()) <= set(names)
