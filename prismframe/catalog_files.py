@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import geometry
 from .operators import pyramid
-from .plans.lineage import new_folder
+from .plans.lineage import cut, new_folder
 from .registry import query
 from .sources import datasource, exr
 from .sources.layout import Channel, Part
@@ -64,14 +64,19 @@ def whole(samples: Column | str) -> Column:
     return F.transform(samples, lambda x: F.floor(x.cast("double") * 64).cast("float"))
 
 
-def deep_rows(spark: SparkSession, sf_dir: str, levels: list[tuple[int, int]] = [(0, 0)], part_no: int = 0, files: int | None = None) -> DataFrame:  # noqa: B006  not changed
-    """Rows for the writer of the deep images; pixel (x, y) of a level is pixel (x 2^lvl_x, y 2^lvl_y) of the first."""
+def deep_pixels(spark: SparkSession, sf_dir: str, files: int | None = None) -> DataFrame:
+    """Rows (path, y0, x0, s) of the pixels of deep images: s are the prices of an order's line items."""
     items = _table(spark, sf_dir, "lineitem")
     n = _files(items, "l_orderkey", DEEP_PIXELS) if files is None else files
     prices = items.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_extendedprice").cast("float"))).alias("s"))
     pixels = spark.range(n * DEEP_PIXELS).join(prices, F.col("id") == F.col("l_orderkey"), "left")
     own = F.pmod("id", F.lit(DEEP_PIXELS))
-    pixels = pixels.select(F.floor(F.col("id") / DEEP_PIXELS).cast("string").alias("path"), F.floor(own / DEEP_WIDE).cast("int").alias("y0"), F.pmod(own, F.lit(DEEP_WIDE)).cast("int").alias("x0"), F.coalesce("s", F.array().cast("array<float>")).alias("s"))
+    return pixels.select(F.floor(F.col("id") / DEEP_PIXELS).cast("string").alias("path"), F.floor(own / DEEP_WIDE).cast("int").alias("y0"), F.pmod(own, F.lit(DEEP_WIDE)).cast("int").alias("x0"), F.coalesce("s", F.array().cast("array<float>")).alias("s"))
+
+
+def deep_rows(spark: SparkSession, sf_dir: str, levels: list[tuple[int, int]] = [(0, 0)], part_no: int = 0, pixels: DataFrame | None = None) -> DataFrame:  # noqa: B006  not changed
+    """Rows for the writer of the deep images; pixel (x, y) of a level is pixel (x 2^lvl_x, y 2^lvl_y) of the first."""
+    pixels = deep_pixels(spark, sf_dir) if pixels is None else pixels
     cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("lvl_x", lx), ("lvl_y", ly), ("sx", 1 << lx), ("sy", 1 << ly), ("w", geometry.level_extent(DEEP_WIDE, lx)), ("h", geometry.level_extent(DEEP_HIGH, ly)))]) for lx, ly in levels])
     at = lambda c, s: F.floor(F.col(c) / F.col(s)).cast("int")
     p = pixels.select("*", F.explode(cells).alias("l")).select("path", "y0", "x0", "s", "l.*").where("x0 % sx = 0 AND y0 % sy = 0").withColumn("x", at("x0", "sx")).withColumn("y", at("y0", "sy")).where("x < w AND y < h")
@@ -483,8 +488,9 @@ def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = flat_rows(spark, sf_dir, files)
     small = crop(flat, 24, 20)
     out = as_part(flat).union(as_part(flat, 1)).union(as_part(_pyramid(small, MIP, 24, 20), 2)).union(as_part(_pyramid(small, RIP, 24, 20), 3))
+    pixels = cut(deep_pixels(spark, sf_dir, files))  # grouped once for four parts
     for no, mode in ((4, 0), (5, 0), (6, MIP), (7, RIP)):
-        out = out.union(deep_rows(spark, sf_dir, _mode_levels(mode), no, files))
+        out = out.union(deep_rows(spark, sf_dir, _mode_levels(mode), no, pixels))
     return out
 
 
