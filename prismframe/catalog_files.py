@@ -78,9 +78,11 @@ def deep_rows(spark: SparkSession, sf_dir: str, levels: list[tuple[int, int]] =
     """Rows for the writer of the deep images; pixel (x, y) of a level is pixel (x 2^lvl_x, y 2^lvl_y) of the first."""
     pixels = deep_pixels(spark, sf_dir) if pixels is None else pixels
     cells = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("lvl_x", lx), ("lvl_y", ly), ("sx", 1 << lx), ("sy", 1 << ly), ("w", geometry.level_extent(DEEP_WIDE, lx)), ("h", geometry.level_extent(DEEP_HIGH, ly)))]) for lx, ly in levels])
-    at = lambda c, s: F.floor(F.col(c) / F.col(s)).cast("int")
-    p = pixels.select("*", F.explode(cells).alias("l")).select("path", "y0", "x0", "s", "l.*").where("x0 % sx = 0 AND y0 % sy = 0").withColumn("x", at("x0", "sx")).withColumn("y", at("y0", "sy")).where("x < w AND y < h")
-    rows = p.groupBy("path", "lvl_x", "lvl_y", "y").agg(F.sort_array(F.collect_list(F.struct("x", "s"))).alias("p")).withColumn("samples", F.flatten("p.s"))
+    own = pixels.groupBy("path", "y0").agg(F.sort_array(F.collect_list(F.struct("x0", "s"))).alias("p"))  # levels are taken from whole rows, which are gathered once
+    here = F.filter(cells, lambda c: (F.pmod(F.col("y0"), c["sy"]) == 0) & (F.floor(F.col("y0") / c["sy"]) < c["h"]))
+    rows = own.select("path", "y0", "p", F.explode(here).alias("l")).select("path", "y0", "p", "l.*")
+    met = F.filter("p", lambda p: (F.pmod(p["x0"], F.col("sx")) == 0) & (F.floor(p["x0"] / F.col("sx")) < F.col("w")))
+    rows = rows.select("path", "lvl_x", "lvl_y", F.floor(F.col("y0") / F.col("sy")).cast("int").alias("y"), met.alias("p")).withColumn("samples", F.flatten("p.s"))
     minus = F.transform("samples", lambda x: -x)
     named = F.explode(F.array(*[F.struct(F.lit(k).alias("channel"), v.alias("samples")) for k, v in (("A", minus), ("Z", F.col("samples")))])).alias("_c")
     counts = F.transform("p", lambda p: F.size(p["s"]))
@@ -109,15 +111,23 @@ def file_no() -> Column:
 KEYS = ("part_no", "lvl_x", "lvl_y", "channel", "y", "x")
 
 
+def flat_values(lines: DataFrame) -> DataFrame:
+    """file, KEYS, value of the flat lines; the number is taken from the path once a line, not once a sample."""
+    return exr.pixels(lines.withColumn("path", file_no())).select(F.col("path").alias("file"), *KEYS, "value")
+
+
+def deep_values(lines: DataFrame) -> DataFrame:
+    """file, KEYS, sample_idx, value of the deep lines."""
+    return exr.deep_samples(lines.withColumn("path", file_no())).select(F.col("path").alias("file"), *KEYS, "sample_idx", "value")
+
+
 def flat_back(rows: DataFrame, spec: list[Part], entry: str) -> DataFrame:
     """file, part_no, lvl_x, lvl_y, channel, y, x, value of files that were written and read in ranges."""
-    got = exr.pixels(exr.lines(exr.read_chunks(rows.sparkSession, stored(rows, spec), entry)))
-    return got.select(file_no(), *KEYS, "value")
+    return flat_values(exr.read_lines(rows.sparkSession, stored(rows, spec), entry))
 
 
 def deep_back(rows: DataFrame, spec: list[Part], entry: str) -> DataFrame:
-    got = exr.deep_samples(exr.lines(exr.read_chunks(rows.sparkSession, stored(rows, spec), entry)))
-    return got.select(file_no(), *KEYS, "sample_idx", "value")
+    return deep_values(exr.read_lines(rows.sparkSession, stored(rows, spec), entry))
 
 
 # the same in SQL
@@ -231,7 +241,7 @@ def exr_format_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     datasource.register(spark)
     folder = stored(_three_rows(spark, sf_dir), _three("ZIP", "tiledimage"))
     got = spark.read.format("exr").option("split_bytes", "4000").option("entry", "single").load(folder)
-    return exr.pixels(got).select(file_no(), *KEYS, "value")
+    return flat_values(got)
 
 
 _FEW = "CAST(1024 + (CAST(floor(64 * CAST(v AS DOUBLE)) AS BIGINT) % 16 + 16) % 16 AS FLOAT)"
@@ -502,9 +512,10 @@ def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exr_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight kinds of part in each file; flat samples have sample_idx -1."""
-    lines = exr.lines(exr.read_chunks(spark, stored(mixed_rows(spark, sf_dir), mixed_parts()), "mixed"))
-    flat = exr.pixels(lines).select(file_no(), *KEYS, F.lit(-1).alias("sample_idx"), "value")
-    return flat.union(exr.deep_samples(lines).select(file_no(), *KEYS, "sample_idx", "value"))
+    lines = exr.read_lines(spark, stored(mixed_rows(spark, sf_dir), mixed_parts()), "mixed").withColumn("path", file_no())
+    sample = F.lit(-1).alias("sample_idx")
+    flat = exr.pixels(lines).select(F.col("path").alias("file"), *KEYS, sample, "value")
+    return flat.union(exr.deep_samples(lines).select(F.col("path").alias("file"), *KEYS, "sample_idx", "value"))
 
 
 @query(f"WITH n AS (SELECT l_orderkey // {DEEP_PIXELS} AS file, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT f AS file, name, CAST(coalesce(max(n.n), 0) AS BIGINT) AS most FROM (SELECT unnest(range(0, {_DEEP_FILES})) AS f) LEFT JOIN n ON file = f CROSS JOIN (VALUES ('maxSamplesPerPixel')) AS t(name) GROUP BY f, name")
@@ -611,4 +622,4 @@ def exr_file_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, at, name = stored(as_part(flat_rows(spark, sf_dir)), [flat_part()]), new_folder(spark, "files"), f"lines_{uuid.uuid4().hex}"
     run = stream_lines(spark, folder).writeStream.format("parquet").queryName(name).option("path", f"{at}/rows").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
-    return exr.pixels(spark.read.schema(exr.LINES).parquet(f"{at}/rows")).select(file_no(), *KEYS, "value")
+    return flat_values(spark.read.schema(exr.LINES).parquet(f"{at}/rows"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .catalog import _CODES, _IDENTITY, _SIDE, _bits_sql, _image, _image_rows, _read_back
 from .catalog_files import (
     _DEEP, _FLAT_FILES, _OWN_LEVELS, HIGH, KEYS, MIP, RIP, WIDE, _deep_pair, _flat_blocks, _levels_of, _mode_levels, _multi_levels, _multi_sql, _pair_sql, _twice, _two_parts, _two_rows, _TWO_SQL,
-    as_part, deep_part, deep_rows, deep_sql, file_no, flat_part, flat_rows, img_sql, part_sql, pyramid_sql, stored, whole,
+    as_part, deep_part, deep_rows, deep_sql, deep_values, file_no, flat_part, flat_rows, flat_values, img_sql, part_sql, pyramid_sql, stored, whole,
 )
 from .functions import blocks44, codecs, geometry, numeric
 from .plans.lineage import new_folder
@@ -37,7 +37,7 @@ def exr_pushed_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     datasource.register(spark)
     folder = stored(_multi_levels(spark, sf_dir, MIP), _two_parts("ZIP", "tiledimage", (MIP, MIP)))
     got = spark.read.format("exr").option("split_bytes", "8000").load(folder).where("part_no = 1 AND lvl_x IN (1, 2) AND y < 3")
-    return exr.pixels(got).select(file_no(), *KEYS, "value")
+    return flat_values(got)
 
 
 _WINDOW = (21, 13, 50, 33)
@@ -50,14 +50,14 @@ _WINDOW = (21, 13, 50, 33)
 def exr_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window across cut tiles on twelve levels of a rip pyramid."""
     folder = stored(_levels_of(spark, sf_dir, RIP), [flat_part("ZIP", "tiledimage", mode=RIP)])
-    return exr.pixels(exr.region(spark, folder, _WINDOW, ((0, 3), (0, 2)))).select(file_no(), *KEYS, "value")
+    return flat_values(exr.region(spark, folder, _WINDOW, ((0, 3), (0, 2))))
 
 
 @query(f"WITH {_DEEP}, d AS ({deep_sql(0, MIP)}) SELECT * FROM d WHERE lvl_x = 1 AND channel = 'Z' AND x BETWEEN 2 AND 7 AND y BETWEEN 1 AND 2")
 def exr_deep_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A window of deep tiles, with one of two channels."""
     folder = stored(deep_rows(spark, sf_dir, _mode_levels(MIP)), [deep_part("ZIPS", "deeptile", mode=MIP)])
-    return exr.deep_samples(exr.region(spark, folder, (4, 3, 15, 5), ((1, 1), (1, 1)), ["Z"])).select(file_no(), *KEYS, "sample_idx", "value")
+    return deep_values(exr.region(spark, folder, (4, 3, 15, 5), ((1, 1), (1, 1)), ["Z"]))
 
 
 # the sink
@@ -70,7 +70,7 @@ def exr_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, spec = new_folder(spark, "files"), _two_parts("PXR24", "scanlineimage")
     spec = [Part(p.width, p.height, p.channels, p.kind, "ZIP", p.name) for p in spec]
     _two_rows(spark, sf_dir).repartition("path").write.format("exr").option("parts", exr.parts_json(spec)).mode("append").save(folder)
-    return exr.pixels(spark.read.format("exr").option("entry", "multipart").load(folder)).select(file_no(), *KEYS, "value")
+    return flat_values(spark.read.format("exr").option("entry", "multipart").load(folder))
 
 
 @query(_pair_sql(RIP))
@@ -79,7 +79,7 @@ def exr_sink_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     datasource.register(spark)
     folder, spec = new_folder(spark, "files"), _deep_pair("deeptile", RIP)
     exr.prepared(_twice(spark, sf_dir, RIP), spec).write.format("exr").option("rows", "pieces").option("parts", exr.parts_json(spec)).mode("overwrite").save(folder)
-    return exr.deep_samples(spark.read.format("exr").option("entry", "multipart_deep_tiled_ripmap").load(folder)).select(file_no(), *KEYS, "sample_idx", "value")
+    return deep_values(spark.read.format("exr").option("entry", "multipart_deep_tiled_ripmap").load(folder))
 
 
 # tables that are not filled in
@@ -176,7 +176,7 @@ def exr_rounded_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = flat_rows(spark, sf_dir)
     made = as_part(_up_levels(rows, MIP)).union(as_part(_up_levels(rows, RIP), 1))
     spec = [flat_part("ZIP", "tiledimage", name=n, mode=m, up=True) for n, m in (("mip", MIP), ("rip", RIP))]
-    return exr.pixels(exr.lines(exr.read_chunks(spark, stored(made, spec), "multipart_tiled_multilevel"))).select(file_no(), *KEYS, "value")
+    return flat_values(exr.read_lines(spark, stored(made, spec), "multipart_tiled_multilevel"))
 
 
 # headers
@@ -250,7 +250,7 @@ _IMG_PIXELS = f"SELECT file AS id, y, x, {_bits_sql('v')} AS b FROM img"
 def exr_b44_any_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of any values in blocks of 32 rows, the last of them cut, where edge samples are repeated."""
     folder = stored(as_part(flat_rows(spark, sf_dir)), [flat_part("B44", pixel="HALF")])
-    return exr.pixels(exr.lines(exr.read_chunks(spark, folder, "single"))).select(file_no(), *KEYS, "value")
+    return flat_values(exr.read_lines(spark, folder, "single"))
 
 
 @query(f"WITH {img_sql()}, t AS (SELECT file, y, CAST(floor(64 * CAST(v AS DOUBLE)) AS FLOAT) AS value FROM img WHERE x = 0) SELECT file, y, value, CAST(2 * CASE WHEN y < 32 THEN 32 ELSE {HIGH - 32} END AS BIGINT) AS payload FROM t")
@@ -300,7 +300,7 @@ def exr_linear_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A perceptually linear channel through B44: its samples go through the tables and back."""
     rows = flat_rows(spark, sf_dir).withColumn("samples", _flat_blocks())
     folder = stored(as_part(rows), [Part(WIDE, HIGH, [Channel("Y", "HALF", linear=True)], codec="B44A")])
-    return exr.pixels(exr.lines(exr.read_chunks(spark, folder, "single"))).select(file_no(), *KEYS, "value")
+    return flat_values(exr.read_lines(spark, folder, "single"))
 
 
 # the table function
@@ -312,7 +312,7 @@ def exr_table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     datasource.register(spark)
     made = exr.encode(as_part(flat_rows(spark, sf_dir)), [flat_part("RLE")])
     lines = spark.sql("SELECT * FROM exr_lines(TABLE(SELECT path, content FROM {made}))", made=made)
-    return exr.pixels(lines).select(file_no(), *KEYS, "value")
+    return flat_values(lines)
 
 
 # refusals, by planted damage to deep files
@@ -373,6 +373,6 @@ def exr_shape_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH f AS (SELECT unnest(range(0, {_DEEP_FILES_SQL})) AS file) SELECT file, count(l_orderkey) AS samples, CAST(coalesce(max(n), 0) AS BIGINT) AS most FROM f LEFT JOIN (SELECT l_orderkey, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) ON l_orderkey // 140 = file GROUP BY file")
 def exr_total_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The samples of a deep file and the most of a pixel, from its tables of counts."""
-    lines = exr.lines(exr.read_chunks(spark, stored(deep_rows(spark, sf_dir), [deep_part("RLE", "deeptile")]), "deep_tiled"), ["Z"])
+    lines = exr.read_lines(spark, stored(deep_rows(spark, sf_dir), [deep_part("RLE", "deeptile")]), "deep_tiled", ["Z"])
     own = F.aggregate("counts", F.lit(0).cast("long"), lambda n, x: n + x)
     return lines.groupBy(file_no()).agg(F.sum(own).alias("samples"), F.max(F.array_max("counts")).cast("long").alias("most"))

@@ -27,6 +27,14 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return folder
 
 
+def work_tasks(spark: SparkSession) -> int:
+    """How many tasks rows are dealt to that are small beside the work they make.
+
+    Given as a number, since adaptive execution puts partitions of few bytes together, whatever their work is.
+    """
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df from a table written once to the shared folder, which goes when the JVM ends."""
     place, schema = new_folder(df.sparkSession, "cuts"), df.schema

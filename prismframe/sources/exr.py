@@ -18,13 +18,13 @@ from dataclasses import asdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.numeric import preview_quantise
 from ..operators.tables import running_offsets
-from ..plans.lineage import cut
+from ..plans.lineage import cut, work_tasks
 from . import layout, planning
 from .layout import Channel, InvalidData, Part, Unsupported
 from .planning import Wanted
@@ -207,7 +207,7 @@ def heads(spark: SparkSession, path: str) -> DataFrame:
                     at = layout.plan_by_ranges(range_reader(f), length).at
                     yield pa.RecordBatch.from_pydict({"path": [path], "content": [f.read_at(at, 0)]}, schema=arrow_schema("path string, content binary"))
 
-    return listed(spark, path).mapInArrow(read, "path string, content binary")
+    return listed(spark, path).coalesce(work_tasks(spark)).mapInArrow(read, "path string, content binary")
 
 
 def file_splits(f, path: str, length: int, split_bytes: int, entry: str = "any", wanted: Wanted = Wanted(), recover: bool = False, mode: str = FAILFAST, within: tuple[int, int] | None = None) -> list[dict]:  # noqa: B008  not changed
@@ -243,18 +243,19 @@ def splits(spark: SparkSession, path: str, split_bytes: int = 4 << 20, entry: st
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(SPLITS))
 
-    return listed(spark, path).mapInArrow(split, SPLITS)
+    return listed(spark, path).coalesce(work_tasks(spark)).mapInArrow(split, SPLITS)
 
 
-def range_batches(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted = Wanted(), mode: str = FAILFAST) -> Iterator[pa.RecordBatch]:  # noqa: B008  not changed
-    """Batches of SPLITS to batches of CHUNKS; a task holds one range at a time."""
+def range_rows(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted = Wanted(), mode: str = FAILFAST) -> Iterator[list[dict]]:  # noqa: B008  not changed
+    """The rows of CHUNKS of each row of SPLITS, with missing columns left out; a task holds one range at a time."""
     last, plan, texts = None, None, []
     for batch in batches:
-        for s in batch.to_pylist():
+        for i in range(batch.num_rows):  # one by one: the places of all ranges of a batch are many objects
+            s = batch.slice(i, 1).to_pylist()[0]
             if s["error"]:
                 if mode == PERMISSIVE:
                     place = {"part_no": s["part_nos"][0], "chunk_idx": s["chunk_idxs"][0]} if s["part_nos"] else {}
-                    yield pa.RecordBatch.from_pylist([{"path": s["path"], "error": s["error"]} | place], schema=arrow_schema(CHUNKS))
+                    yield [{"path": s["path"], "error": s["error"]} | place]
                 continue
             if not 0 <= s["start"] <= s["stop"] <= s["length"]:
                 raise InvalidData(f"a chunk outside {s['path']}")
@@ -279,7 +280,14 @@ def range_batches(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted
                             raise
                         if mode == PERMISSIVE:
                             rows.append({"path": s["path"], "part": texts[no], "part_no": no, "chunk_idx": idx, "error": f"InvalidData: {e}"})
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(CHUNKS))
+            yield rows
+
+
+def range_batches(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted = Wanted(), mode: str = FAILFAST) -> Iterator[pa.RecordBatch]:  # noqa: B008  not changed
+    """Batches of SPLITS to batches of CHUNKS."""
+    schema = arrow_schema(CHUNKS)
+    for rows in range_rows(batches, entry, wanted, mode):
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
 def _mode(mode: str) -> str:
@@ -301,11 +309,35 @@ def read_chunks(
     mode = _mode(mode)
     if entry == "single":
         wanted = wanted.narrowed("lvl_x", 0, 0).narrowed("lvl_y", 0, 0)
-    found = splits(spark, path, split_bytes, entry, wanted, recover, mode)
-    dealt = found.repartition("path", "start") if tasks is None else found.repartition(tasks, "path", "start")
+    dealt = _dealt(spark, path, entry, split_bytes, tasks, wanted, recover, mode)
     return dealt.mapInArrow(lambda batches: range_batches(batches, entry, wanted, mode), CHUNKS)
 
 
+def _dealt(spark: SparkSession, path: str, entry: str, split_bytes: int, tasks: int | None, wanted: Wanted, recover: bool, mode: str) -> DataFrame:
+    """Rows of SPLITS dealt to tasks: so many by number, since by their bytes, which tell nothing of the work, few tasks would get all."""
+    found = splits(spark, path, split_bytes, entry, wanted, recover, mode)
+    return found.repartition(tasks or work_tasks(spark), "path", "start")
+
+
+def read_lines(
+    spark: SparkSession, path: str, entry: str = "any", only: list[str] | None = None, split_bytes: int = 4 << 20, tasks: int | None = None, wanted: Wanted = Wanted(), recover: bool = False, mode: str = FAILFAST,  # noqa: B008  not changed
+) -> DataFrame:
+    """Rows as lines(read_chunks(...)) gives them; the chunks are decoded where they are read, and are no rows between."""
+    mode = _mode(mode)
+    cropped_to = wanted
+    if entry == "single":
+        wanted = wanted.narrowed("lvl_x", 0, 0).narrowed("lvl_y", 0, 0)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded((r for rows in range_rows(batches, entry, wanted, mode) for r in rows), only, cropped_to, mode)
+
+    return _dealt(spark, path, entry, split_bytes, tasks, wanted, recover, mode).mapInArrow(work, _lines_schema(mode))
+
+
+def _lines_schema(mode: str) -> str:
+    return LINES + (", error string" if mode == PERMISSIVE else "")
+
+
 def incomplete(packed: DataFrame) -> DataFrame:
     """path, part_no, chunks, places, expected of the parts whose chunks do not cover each place once."""
     expected = F.udf(lambda text: _part(text).count, "long")
@@ -354,36 +386,39 @@ def cropped(found: tuple, part: Part, box: tuple[int, int, int, int]) -> tuple |
 
 def line_batches(batches: Iterator[pa.RecordBatch], only: list[str] | None = None, wanted: Wanted = Wanted(), mode: str = FAILFAST, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:  # noqa: B008  not changed
     """Batches of CHUNKS to batches of LINES of about batch_bytes, or one chunk; with PERMISSIVE they have error, too."""
-    known, errors = _Parts(), mode == PERMISSIVE
     keys = ("path", "part", "part_no", "chunk_idx", "tx", "ty", "lvl_x", "lvl_y", "table_size", "unpacked_size", "payload", "error")
+    rows = (dict(zip(keys, values, strict=True)) for batch in batches for i in range(0, batch.num_rows, 256) for values in zip(*(batch.column(k).slice(i, 256).to_pylist() for k in keys), strict=True))
+    return _decoded(rows, only, wanted, mode, batch_bytes)
+
+
+def _decoded(rows: Iterator[dict], only: list[str] | None, wanted: Wanted, mode: str, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    known, errors = _Parts(), mode == PERMISSIVE
     out, size = [], 0
-    for batch in batches:
-        for values in zip(*(batch.column(k).to_pylist() for k in keys), strict=True):
-            r = dict(zip(keys, values, strict=True))
-            own = (r["path"], r["part_no"], r["lvl_x"], r["lvl_y"])
-            error = r["error"]
-            if error is None:
-                part = known[r["part"]]
-                try:
-                    found = layout.decode_chunk(part, r)
-                except InvalidData as e:
-                    if mode == FAILFAST:
-                        raise
-                    error = f"InvalidData: {e}"
-            if error is not None:
-                if errors:
-                    out.append((*own, None, None, None, None, None, error))
-                continue
-            box = None if wanted.window is None and wanted.y is None else wanted.box(part, r["lvl_x"], r["lvl_y"])
-            for line in found:
-                if only is None or line[0] in only:
-                    line = line if box is None else cropped(line, part, box)
-                    if line is not None:
-                        out.append((*own, *line, None))
-                        size += 100 + 4 * len(line[4]) + (0 if line[3] is None else 8 * len(line[3]))
-            if size > batch_bytes:
-                yield _line_batch(out, errors)
-                out, size = [], 0
+    for r in rows:
+        own = (r["path"], r.get("part_no"), r.get("lvl_x"), r.get("lvl_y"))
+        error = r.get("error")
+        if error is None:
+            part = known[r["part"]]
+            try:
+                found = layout.decode_chunk(part, r)
+            except InvalidData as e:
+                if mode == FAILFAST:
+                    raise
+                error = f"InvalidData: {e}"
+        if error is not None:
+            if errors:
+                out.append((*own, None, None, None, None, None, error))
+            continue
+        box = None if wanted.window is None and wanted.y is None else wanted.box(part, r["lvl_x"], r["lvl_y"])
+        for line in found:
+            if only is None or line[0] in only:
+                line = line if box is None else cropped(line, part, box)
+                if line is not None:
+                    out.append((*own, *line, None))
+                    size += 100 + 4 * len(line[4]) + (0 if line[3] is None else 8 * len(line[3]))
+        if size > batch_bytes:
+            yield _line_batch(out, errors)
+            out, size = [], 0
     if out:
         yield _line_batch(out, errors)
 
@@ -396,7 +431,7 @@ def lines(packed: DataFrame, only: list[str] | None = None, wanted: Wanted = Wan
     with error, and adds that column to all.
     """
     mode = _mode(mode)
-    return packed.mapInArrow(lambda batches: line_batches(batches, only, wanted, mode), LINES + (", error string" if mode == PERMISSIVE else ""))
+    return packed.mapInArrow(lambda batches: line_batches(batches, only, wanted, mode), _lines_schema(mode))
 
 
 def region(spark: SparkSession, path: str, window: tuple[int, int, int, int], levels: tuple[tuple[int, int], tuple[int, int]] | None = None, only: list[str] | None = None, entry: str = "any", **more) -> DataFrame:
@@ -407,7 +442,7 @@ def region(spark: SparkSession, path: str, window: tuple[int, int, int, int], le
     wanted = Wanted(window=window)
     for name, (low, high) in zip(("lvl_x", "lvl_y"), levels or (), strict=False):
         wanted = wanted.narrowed(name, low, high)
-    return lines(read_chunks(spark, path, entry, wanted=wanted, **more), only, wanted, more.get("mode", FAILFAST))
+    return read_lines(spark, path, entry, only, wanted=wanted, **more)
 
 
 def pixels(rows: DataFrame) -> DataFrame:
@@ -421,10 +456,9 @@ def pixels(rows: DataFrame) -> DataFrame:
 
 def deep_samples(rows: DataFrame) -> DataFrame:
     """path, part_no, lvl_x, lvl_y, channel, y, x, sample_idx, value of the deep rows of lines()."""
-    pixel = F.transform(F.arrays_zip("counts", "starts"), lambda p, i: F.struct((F.col("x0") + i).alias("x"), p["counts"].alias("n"), p["starts"].alias("start")))
-    deep = rows.where("counts is not null").withColumn("p", F.explode(pixel)).where("p.n > 0")
-    deep = deep.select("path", "part_no", "lvl_x", "lvl_y", "channel", "y", F.col("p.x").alias("x"), F.posexplode(F.slice("samples", F.col("p.start") + 1, F.col("p.n"))).alias("sample_idx", "value"))
-    return deep
+    keys = ("path", "part_no", "lvl_x", "lvl_y", "channel", "y")
+    deep = rows.where("counts is not null").select(*keys, "x0", "starts", "samples", F.posexplode("counts").alias("i", "n")).where("n > 0")
+    return deep.select(*keys, (F.col("x0") + F.col("i")).alias("x"), F.posexplode(F.slice("samples", F.get("starts", F.col("i")) + 1, F.col("n"))).alias("sample_idx", "value"))
 
 
 def preview(long: DataFrame) -> DataFrame:
@@ -455,28 +489,41 @@ def rgba_planes(rows: DataFrame) -> DataFrame:
     return checked.select(*rest, *own, named).select(*rest, *keys, "_p.channel", "_p.samples", F.lit(None).cast("array<int>").alias("counts"))
 
 
-def _blocks(lines: pa.ListArray) -> Iterator[dict[tuple[str, int], tuple[np.ndarray, np.ndarray | None]]]:
-    """The lines of each row as (samples, counts) by channel and row, as views of the Arrow buffers; none may be there twice."""
-    ends, rows = lines.offsets.to_numpy(), lines.values
-    channel, y = rows.field("channel").to_pylist(), rows.field("y").to_numpy(zero_copy_only=False)
-    samples, counts = rows.field("samples"), rows.field("counts")
-    at, values = samples.offsets.to_numpy(), samples.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    n_at, n, flat = counts.offsets.to_numpy(), counts.values.to_numpy(zero_copy_only=False), counts.is_null().to_numpy(zero_copy_only=False)
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        have = {(channel[i], int(y[i])): (values[at[i] : at[i + 1]], None if flat[i] else n[n_at[i] : n_at[i + 1]]) for i in range(a, b)}
-        if len(have) < b - a:
-            raise InvalidData("two rows of a channel have the same y")
-        yield have
+#: Bytes of chunks that a batch of BODIES holds at least, but for a task's last.
+PACKED = 4 << 20
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, dict[tuple[str, int], tuple[np.ndarray, np.ndarray | None]]]]:
+    """(keys, lines) of each run of rows with the same keys: samples and counts by channel and row, none of which may be there twice."""
+    now, have = None, {}
+    for batch in batches:
+        told = zip(*(batch.column(k).to_pylist() for k in keys), strict=True)
+        names, ys = batch.column("channel").to_pylist(), batch.column("y").to_pylist()
+        for key, channel, y, samples, counts in zip(told, names, ys, *_views(batch), strict=True):
+            if key != now:
+                if have:
+                    yield now, have
+                now, have = key, {}
+            if (channel, y) in have:
+                raise InvalidData("two rows of a channel have the same y")
+            have[channel, y] = samples, counts
+    if have:
+        yield now, have
+
+
+def _views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray | None]]:
+    """Samples and counts of each row as views of the Arrow buffers."""
+    samples, counts = batch.column("samples"), batch.column("counts")
+    values, n = samples.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False), counts.values.to_numpy(zero_copy_only=False)
+    at, n_at, flat = samples.offsets.to_pylist(), counts.offsets.to_pylist(), counts.is_null().to_pylist()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], [None if none else n[a:b] for none, a, b in zip(flat, n_at[:-1], n_at[1:], strict=True)]
 
 
 def line_values(batch: pa.RecordBatch) -> Iterator[tuple]:
     """(path, part_no, lvl_x, lvl_y, channel, y, samples, counts) of each row, samples and counts as views of the buffers."""
-    samples, counts = batch.column("samples"), batch.column("counts")
-    at, values = samples.offsets.to_numpy(), samples.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)
-    n_at, n, flat = counts.offsets.to_numpy(), counts.values.to_numpy(zero_copy_only=False), counts.is_null().to_pylist()
     keys = zip(*(batch.column(k).to_pylist() for k in ("path", "part_no", "lvl_x", "lvl_y", "channel", "y")), strict=True)
-    for i, key in enumerate(keys):
-        yield (*key, values[at[i] : at[i + 1]], None if flat[i] else n[n_at[i] : n_at[i + 1]])
+    for key, samples, counts in zip(keys, *_views(batch), strict=True):
+        yield (*key, samples, counts)
 
 
 BODIES = "path string, part_no int, at int, place int, body binary, most int"
@@ -503,30 +550,33 @@ def encode_chunks(rows: DataFrame, spec: list[Part]) -> DataFrame:
     own = F.slice("counts", first + 1, F.col("_step"))
     start = F.when(F.col("counts").isNull(), first).otherwise(total(F.slice("counts", F.lit(1), first)))
     n = F.when(F.col("counts").isNull(), F.col("_step")).otherwise(total(own))
-    line = F.struct("channel", "y", F.slice("samples", start + 1, n).alias("samples"), own.alias("counts"))
-    cut = cut.select("path", "part_no", "lvl_x", "lvl_y", "tx", F.floor(F.col("y") / ty).cast("int").alias("ty"), line.alias("line"))
-    blocks = cut.groupBy("path", "part_no", "lvl_x", "lvl_y", "tx", "ty").agg(F.collect_list("line").alias("lines"))
+    keys = ("path", "part_no", "lvl_x", "lvl_y", "tx", "ty")
+    pieces = cut.select("path", "part_no", "lvl_x", "lvl_y", "tx", F.floor(F.col("y") / ty).cast("int").alias("ty"), "channel", "y", F.slice("samples", start + 1, n).alias("samples"), own.alias("counts"))
+    dealt = pieces.repartition(work_tasks(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = parts_of_json(text)
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in _names(BODIES)}
-            blocks = _blocks(batch.column("lines"))
-            for path, no, lx, ly, tx, ty in zip(*(batch.column(k).to_pylist() for k in ("path", "part_no", "lvl_x", "lvl_y", "tx", "ty")), strict=True):
-                if not 0 <= no < len(told):
-                    raise InvalidData(f"rows of part {no}")
-                across, down = told[no].grids.get((lx, ly), (0, 0))
-                if not (0 <= tx < across and 0 <= ty < down):
-                    raise InvalidData(f"rows outside part {no}: {(tx, ty, lx, ly)}")
-                have = next(blocks)
-                layout.check_lines(told[no], tx, ty, lx, ly, have)
-                body, most = layout.encode_chunk(told[no], tx, ty, lx, ly, have)
-                at = told[no].place(tx, ty, lx, ly)
-                for k, v in zip(out, (path, no, at, layout.laid(told[no], at), body, most), strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=arrow_schema(BODIES))
-
-    return blocks.mapInArrow(pack, BODIES)
+        told, schema = parts_of_json(text), arrow_schema(BODIES)
+        out: dict[str, list] = {k: [] for k in _names(BODIES)}
+        size = 0
+        for (path, no, lx, ly, tx, ty), have in _blocks(batches, keys):
+            if not 0 <= no < len(told):
+                raise InvalidData(f"rows of part {no}")
+            across, down = told[no].grids.get((lx, ly), (0, 0))
+            if not (0 <= tx < across and 0 <= ty < down):
+                raise InvalidData(f"rows outside part {no}: {(tx, ty, lx, ly)}")
+            layout.check_lines(told[no], tx, ty, lx, ly, have)
+            body, most = layout.encode_chunk(told[no], tx, ty, lx, ly, have)
+            at = told[no].place(tx, ty, lx, ly)
+            for k, v in zip(out, (path, no, at, layout.laid(told[no], at), body, most), strict=True):
+                out[k].append(v)
+            size += 256 + len(body)
+            if size > PACKED:
+                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                out, size = {k: [] for k in out}, 0
+        if size:
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
+
+    return dealt.mapInArrow(pack, BODIES)
 
 
 def shape_faults(rows: DataFrame, spec: list[Part]) -> DataFrame:
@@ -580,6 +630,8 @@ def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
 
 PIECES = "path string, step int, nth long, part_no int, n long, tops array<int>, body binary"
 WRITTEN = "path string, file string, bytes long"
+#: Chunks of a file that a running sum adds up in one go.
+BAND = 1024
 
 
 def prepared(rows: DataFrame, spec: list[Part]) -> DataFrame:
@@ -592,9 +644,15 @@ def prepared(rows: DataFrame, spec: list[Part]) -> DataFrame:
     base = len(layout.encode_headers(spec, [0] * len(spec))) + 8 * sum(p.count for p in spec)
     counts = [p.count for p in spec]
     first = F.element_at(F.array(*[F.lit(sum(counts[:no])) for no in range(len(spec))]), F.col("part_no") + 1)
-    bodies = cut(encode_chunks(rows, spec))
-    sized = bodies.select("path", "part_no", (first + F.col("at")).alias("number"), (first + F.col("place")).alias("nth"), (F.octet_length("body") + F.lit(4 * many)).cast("long").alias("size"), "most")
-    placed = running_offsets(sized, ["path"], "nth", "size").select("path", "part_no", "number", (F.col("offset") + base).alias("offset"), "most")
+    # the size is a column of its own, so that the steps that place the chunks need not read them
+    bodies = cut(encode_chunks(rows, spec).withColumn("size", (F.octet_length("body") + F.lit(4 * many)).cast("long")))
+    sized = bodies.select("path", "part_no", (first + F.col("at")).alias("number"), (first + F.col("place")).alias("nth"), "size", "most")
+    if sum(counts) <= BAND:  # the chunks of a file are few
+        before = Window.partitionBy("path").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+        placed = sized.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    else:
+        placed = running_offsets(sized, ["path"], "nth", "size", BAND)
+    placed = placed.select("path", "part_no", "number", (F.col("offset") + base).alias("offset"), "most")
     most = F.greatest(F.col("most"), F.lit(0))
     tops = placed.groupBy("path").agg(F.array(*[F.coalesce(F.max(F.when(F.col("part_no") == no, most)), F.lit(0)) for no in range(len(spec))]).alias("tops"), F.count(F.lit(1)).alias("n"))
     whole = F.assert_true(F.col("n") == sum(counts), F.concat(F.col("n").cast("string"), F.lit(" chunks for "), F.col("path")))
@@ -605,7 +663,7 @@ def prepared(rows: DataFrame, spec: list[Part]) -> DataFrame:
         .union(placed.select("path", F.lit(1), "number", none("int"), F.col("offset"), none("array<int>"), none("binary")))
         .union(bodies.select("path", F.lit(2), first + F.col("place"), "part_no", none("long"), none("array<int>"), "body"))
     )
-    return pieces.repartition("path").sortWithinPartitions("path", "step", "nth")
+    return pieces.repartition(work_tasks(rows.sparkSession), "path").sortWithinPartitions("path", "step", "nth")
 
 
 class Stitching:
