@@ -6,8 +6,8 @@ DROPMALFORMED, see exr.MODES; PERMISSIVE adds the column error), recover (true:
 ("x,y"). Comparisons of part_no, lvl_x, lvl_y, y, tx, ty, chunk_idx, x0, channel and path with constants are pushed down: chunks that
 they exclude are not read, and Spark does not check them again. A schema of fewer columns (spark.read.schema(...)) gives those alone.
 
-The driver lists files and cuts them into ranges of about split_bytes without opening any; small files are put together. A
-task reads the headers and the offset table of its files and takes the chunks that begin in its range.
+The driver lists files and cuts them into ranges of about split_bytes without opening any; small files are put together, and
+so are ranges where there are more than TASKS of less than 32 MB. A task reads the headers and the offset table of its files and takes the chunks that begin in its range.
 
 Writing. df has rows as exr.encode_chunks() takes them, all rows of a file in one task (df.repartition("path")), or with
 option rows = pieces those of exr.prepared(), whose chunks many tasks have encoded. parts: exr.parts_json() of the spec.
@@ -73,7 +73,27 @@ def planned(files: list[tuple[str, int]], split_bytes: int) -> list[Ranges]:
             small, size = [], 0
         small.append((path, length, 0, length))
         size += length
-    return out + ([Ranges(small)] if small or not out else [])
+    return together(out + ([Ranges(small)] if small or not out else []), split_bytes)
+
+
+#: Partitions that may be as small as split_bytes; where there would be more, they take up to TOGETHER bytes each.
+TASKS, TOGETHER = 256, 32 << 20
+
+
+def together(found: list[Ranges], split_bytes: int) -> list[Ranges]:
+    """Neighbouring partitions put together where there are many small ones, since each is a task. Ranges stay as they are cut."""
+    if len(found) <= TASKS:
+        return found
+    own = lambda r: sum(stop - first for _, _, first, stop in r.pieces)
+    most, out, size = max(split_bytes, min(TOGETHER, -(-sum(map(own, found)) // TASKS))), [], 0
+    for r in found:
+        if out and size + own(r) <= most:
+            out[-1].pieces.extend(r.pieces)
+        else:
+            out.append(Ranges(list(r.pieces)))
+            size = 0
+        size += own(r)
+    return out
 
 
 class ExrSource(DataSource):
