@@ -512,7 +512,7 @@ def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exr_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight kinds of part in each file; flat samples have sample_idx -1."""
-    lines = exr.read_lines(spark, stored(mixed_rows(spark, sf_dir), mixed_parts()), "mixed").withColumn("path", file_no())
+    lines = cut(exr.read_lines(spark, stored(mixed_rows(spark, sf_dir), mixed_parts()), "mixed").withColumn("path", file_no()))  # decoded once for both
     sample = F.lit(-1).alias("sample_idx")
     flat = exr.pixels(lines).select(F.col("path").alias("file"), *KEYS, sample, "value")
     return flat.union(exr.deep_samples(lines).select(F.col("path").alias("file"), *KEYS, "sample_idx", "value"))

@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from ..functions.geometry import level_count, level_extent
-from ..plans.lineage import cut
+from ..plans.lineage import cut, work_tasks
 from .tables import bound
 
 
@@ -58,7 +58,7 @@ def strips(rows: DataFrame, keys: list[str], height: int, first: int, halve: Hal
     """
     own = rows.select(*keys, F.col("y").cast("int").alias("y"), "samples")
     strip = F.floor(F.col("y") / (1 << levels)).cast("int").alias("_strip")
-    dealt = own.select("*", strip).repartition(*keys, "_strip").sortWithinPartitions(*keys, "_strip", "y")
+    dealt = own.select("*", strip).repartition(work_tasks(rows.sparkSession), *keys, "_strip").sortWithinPartitions(*keys, "_strip", "y")
     made = StructType([*[own.schema[k] for k in keys], *_LEVEL_FIELDS])
     arrow = to_arrow_schema(made)
 

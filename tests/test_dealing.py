@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from prismframe.sources import exr
+from prismframe.operators import pyramid
+from prismframe.sources import datasource, exr
 from prismframe.sources.layout import Channel, Part
 
 
@@ -26,3 +27,21 @@ def test_small_files_are_read_by_many_tasks(spark, folder):
 def test_lines_decoded_where_they_are_read_are_the_same(spark, folder):
     plain, fused = (sorted(df.select("path", "y", "samples").collect()) for df in (exr.lines(exr.read_chunks(spark, folder)), exr.read_lines(spark, folder)))
     assert len(plain) == 64 and plain == fused
+
+
+def test_many_small_ranges_make_few_partitions():
+    files = [(f"f{i}", 40_000) for i in range(2_000)]
+    found = datasource.planned(files, 4_000)
+    assert len(found) <= 2 * datasource.TASKS
+    pieces = [p for r in found for p in r.pieces]
+    assert pieces == [(f, n, a, a + 4_000) for f, n in files for a in range(0, n, 4_000)]
+
+
+def test_few_small_ranges_stay_apart():
+    assert [len(r.pieces) for r in datasource.planned([("f", 40_000)], 4_000)] == [1] * 10
+
+
+def test_pyramids_are_made_by_many_tasks(spark):
+    rows = spark.range(32).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y"), F.array(*[F.lit(1.0).cast("float")] * 4).alias("samples"))
+    made = pyramid.strips(rows, ["k"], 4, 0, lambda up, low, _: (up + low) / 2)
+    assert made.select(F.spark_partition_id()).distinct().count() > 4
