@@ -698,6 +698,27 @@ def test_lm_base_scores_match_brute_force(real_docs, odd_docs, no_docs, monkeypa
     assert lmscore.score(no_docs, held_out(F.col("doc_id"), 5, 1)).count() == 0
 
 
+def test_weights_and_topics_come_from_all_training_documents(real_docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "STEPS", 1)
+    monkeypatch.setattr(lmscore, "START_DOCS", 5)
+    seen, topics = [], lmscore.topic_counts
+    monkeypatch.setattr(lmscore, "refined", lambda net, docs, *more: seen.append(docs.count()))
+    monkeypatch.setattr(lmscore, "topic_counts", lambda docs, told: seen.append(docs.count()) or topics(docs, told))
+    lmscore.fit(real_docs.select("doc_id", "text"))
+    assert seen == [real_docs.where("text IS NOT NULL").count()] * 2
+
+
+def test_each_window_and_id_is_trained_on_once(monkeypatch):
+    texts = [b"one two three four " * 30, b"", b"five"]
+    own = np.arange(lmscore.END_ID + 1)
+    x, _, weight = lmscore.windows_of(texts, own, own % 7, 0)
+    assert weight.sum() == sum(len(ids) for ids in lmscore.ids_of(texts))
+    seen = []
+    monkeypatch.setattr(lmscore.Attention, "gradients", lambda self, x, target, weight: seen.extend(x[:, 0].tolist()) or (0.0, {}))
+    lmscore.Attention(1, 1).train_on_all(np.arange(1000)[:, None], np.zeros((1000, 1)), np.zeros((1000, 1)), 0.1, 0)
+    assert sorted(seen) == list(range(1000))
+
+
 # 8: similarity join
 
 
