@@ -496,7 +496,7 @@ def _image(codec: str, kind: str = "scanlineimage", pixel: str = "FLOAT", channe
 
 
 def _read_back(rows: DataFrame, spec: list[Part]) -> DataFrame:
-    got = exr.pixels(exr.lines(exr.chunks(exr.encode(rows, spec))))
+    got = exr.pixels(exr.lines_of(exr.encode(rows, spec)))
     return got.select(F.col("path").cast("long").alias("vec_id"), "y", "x", "value")
 
 
@@ -535,7 +535,7 @@ def exr_roundtrip_mipmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _image_rows(spark, sf_dir)
     levels = pyramid.mip_pyramid(base.select("path", "y", "samples"), ["path"], _SIDE, _SIDE)
     rows = levels.select("path", F.lit(0).alias("part_no"), "lvl_x", "lvl_y", F.lit("Y").alias("channel"), "y", "samples", F.lit(None).cast("array<int>").alias("counts"))
-    got = exr.pixels(exr.lines(exr.chunks(exr.encode(rows, _image("ZIP", "tiledimage", mode=geometry.MIPMAP)), "tiled_multilevel")))
+    got = exr.pixels(exr.lines_of(exr.encode(rows, _image("ZIP", "tiledimage", mode=geometry.MIPMAP)), "tiled_multilevel"))
     return got.groupBy(F.col("path").cast("long").alias("vec_id"), "lvl_x", "channel").agg((F.max("x") + 1).alias("side"), F.count(F.lit(1)).alias("pixels"))
 
 
@@ -552,7 +552,7 @@ _SAMPLES = f"SELECT CAST(l_orderkey // {DEEP_WIDTH} AS BIGINT) AS file, CAST(l_o
 
 
 def _deep_back(spark: SparkSession, sf_dir: str, part: Part) -> DataFrame:
-    got = exr.deep_samples(exr.lines(exr.chunks(exr.encode(_deep_rows(spark, sf_dir), [part]))))
+    got = exr.deep_samples(exr.lines_of(exr.encode(_deep_rows(spark, sf_dir), [part])))
     return got.select(F.col("path").cast("long").alias("file"), "x", "sample_idx", "value")
 
 

@@ -76,17 +76,18 @@ def _rows(schema: str, make: Callable[[bytes], Iterator[dict]], batch_bytes: int
     """A mapInArrow function that turns (path, content) into rows (dicts) of a schema, in batches of about batch_bytes."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, rows, size = arrow_schema(schema), [], 0
         for batch in batches:
             for i in range(batch.num_rows):
-                path, content, rows, size = batch.column("path")[i].as_py(), batch.column("content")[i].as_py(), [], 0
+                path, content = batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
                 for r in make(content):
                     rows.append({"path": path} | r)
-                    size += 256 + len(r.get("payload") or b"")
+                    size += 1024 + len(r.get("payload") or b"")
                     if size > batch_bytes:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(schema))
+                        yield pa.RecordBatch.from_pylist(rows, schema=told)
                         rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema(schema))
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema=told)
 
     return work
 
@@ -168,17 +169,29 @@ def chunks(found: DataFrame, entry: str = "any", spread: int | None = None) -> D
     entry: refuse files that the reader of this name refuses. spread: deal the chunks to so many tasks.
     """
 
-    def make(content: bytes) -> Iterator[dict]:
-        version, headers, _ = layout.decode_header(content)
-        told = [layout.part_of(version, h)[0] for h in headers]
-        _guard(version, told, entry)
-        texts = [_part_json(p) for p in told]
-        return ({"part": texts[r["part_no"]]} | r for r in layout.walk_chunks(content))
-
-    packed = _first_level(found.mapInArrow(_rows(CHUNKS, make), CHUNKS), entry)
+    packed = _first_level(found.mapInArrow(_rows(CHUNKS, lambda content: _chunks_of(content, entry)), CHUNKS), entry)
     return packed if spread is None else packed.repartition(spread, "path", "part_no", "chunk_idx")
 
 
+def _chunks_of(content: bytes, entry: str) -> Iterator[dict]:
+    version, headers, _ = layout.decode_header(content)
+    told = [layout.part_of(version, h)[0] for h in headers]
+    _guard(version, told, entry)
+    texts = [_part_json(p) for p in told]
+    return ({"part": texts[r["part_no"]]} | r for r in layout.walk_chunks(content))
+
+
+def lines_of(found: DataFrame, entry: str = "any") -> DataFrame:
+    """Rows as lines(chunks(found, entry)) gives them; a file is cut and decoded by one worker, and its chunks are no rows between."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files = ((path.as_py(), content.as_py()) for batch in batches for path, content in zip(batch.column("path"), batch.column("content"), strict=True))
+        rows = ({"path": path} | r for path, content in files for r in _chunks_of(content, entry))
+        return _decoded((r for r in rows if entry != "single" or r["lvl_x"] == r["lvl_y"] == 0), None, Wanted(), FAILFAST)
+
+    return found.mapInArrow(work, LINES)
+
+
 def open_file(path: str):
     """A file of a path or URI for reading in ranges."""
     from pyarrow import fs
@@ -272,7 +285,7 @@ def range_rows(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted = W
                         if row["part_no"] != no:
                             raise InvalidData(f"a chunk of part {row['part_no']} in the table of part {no}; a walk by headers (recover) does not need the table")
                         row = {"path": s["path"], "part": texts[no], "chunk_idx": idx} | row
-                        if not s["walked"]:
+                        if not s["walked"] and mode != FAILFAST:
                             planning.check_places(plan, range_reader(f), s["length"], [row], wanted)
                         rows.append(row)
                     except InvalidData as e:
@@ -280,6 +293,8 @@ def range_rows(batches: Iterator[pa.RecordBatch], entry: str, wanted: Wanted = W
                             raise
                         if mode == PERMISSIVE:
                             rows.append({"path": s["path"], "part": texts[no], "part_no": no, "chunk_idx": idx, "error": f"InvalidData: {e}"})
+                if not s["walked"] and mode == FAILFAST:  # all at once, since any is an error of the job
+                    planning.check_places(plan, range_reader(f), s["length"], rows, wanted)
             yield rows
 
 
@@ -355,14 +370,18 @@ def _lists(values: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), flat, mask=mask)
 
 
-def _line_batch(out: list[tuple], errors: bool) -> pa.RecordBatch:
-    """A batch of LINES from (path, part_no, lvl_x, lvl_y, channel, y, x0, counts, samples, error)."""
-    path, no, lx, ly, channel, y, x0, counts, samples, error = zip(*out, strict=True)
-    starts = [None if c is None else np.cumsum(c) - c for c in counts]
-    columns = [pa.array(v, k) for v, k in ((path, pa.string()), (no, pa.int32()), (lx, pa.int32()), (ly, pa.int32()), (channel, pa.string()), (y, pa.int32()), (x0, pa.int32()))]
-    columns += [_lists(list(counts), pa.int32()), _lists(starts, pa.int32()), _lists(list(samples), pa.float32())]
+def _line_batch(heads: list[tuple], found: list[list[tuple]], errors: bool) -> pa.RecordBatch:
+    """A batch of LINES from (path, part_no, lvl_x, lvl_y, error) of each chunk and its lines (channel, y, x0, counts, samples)."""
+    owner = pa.array(np.repeat(np.arange(len(heads)), [len(f) for f in found]))
+    path, no, lx, ly, error = (pa.array(v, k).take(owner) for v, k in zip(zip(*heads, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()), strict=True))
+    channel, y, x0, counts, samples = zip(*[line for f in found for line in f], strict=True)
+    counted = _lists(list(counts), pa.int32())
+    n, ends = counted.values.to_numpy(), counted.offsets.to_numpy()
+    before = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])  # samples of the batch before each pixel, then of its line
+    starts = pa.ListArray.from_arrays(counted.offsets, pa.array(before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends)), pa.int32()), mask=counted.is_null() if counted.null_count else None)
+    columns = [path, no, lx, ly, *[pa.array(v, k) for v, k in ((channel, pa.string()), (y, pa.int32()), (x0, pa.int32()))], counted, starts, _lists(list(samples), pa.float32())]
     names = _names(LINES)
-    return pa.RecordBatch.from_arrays([*columns, pa.array(error, pa.string())] if errors else columns, names=[*names, "error"] if errors else names)
+    return pa.RecordBatch.from_arrays([*columns, error] if errors else columns, names=[*names, "error"] if errors else names)
 
 
 def cropped(found: tuple, part: Part, box: tuple[int, int, int, int]) -> tuple | None:
@@ -393,9 +412,8 @@ def line_batches(batches: Iterator[pa.RecordBatch], only: list[str] | None = Non
 
 def _decoded(rows: Iterator[dict], only: list[str] | None, wanted: Wanted, mode: str, batch_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     known, errors = _Parts(), mode == PERMISSIVE
-    out, size = [], 0
+    heads, out, size = [], [], 0
     for r in rows:
-        own = (r["path"], r.get("part_no"), r.get("lvl_x"), r.get("lvl_y"))
         error = r.get("error")
         if error is None:
             part = known[r["part"]]
@@ -407,20 +425,24 @@ def _decoded(rows: Iterator[dict], only: list[str] | None, wanted: Wanted, mode:
                 error = f"InvalidData: {e}"
         if error is not None:
             if errors:
-                out.append((*own, None, None, None, None, None, error))
+                heads.append((r["path"], r.get("part_no"), r.get("lvl_x"), r.get("lvl_y"), error))
+                out.append([(None, None, None, None, None)])
             continue
         box = None if wanted.window is None and wanted.y is None else wanted.box(part, r["lvl_x"], r["lvl_y"])
-        for line in found:
-            if only is None or line[0] in only:
-                line = line if box is None else cropped(line, part, box)
-                if line is not None:
-                    out.append((*own, *line, None))
-                    size += 100 + 4 * len(line[4]) + (0 if line[3] is None else 8 * len(line[3]))
+        if only is not None:
+            found = [line for line in found if line[0] in only]
+        if box is not None:
+            found = [line for line in (cropped(line, part, box) for line in found) if line is not None]
+        if not found:
+            continue
+        heads.append((r["path"], r["part_no"], r["lvl_x"], r["lvl_y"], None))
+        out.append(found)
+        size += sum(300 + 4 * len(line[4]) + (0 if line[3] is None else 16 * len(line[3])) for line in found)
         if size > batch_bytes:
-            yield _line_batch(out, errors)
-            out, size = [], 0
+            yield _line_batch(heads, out, errors)
+            heads, out, size = [], [], 0
     if out:
-        yield _line_batch(out, errors)
+        yield _line_batch(heads, out, errors)
 
 
 def lines(packed: DataFrame, only: list[str] | None = None, wanted: Wanted = Wanted(), mode: str = FAILFAST) -> DataFrame:  # noqa: B008  not changed
@@ -614,16 +636,24 @@ def shape_faults(rows: DataFrame, spec: list[Part]) -> DataFrame:
 def encode(rows: DataFrame, spec: list[Part]) -> DataFrame:
     """Rows (path, content): small files (under 2 GB, each made in one task) from rows as encode_chunks() takes them."""
     text, done = parts_json(spec), encode_chunks(rows, spec)
-    whole = done.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part_no", "at", "body", "most"))).alias("chunks"))
+    # files by number of tasks: by their bytes, which tell nothing of the work, few tasks would get all
+    whole = done.repartition(work_tasks(rows.sparkSession), "path").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("part_no", "at", "body", "most"))).alias("chunks"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told = parts_of_json(text)
+        told, schema = parts_of_json(text), arrow_schema("path string, content binary")
+        paths, contents, size = [], [], 0
         for batch in batches:
-            for r in batch.to_pylist():
-                found = r["chunks"]
+            for path, chunks in zip(batch.column("path"), batch.column("chunks"), strict=True):  # one by one: the chunks of all files of a batch are many objects
+                found = chunks.as_py()
                 most = [max((c["most"] for c in found if c["part_no"] == no), default=0) for no in range(len(told))]
-                content = layout.encode_file(told, [(c["part_no"], c["body"]) for c in found], most)
-                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "content": [content]}, schema=arrow_schema("path string, content binary"))
+                paths.append(path.as_py())
+                contents.append(layout.encode_file(told, [(c["part_no"], c["body"]) for c in found], most))
+                size += 256 + len(contents[-1])
+                if size > PACKED:
+                    yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema=schema)
+                    paths, contents, size = [], [], 0
+        if paths:
+            yield pa.RecordBatch.from_pydict({"path": paths, "content": contents}, schema=schema)
 
     return whole.mapInArrow(join, "path string, content binary")
 

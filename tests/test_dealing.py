@@ -1,8 +1,10 @@
 """Small files make work that their bytes do not tell, so they are dealt to tasks by number."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from prismframe.functions import codecs
 from prismframe.operators import pyramid
 from prismframe.sources import datasource, exr
 from prismframe.sources.layout import Channel, Part
@@ -45,3 +47,23 @@ def test_pyramids_are_made_by_many_tasks(spark):
     rows = spark.range(32).select(F.col("id").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("y"), F.array(*[F.lit(1.0).cast("float")] * 4).alias("samples"))
     made = pyramid.strips(rows, ["k"], 4, 0, lambda up, low, _: (up + low) / 2)
     assert made.select(F.spark_partition_id()).distinct().count() > 4
+
+
+def test_small_files_are_put_together_and_cut_by_many_tasks(spark):
+    samples = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.col("id") + i).cast("float"))
+    rows = spark.range(64).select(
+        F.col("id").cast("string").alias("path"), F.lit(0).alias("part_no"), F.lit(0).alias("lvl_x"), F.lit(0).alias("lvl_y"), F.lit("Y").alias("channel"), F.lit(0).alias("y"), samples.alias("samples"), F.lit(None).cast("array<int>").alias("counts"),
+    )
+    made = exr.encode(rows, [Part(4, 1, [Channel("Y", "FLOAT")], codec="NONE")])
+    assert made.select(F.spark_partition_id()).distinct().count() > 4
+    plain, fused = (sorted(df.select("path", "y", "samples").collect()) for df in (exr.lines(exr.chunks(made)), exr.lines_of(made)))
+    assert len(plain) == 64 and plain == fused
+
+
+def test_values_of_bytes_are_made_one_at_a_time():
+    x = pa.array([b"abc", None, b"", b"aab" * 50], pa.binary())[0:]
+    seen = []
+    got = codecs.mapped(lambda v: seen.append(v) or codecs.predict(v), x)
+    assert got.to_pylist() == [codecs.predict(b"abc"), None, b"", codecs.predict(b"aab" * 50)] and len(seen) == 3
+    assert codecs.mapped(codecs.unpredict, got[1:]).to_pylist() == [None, b"", b"aab" * 50]
+    assert codecs.mapped(codecs.predict, pa.array([], pa.binary())).to_pylist() == []
