@@ -719,6 +719,38 @@ def test_each_window_and_id_is_trained_on_once(monkeypatch):
     assert sorted(seen) == list(range(1000))
 
 
+def test_gradients_of_groups_are_those_of_all_windows(monkeypatch):
+    r = np.random.default_rng(3)
+    net = lmscore.Attention(300, 6)
+    net.w = {k: v.astype(np.float64) * 2 for k, v in net.w.items()}
+    x, y, weight = r.integers(0, 300, (11, 9)), r.integers(0, 6, (11, 9)), (r.random((11, 9)) < 0.4).astype(float)
+    weight[[0, 4, 5]] = 0
+    loss, grads = net.gradients(x, y, weight)
+    monkeypatch.setattr(lmscore, "GROUP", 2)  # one group has no position that counts
+    again, some = net.gradients(x, y, weight)
+    assert math.isclose(loss, again) and all(np.allclose(grads[k], some[k], atol=1e-12) for k in net.w) and set(some) == set(net.w)
+    large = lmscore.Attention(300, 6)  # so large that exponents are kept in range
+    large.w = {k: v * (12 if k in "eqk" else 1) for k, v in net.w.items()}
+    loss, grads = large.gradients(x, y, weight)
+    own = large.log_classes(large.states(x, np.tile(np.arange(9), (11, 1)), large.tables()), y.ravel())
+    assert large.tables()["most"] > 80 and math.isclose(loss, -(weight.ravel() * own).sum() / weight.sum())
+    assert all(np.isfinite(g).all() for g in grads.values())
+
+
+def test_words_and_topics_are_counted_in_one_pass(real_docs, odd_docs, monkeypatch):
+    monkeypatch.setattr(lmscore, "CACHED_WORDS", 50)  # tables of words are begun anew often
+    for docs in (real_docs, odd_docs):
+        docs = docs.where("text IS NOT NULL").select("text")
+        texts = [x["text"].encode() for x in docs.collect()]
+        topics = lmscore.Topics.fit(lmscore.ids_of(texts), k=3)
+        by_topic, counts = lmscore.topic_counts(docs, topics)
+        assert Counter({bytes(x["word"]): x["n"] for x in counts.collect()}) == Counter(w for t in texts for w in t.lower().split())
+        want = np.zeros_like(by_topic)
+        for ids in lmscore.ids_of(texts):
+            np.add.at(want, (ids, topics.of(ids, np.array([len(ids)]))[0]), 1)
+        assert np.array_equal(by_topic, want)
+
+
 # 8: similarity join
 
 
