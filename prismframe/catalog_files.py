@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geometry
 from .operators import pyramid
-from .plans.lineage import cut, new_folder
+from .plans.lineage import new_folder
 from .registry import query
-from .sources import datasource, exr
+from .sources import alike, datasource, exr
 from .sources.layout import Channel, Part
 from .streaming.frames import stream_lines
 
@@ -492,16 +494,45 @@ def mixed_parts() -> list[Part]:
     ]
 
 
-def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixed_rows(spark: SparkSession, sf_dir: str, files: int) -> DataFrame:
+    """Rows (file, at, price, samples) of three kinds: prices, with their pixel in at; vectors, with -2 - row; and -1 for each file."""
     items, vectors = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "embeddings")
-    files = max(_files(vectors, "vec_id", HIGH), _files(items, "l_orderkey", DEEP_PIXELS))
-    flat = flat_rows(spark, sf_dir, files)
-    small = crop(flat, 24, 20)
-    out = as_part(flat).union(as_part(flat, 1)).union(as_part(_pyramid(small, MIP, 24, 20), 2)).union(as_part(_pyramid(small, RIP, 24, 20), 3))
-    pixels = cut(deep_pixels(spark, sf_dir, files))  # grouped once for four parts
+    price, no_price = F.col("l_extendedprice").cast("float"), F.lit(0.0).cast("float")
+    none = F.array().cast("array<float>")  # no null: Spark's writer of Arrow lists goes over a run of nulls again with each row
+    of = lambda key, per: F.expr(f"{key} DIV {per}")
+    rest = lambda key, per: F.expr(f"CAST({key} % {per} AS INT)")
+    return (
+        spark.range(files).select(F.col("id").alias("file"), F.lit(-1).alias("at"), no_price.alias("price"), none.alias("samples"))
+        .union(vectors.where(F.col("embedding").isNotNull() & F.col("vec_id").between(0, files * HIGH - 1)).select(of("vec_id", HIGH), -2 - rest("vec_id", HIGH), no_price, F.col("embedding").cast("array<float>")))
+        .union(items.where(price.isNotNull() & F.col("l_orderkey").between(0, files * DEEP_PIXELS - 1)).select(of("l_orderkey", DEEP_PIXELS), rest("l_orderkey", DEEP_PIXELS), price, none))
+    )
+
+
+def mixed_images(table: pa.Table) -> tuple[list[int], alike.Images]:
+    """Numbers and images, by mixed_parts(), of the files of rows as mixed_rows() gives them."""
+    numbers, of = np.unique(table.column("file").to_numpy(), return_inverse=True)
+    n, at = len(numbers), table.column("at").to_numpy()
+    flat, some = np.zeros((n * HIGH, WIDE), np.float32), at < -1
+    place = (of * HIGH - 2 - at)[some]
+    if len(np.unique(place)) < len(place):
+        raise exr.InvalidData("two rows of a channel have the same y")
+    for i, v in zip(place.tolist(), table.column("samples").filter(pa.array(some)), strict=True):
+        own = v.values.fill_null(0).to_numpy()[:WIDE]
+        flat[i, : len(own)] = own
+    flat = flat.reshape(n, HIGH, WIDE)
+    own = at >= 0
+    price, pixel = table.column("price").to_numpy()[own], (of * DEEP_PIXELS + at)[own]
+    values = price[np.lexsort((price, pixel))]
+    counts = np.bincount(pixel, minlength=n * DEEP_PIXELS)
+    counts, starts = (a.reshape(n, DEEP_HIGH, DEEP_WIDE) for a in (counts, counts.cumsum() - counts))
+    small = flat[:, :20, :24]
+    images = {(no, 0, 0): alike.Flat([flat]) for no in (0, 1)}
+    images |= {(2, k, k): alike.Flat([p]) for k, p in enumerate(pyramid.mip_planes(small))} | {(3, *k): alike.Flat([p]) for k, p in pyramid.rip_planes(small).items()}
     for no, mode in ((4, 0), (5, 0), (6, MIP), (7, RIP)):
-        out = out.union(deep_rows(spark, sf_dir, _mode_levels(mode), no, pixels))
-    return out
+        for lx, ly in _mode_levels(mode):
+            w, h = geometry.level_extent(DEEP_WIDE, lx), geometry.level_extent(DEEP_HIGH, ly)
+            images[no, lx, ly] = alike.Deep(*(a[:, :: 1 << ly, :: 1 << lx][:, :h, :w] for a in (counts, starts)), [-values, values])
+    return numbers.tolist(), images
 
 
 @query(
@@ -512,10 +543,11 @@ def mixed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def exr_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All eight kinds of part in each file; flat samples have sample_idx -1."""
-    lines = cut(exr.read_lines(spark, stored(mixed_rows(spark, sf_dir), mixed_parts()), "mixed").withColumn("path", file_no()))  # decoded once for both
-    sample = F.lit(-1).alias("sample_idx")
-    flat = exr.pixels(lines).select(F.col("path").alias("file"), *KEYS, sample, "value")
-    return flat.union(exr.deep_samples(lines).select(F.col("path").alias("file"), *KEYS, "sample_idx", "value"))
+    files = max(_files(_table(spark, sf_dir, "embeddings"), "vec_id", HIGH), _files(_table(spark, sf_dir, "lineitem"), "l_orderkey", DEEP_PIXELS))
+    folder = new_folder(spark, "files")
+    alike.write(mixed_rows(spark, sf_dir, files), mixed_parts(), folder, mixed_images, files).agg(F.sum("bytes")).collect()
+    blocks = alike.read(spark, folder, "mixed", files).withColumn("path", file_no())
+    return alike.samples(blocks).withColumnRenamed("path", "file")
 
 
 @query(f"WITH n AS (SELECT l_orderkey // {DEEP_PIXELS} AS file, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT f AS file, name, CAST(coalesce(max(n.n), 0) AS BIGINT) AS most FROM (SELECT unnest(range(0, {_DEEP_FILES})) AS f) LEFT JOIN n ON file = f CROSS JOIN (VALUES ('maxSamplesPerPixel')) AS t(name) GROUP BY f, name")

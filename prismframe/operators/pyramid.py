@@ -144,6 +144,39 @@ def _halved(width: int) -> Column:
     return bound(F.col("samples"), halves)  # the levels before are worked out once, though Catalyst merges the projections
 
 
+def _beside(extent: int, after: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places 2 i and 2 i + 1 of a level for each i of the next one, the latter clamped to the level."""
+    first = 2 * np.arange(after)
+    return first, np.minimum(first + 1, extent - 1)
+
+
+def mip_planes(planes: np.ndarray) -> list[np.ndarray]:
+    """The levels of mip_pyramid() of many planes (n, height, width) float32 at once."""
+    _, height, width = planes.shape
+    out = [planes]
+    for lvl in range(1, level_count(max(width, height))):
+        above, (x, right), (y, low) = out[-1], _beside(level_extent(width, lvl - 1), level_extent(width, lvl)), _beside(level_extent(height, lvl - 1), level_extent(height, lvl))
+        up, down = above[:, y], above[:, low]
+        out.append(np.float32(0.25) * (((up[:, :, x] + up[:, :, right]) + down[:, :, x]) + down[:, :, right]))
+    return out
+
+
+def rip_planes(planes: np.ndarray) -> dict[tuple[int, int], np.ndarray]:
+    """The cells (lvl_x, lvl_y) of rip_pyramid() of many planes (n, height, width) float32 at once."""
+    _, height, width = planes.shape
+    out = {}
+    for lx in range(level_count(width)):
+        if lx:
+            x, right = _beside(level_extent(width, lx - 1), level_extent(width, lx))
+            planes = np.float32(0.5) * (planes[:, :, x] + planes[:, :, right])
+        out[lx, 0] = planes
+        for ly in range(1, level_count(height)):
+            y, low = _beside(level_extent(height, ly - 1), level_extent(height, ly))
+            above = out[lx, ly - 1]
+            out[lx, ly] = np.float32(0.5) * (above[:, y] + above[:, low])
+    return out
+
+
 def as_pixels(rows: DataFrame) -> DataFrame:
     """Rows of samples as (..., y, x, value)."""
     rest = [c for c in rows.columns if c != "samples"]
