@@ -516,9 +516,13 @@ def mixed_images(table: pa.Table) -> tuple[list[int], alike.Images]:
     place = (of * HIGH - 2 - at)[some]
     if len(np.unique(place)) < len(place):
         raise exr.InvalidData("two rows of a channel have the same y")
-    for i, v in zip(place.tolist(), table.column("samples").filter(pa.array(some)), strict=True):
-        own = v.values.fill_null(0).to_numpy()[:WIDE]
-        flat[i, : len(own)] = own
+    vectors = table.column("samples").combine_chunks().filter(pa.array(some))
+    ends, values = vectors.offsets.to_numpy(), vectors.values.fill_null(0).to_numpy()
+    if np.all(np.diff(ends) == WIDE):
+        flat[place] = values[ends[0] : ends[-1]].reshape(-1, WIDE)
+    else:
+        for i, a, b in zip(place.tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            flat[i, : min(b - a, WIDE)] = values[a : min(b, a + WIDE)]
     flat = flat.reshape(n, HIGH, WIDE)
     own = at >= 0
     price, pixel = table.column("price").to_numpy()[own], (of * DEEP_PIXELS + at)[own]

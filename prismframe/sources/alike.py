@@ -62,18 +62,22 @@ Images = dict[tuple[int, int, int], Flat | Deep]
 
 
 class _Packed(dict):
-    """Packed forms of bytes, which many files share (empty ones, say), each made once."""
+    """Packed forms of bytes, which many chunks share (empty ones, say), each made once. Long ones are not kept."""
+
+    LONG = 1 << 14
 
     def __init__(self, codec: str):
         super().__init__()
         self.codec = codec
 
     def __missing__(self, raw: bytes) -> bytes:
-        out = self[raw] = codecs.pack(raw, self.codec)
+        out = codecs.pack(raw, self.codec)
+        if len(raw) <= self.LONG:
+            self[raw] = out
         return out
 
 
-def _flat_bodies(part: Part, place: tuple[int, int, int, int], image: Flat) -> list[bytes]:
+def _flat_bodies(part: Part, place: tuple[int, int, int, int], image: Flat, known: _Packed) -> list[bytes]:
     x, y, w, h = part.box(*place)
     head = struct.pack("<4i", *place) if part.tiled else struct.pack("<i", part.y0 + y)
     n = len(image.planes[0])
@@ -82,11 +86,10 @@ def _flat_bodies(part: Part, place: tuple[int, int, int, int], image: Flat) -> l
         return [layout.encode_chunk(part, *place, own)[0] for own in lines]
     rows = [np.frombuffer(codecs.to_native(np.ascontiguousarray(p[:, y : y + h, x : x + w]), c.kind), np.uint8).reshape(n, h, -1) for c, p in zip(part.channels, image.planes, strict=True)]
     raw = (rows[0] if len(rows) == 1 else np.concatenate(rows, axis=2)).reshape(n, -1)
-    known = _Packed(part.codec)
     return [head + struct.pack("<i", len(body)) + body for body in (known[raw[i].tobytes()] for i in range(n))]
 
 
-def _deep_bodies(part: Part, place: tuple[int, int, int, int], image: Deep) -> list[bytes]:
+def _deep_bodies(part: Part, place: tuple[int, int, int, int], image: Deep, known: _Packed) -> list[bytes]:
     x, y, w, h = part.box(*place)
     head = struct.pack("<4i", *place) if part.tiled else struct.pack("<i", part.y0 + y)
     counts, starts = (a[:, y : y + h, x : x + w].astype(np.int64) for a in (image.counts, image.starts))
@@ -99,7 +102,7 @@ def _deep_bodies(part: Part, place: tuple[int, int, int, int], image: Deep) -> l
     ends = before[:: w * h].tolist()
     tables, values = sums.reshape(n, -1).astype("<i4"), [codecs.to_native(v[at], c.kind) for c, v in zip(part.channels, image.values, strict=True)]
     width = [codecs.NATIVE[c.kind] for c in part.channels]
-    out, known = [], _Packed(part.codec)
+    out = []
     for i in range(n):
         raw = b"".join(v[ends[i] * k : ends[i + 1] * k] for v, k in zip(values, width, strict=True))
         table, packed = known[tables[i].tobytes()], known[raw]
@@ -119,14 +122,14 @@ def files_of(spec: list[Part], images: Images) -> Iterator[Iterator[bytes]]:
     n = len(next(iter(images.values())).planes[0]) if isinstance(next(iter(images.values())), Flat) else len(next(iter(images.values())).counts)
     spools = [tempfile.SpooledTemporaryFile(max_size=HELD) for _ in range(n)]  # noqa: SIM115  closed below
     numbers, sizes = [], []
-    tops = np.zeros((n, len(spec)), np.int64)
+    tops, packed = np.zeros((n, len(spec)), np.int64), {p.codec: _Packed(p.codec) for p in spec}
     try:
         for no, part in enumerate(spec):
             if part.deep:
                 tops[:, no] = np.max([images[no, *level].counts.max(axis=(1, 2)) for level in part.grids], axis=0)
             tag, base = (struct.pack("<i", no) if many else b""), sum(p.count for p in spec[:no])
             for number, place in _laid_places(part):
-                bodies = (_deep_bodies if part.deep else _flat_bodies)(part, place, images[no, *place[2:]])
+                bodies = (_deep_bodies if part.deep else _flat_bodies)(part, place, images[no, *place[2:]], packed[part.codec])
                 for spool, body in zip(spools, bodies, strict=True):
                     spool.write(tag + body)
                 numbers.append(base + number)
@@ -212,35 +215,113 @@ BLOCKS = "path string, part_no int, lvl_x int, lvl_y int, channel string, y0 int
 DECODED = 8 << 20
 
 
+@dataclass(eq=False)
+class Shape:
+    """Chunks of one size of a part. plain: they are decoded together, many at a time."""
+
+    part: Part
+    w: int
+    h: int
+
+    def __post_init__(self) -> None:
+        self.width = [codecs.NATIVE[c.kind] for c in self.part.channels]
+        self.size = self.w * self.h * sum(self.width)
+        self.plain = self.part.deep or self.part.codec in ("NONE", "RLE", "ZIPS", "ZIP") and all((c.xs, c.ys) == (1, 1) for c in self.part.channels)
+
+    def takes(self, table_size: int) -> bool:
+        return self.plain and table_size <= 4 * self.w * self.h  # a larger table is that of a whole tile
+
+
+@lru_cache(maxsize=1024)
+def _part(text: str) -> Part:
+    return exr._part(text)
+
+
+@lru_cache(maxsize=65536)
+def _shape(text: str, w: int, h: int) -> Shape:
+    return Shape(_part(text), w, h)
+
+
+#: Of a plain chunk: its shape, path, part_no, lvl_x, lvl_y, x, y, table_size, unpacked_size and payload.
+Chunk = tuple[Shape, str, int, int, int, int, int, int, int, bytes]
+
+
+class Known:
+    """What files with the same header bytes share: the plan, its parts as JSON, and how each chunk begins if the tables are in order."""
+
+    def __init__(self, head: bytes, plan: layout.Plan):
+        self.head, self.plan, self.texts = head, plan, [exr._part_json(p) for p in plan.parts]
+        self.table, self.chunks = struct.Struct(f"<{sum(plan.counts)}Q"), []
+        for no, part in enumerate(plan.parts):
+            tag = struct.pack("<i", no) if plan.many else b""
+            for tx, ty, lx, ly in part.chunks():
+                x, y, w, h = part.box(tx, ty, lx, ly)
+                begin = tag + (struct.pack("<4i", tx, ty, lx, ly) if part.tiled else struct.pack("<i", part.y0 + y))
+                self.chunks.append((begin, _shape(self.texts[no], w, h), no, lx, ly, x, y))
+        self.plain = len(self.chunks) == sum(plan.counts) and all(c[1].plain for c in self.chunks)
+
+    def cut(self, path: str, data: bytes) -> list[Chunk] | None:
+        """The chunks of a file of plain ones whose tables are in order; None of any other, and of any damage."""
+        if not self.plain:
+            return None
+        offsets, n, out = self.table.unpack_from(data, self.plan.at), len(data), []
+        if min(offsets) < self.plan.body or len(set(offsets)) < len(offsets):
+            return None
+        for (begin, shape, no, lx, ly, x, y), at in zip(self.chunks, offsets, strict=True):
+            if not data.startswith(begin, at):
+                return None
+            at += len(begin)
+            table_size = unpacked = 0
+            if shape.part.deep:
+                if at + 24 > n:
+                    return None
+                table_size, size, unpacked = _THREE.unpack_from(data, at)
+                at, size = at + 24, table_size + size
+            else:
+                if at + 4 > n:
+                    return None
+                (size,) = _ONE.unpack_from(data, at)
+                at += 4
+            if size < 0 or at + size > n or not shape.takes(table_size):
+                return None
+            out.append((shape, path, no, lx, ly, x, y, table_size, unpacked, data[at : at + size]))
+        return out
+
+
+_ONE, _THREE = struct.Struct("<i"), struct.Struct("<3Q")
+
+
 class Heads:
-    """Plans of files whose headers are the same bytes, each made once; texts: its parts as JSON."""
+    """What is known of files by their header bytes, each made once."""
 
     MOST = 64
 
     def __init__(self) -> None:
-        self.known: list[tuple[bytes, layout.Plan, list[str]]] = []
+        self.known: list[Known] = []
 
-    def plan(self, data: bytes) -> tuple[layout.Plan, list[str]]:
-        for head, plan, texts in self.known:
-            if data.startswith(head) and plan.body <= len(data) and all(p.width * p.height <= 4 * len(data) * 65536 for p in plan.parts):
-                return plan, texts
+    def of(self, data: bytes) -> Known:
+        for k in self.known:
+            if data.startswith(k.head) and k.plan.body <= len(data) and all(p.width * p.height <= 4 * len(data) * 65536 for p in k.plan.parts):
+                return k
         plan = layout.plan_of(data, len(data))
-        texts = [exr._part_json(p) for p in plan.parts]
-        self.known = [(data[: plan.at], plan, texts), *self.known[: self.MOST - 1]]
-        return plan, texts
+        self.known = [Known(data[: plan.at], plan), *self.known[: self.MOST - 1]]
+        return self.known[0]
 
 
-def file_chunks(path: str, data: bytes, entry: str, heads: Heads) -> list[dict]:
-    """The chunks of a whole file as exr.range_rows() gives them."""
-    plan, texts = heads.plan(data)
+def file_chunks(path: str, data: bytes, entry: str, heads: Heads) -> list[Chunk] | list[dict]:
+    """The chunks of a whole file; as exr.range_rows() gives them where they are not plain, or do not lie as its headers tell."""
+    known = heads.of(data)
+    plan = known.plan
     exr._guard(plan.version, plan.parts, entry)
+    if found := known.cut(path, data):
+        return found
     read = lambda at, n: data[at : at + n]
     index, rows = planning.index_of(plan, read, len(data)), []
     for no, number, at in zip(index.part.tolist(), index.number.tolist(), index.start.tolist(), strict=True):
         row, _ = plan.chunk(data, at)
         if row["part_no"] != no:
             raise InvalidData(f"a chunk of part {row['part_no']} in the table of part {no}; a walk by headers (recover) does not need the table")
-        row.update(path=path, part=texts[no], chunk_idx=number)
+        row.update(path=path, part=known.texts[no], chunk_idx=number)
         rows.append(row)
     if not index.walked:
         planning.check_places(plan, read, len(data), rows, Wanted())
@@ -270,81 +351,58 @@ def _none(n: int) -> pa.Array:
     return pa.nulls(n, pa.list_(pa.int32()))
 
 
-def _flat_blocks(part: Part, rows: list[dict], w: int, h: int) -> tuple[pa.Array, pa.Array, pa.Array]:
+def _flat_blocks(shape: Shape, found: list[Chunk]) -> tuple[pa.Array, pa.Array, pa.Array]:
     """samples, pixels and nth of chunks of one shape, a list for each chunk and channel."""
-    width = [codecs.NATIVE[c.kind] for c in part.channels]
-    size, known = w * h * sum(width), _Unpacked(part.codec)
-    raw = np.frombuffer(b"".join(known[r["payload"], size] for r in rows), np.uint8).reshape(len(rows), h, -1)
-    ends = np.cumsum([0, *(k * w for k in width)])
-    planes = [codecs.from_native(raw[:, :, a:b].tobytes(), c.kind).reshape(len(rows), -1) for c, a, b in zip(part.channels, ends[:-1], ends[1:], strict=True)]
-    n = len(rows) * len(width)
-    return _list(np.stack(planes, axis=1).ravel(), np.full(n, w * h), pa.float32()), _none(n), _none(n)
+    known, n = _Unpacked(shape.part.codec), len(found) * len(shape.width)
+    raw = b"".join([known[c[-1], shape.size] for c in found])
+    if n == len(found):
+        values = codecs.from_native(raw, shape.part.channels[0].kind)
+    else:
+        rows, ends = np.frombuffer(raw, np.uint8).reshape(len(found), shape.h, -1), np.cumsum([0, *(k * shape.w for k in shape.width)])
+        values = np.stack([codecs.from_native(rows[:, :, a:b].tobytes(), c.kind).reshape(len(found), -1) for c, a, b in zip(shape.part.channels, ends[:-1], ends[1:], strict=True)], axis=1).ravel()
+    return _list(values, np.full(n, shape.w * shape.h), pa.float32()), _none(n), _none(n)
 
 
-def _deep_blocks(part: Part, rows: list[dict], w: int, h: int) -> tuple[pa.Array, pa.Array, pa.Array]:
-    many, known = len(part.channels), _Unpacked(part.codec)
-    tables = np.frombuffer(b"".join(known[r["payload"][: r["table_size"]], 4 * w * h] for r in rows), "<i4").reshape(len(rows), h, w).astype(np.int64)
+def _deep_blocks(shape: Shape, found: list[Chunk]) -> tuple[pa.Array, pa.Array, pa.Array]:
+    part, w, h, width = shape.part, shape.w, shape.h, shape.width
+    many, known = len(width), _Unpacked(part.codec)
+    tables = np.frombuffer(b"".join([known[payload[:n], 4 * w * h] for *_, n, _, payload in found]), "<i4").reshape(len(found), h, w).astype(np.int64)
     counts = np.diff(tables, axis=2, prepend=0)
     if counts.min() < 0:
         raise InvalidData("cumulative counts that fall")
-    totals, width = tables[:, :, -1].sum(axis=1), [codecs.NATIVE[c.kind] for c in part.channels]
-    told = (totals * sum(width)).tolist()
-    for r, size in zip(rows, told, strict=True):
-        if r["unpacked_size"] != size:
-            raise InvalidData(f"the samples take {size} bytes, not the {r['unpacked_size']} that are told")
-    raw = [known[r["payload"][r["table_size"] :], size] if size else b"" for r, size in zip(rows, told, strict=True)]
+    totals = tables[:, :, -1].sum(axis=1)
+    told, raw = (totals * sum(width)).tolist(), []
+    for (*_, n, unpacked, payload), size in zip(found, told, strict=True):
+        if unpacked != size:
+            raise InvalidData(f"the samples take {size} bytes, not the {unpacked} that are told")
+        raw.append(known[payload[n:], size] if size else b"")
     if len(set(c.kind for c in part.channels)) == 1:
         values = codecs.from_native(b"".join(raw), part.channels[0].kind)
     else:
         cuts = [np.cumsum([0, *(n * k for k in width)]).tolist() for n in totals.tolist()]
         values = np.concatenate([codecs.from_native(data[a:b], c.kind) for data, at in zip(raw, cuts, strict=True) for c, a, b in zip(part.channels, at[:-1], at[1:], strict=True)])
-    own = np.repeat(counts.reshape(len(rows), -1), many, axis=0)  # of each chunk and channel
+    own = np.repeat(counts.reshape(len(found), -1), many, axis=0)  # of each chunk and channel
     sizes, flat = own.sum(axis=1), own.ravel()
     pixels = np.repeat(np.tile(np.arange(w * h, dtype=np.int32), len(own)), flat)
     nth = np.arange(len(values)) - np.repeat(np.cumsum(flat) - flat, flat)
     return _list(values, sizes, pa.float32()), _list(pixels, sizes, pa.int32()), _list(nth.astype(np.int32), sizes, pa.int32())
 
 
-def _plain(part: Part, r: dict, w: int, h: int) -> bool:
-    """Whether a chunk is decoded with others of its shape."""
-    if part.deep:
-        return r["table_size"] <= 4 * w * h
-    return part.codec in ("NONE", "RLE", "ZIPS", "ZIP") and all((c.xs, c.ys) == (1, 1) for c in part.channels)
-
-
-@lru_cache(maxsize=1024)
-def _part(text: str) -> Part:
-    return exr._part(text)
+def _columns(names: list[str], places: list[tuple], w: int, lists: tuple[pa.Array, pa.Array, pa.Array]) -> list[pa.Array]:
+    """Columns of BLOCKS of chunks (path, part_no, lvl_x, lvl_y, x, y) with these channels."""
+    path, *keys = zip(*places, strict=True)
+    no, lx, ly, x, y = (pa.array(np.repeat(np.array(k, np.int32), len(names))) for k in keys)
+    rows = len(places) * len(names)
+    paths = pa.array(path, pa.string())
+    return [paths if len(names) == 1 else paths.take(pa.array(np.repeat(np.arange(len(path)), len(names)))), no, lx, ly, pa.array(names * len(places), pa.string()), y, x, pa.array(np.full(rows, w, np.int32)), *lists]
 
 
-@lru_cache(maxsize=65536)
-def _box(text: str, tx: int, ty: int, lx: int, ly: int) -> tuple[int, int, int, int]:
-    return _part(text).box(tx, ty, lx, ly)
-
-
-def _batch(rows: list[dict]) -> pa.RecordBatch:
-    """A batch of BLOCKS of chunks."""
-    alike: dict[tuple, list[tuple[dict, int, int]]] = {}
-    single = []
-    for r in rows:
-        x, y, w, h = _box(r["part"], r["tx"], r["ty"], r["lvl_x"], r["lvl_y"])
-        if _plain(_part(r["part"]), r, w, h):
-            alike.setdefault((r["part"], w, h), []).append((r, x, y))
-        else:
-            single.append(r)
-    columns: list[list[pa.Array]] = [[] for _ in exr._names(BLOCKS)]
-    kinds = list(exr.arrow_schema(BLOCKS).types)
-
-    def add(heads: list[tuple], lists: tuple[pa.Array, pa.Array, pa.Array]) -> None:
-        for out, values, kind in zip(columns, zip(*heads, strict=True), kinds, strict=False):
-            out.append(pa.array(values, kind))
-        for out, values in zip(columns[-3:], lists, strict=True):
-            out.append(values)
-
-    for (text, w, h), found in alike.items():
-        part = _part(text)
-        lists = (_deep_blocks if part.deep else _flat_blocks)(part, [r for r, _, _ in found], w, h)
-        add([(r["path"], r["part_no"], r["lvl_x"], r["lvl_y"], c.name, y, x, w) for r, x, y in found for c in part.channels], lists)
+def _batch(held: dict[Shape, list[Chunk]], single: list[dict]) -> pa.RecordBatch:
+    """A batch of BLOCKS of chunks by shape, and of single ones."""
+    out = []
+    for shape, found in held.items():
+        lists = (_deep_blocks if shape.part.deep else _flat_blocks)(shape, found)
+        out.append(_columns([c.name for c in shape.part.channels], [c[1:7] for c in found], shape.w, lists))
     for r in single:
         for channel, y, x, counts, samples in layout.decode_chunk(_part(r["part"]), r):
             w, n = len(samples) if counts is None else len(counts), np.array([len(samples)])
@@ -352,24 +410,30 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
             if counts is not None:
                 pixels = _list(np.repeat(np.arange(w, dtype=np.int32), counts), n, pa.int32())
                 nth = _list((np.arange(len(samples)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32), n, pa.int32())
-            add([(r["path"], r["part_no"], r["lvl_x"], r["lvl_y"], channel, y, x, max(w, 1))], (_list(samples, n, pa.float32()), pixels, nth))
-    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], names=exr._names(BLOCKS))
-
-
-def decoded(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
-    """Batches of BLOCKS of about DECODED bytes of samples from the rows of chunks."""
-    held, size = [], 0
-    for r in rows:
-        part = _part(r["part"])
-        _, _, w, h = _box(r["part"], r["tx"], r["ty"], r["lvl_x"], r["lvl_y"])
-        own = 256 + (max(r["unpacked_size"], len(r["payload"])) if part.deep else w * h * sum(codecs.NATIVE[c.kind] for c in part.channels))
-        if held and size + own > DECODED:
-            yield _batch(held)
-            held, size = [], 0
-        held.append(r)
+            out.append(_columns([channel], [(r["path"], r["part_no"], r["lvl_x"], r["lvl_y"], x, y)], max(w, 1), (_list(samples, n, pa.float32()), pixels, nth)))
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*out, strict=True)], names=exr._names(BLOCKS))
+
+
+def decoded(chunks: Iterator[Chunk | dict]) -> Iterator[pa.RecordBatch]:
+    """Batches of BLOCKS of about DECODED bytes of samples."""
+    held, single, size = {}, [], 0
+    for c in chunks:
+        if isinstance(c, dict):
+            x, y, w, h = _part(c["part"]).box(c["tx"], c["ty"], c["lvl_x"], c["lvl_y"])
+            shape, row = _shape(c["part"], w, h), c
+            c = (shape, c["path"], c["part_no"], c["lvl_x"], c["lvl_y"], x, y, c["table_size"], c["unpacked_size"], c["payload"])
+        shape = c[0]
+        own = 256 + (max(c[8], len(c[9])) if shape.part.deep else shape.size)
+        if size and size + own > DECODED:
+            yield _batch(held, single)
+            held, single, size = {}, [], 0
         size += own
-    if held:
-        yield _batch(held)
+        if shape.takes(c[7]):
+            held.setdefault(shape, []).append(c)
+        else:
+            single.append(row)
+    if size:
+        yield _batch(held, single)
 
 
 def read(spark: SparkSession, path: str, entry: str = "any", files: int = 0, split_bytes: int = 4 << 20) -> DataFrame:

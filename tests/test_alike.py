@@ -79,8 +79,14 @@ def test_large_files_do_not_stay_in_memory(monkeypatch):
     assert [b"".join(pieces) for pieces in alike.files_of(SPECS["mixed"], images)] == whole
 
 
-def chunks_in(data, entry="any"):
-    return alike.file_chunks("a", data, entry, alike.Heads())
+def chunks_in(data, entry="any", path="a"):
+    return alike.file_chunks(path, data, entry, alike.Heads())
+
+
+def rows_in(data, path="a"):
+    """The chunks by their headers, one after another."""
+    told = [exr._part_json(p) for p in layout.plan_of(data, len(data)).parts]
+    return [{"path": path, "part": told[r["part_no"]]} | r for r in layout.walk_chunks(data)]
 
 
 def values_of(batches):
@@ -106,9 +112,11 @@ def lines_in(rows):
 @pytest.mark.parametrize("together", [1, 1 << 20])
 def test_chunks_decoded_together_are_those_decoded_alone(name, together, monkeypatch):
     monkeypatch.setattr(alike, "DECODED", together)
-    rows = [r | {"path": f"f{i}"} for i, pieces in enumerate(alike.files_of(MORE[name], images_of(MORE[name]))) for r in chunks_in(b"".join(pieces))]
-    got = values_of(alike.decoded(iter(rows)))
-    assert got == lines_in(rows) and got
+    made = [b"".join(pieces) for pieces in alike.files_of(MORE[name], images_of(MORE[name]))]
+    rows = [r for i, data in enumerate(made) for r in rows_in(data, f"f{i}")]
+    want = lines_in(rows)
+    assert values_of(alike.decoded(c for i, data in enumerate(made) for c in chunks_in(data, path=f"f{i}"))) == want and want
+    assert values_of(alike.decoded(iter(rows))) == want
 
 
 @pytest.mark.parametrize("split_bytes", [300, 1 << 20])
@@ -128,27 +136,63 @@ def test_no_files_give_no_rows(spark, tmp_path):
 
 def test_damage_is_an_error():
     data = [b"".join(pieces) for pieces in alike.files_of(SPECS["deep_tile"], images_of(SPECS["deep_tile"]))][0]
-    rows = chunks_in(data)
-    for change in ({"unpacked_size": rows[0]["unpacked_size"] + 4}, {"payload": rows[0]["payload"][:-1]}, {"payload": b"\xff" * len(rows[0]["payload"])}):
+    first, *rest = chunks_in(data)
+    packed = first[-1]
+    for unpacked, payload in ((first[-2] + 4, packed), (first[-2], packed[:-1]), (first[-2], b"\xff" * len(packed))):
         with pytest.raises(InvalidData):
-            list(alike.decoded(iter([rows[0] | change, *rows[1:]])))
+            list(alike.decoded(iter([(*first[:-2], unpacked, payload), *rest])))
     with pytest.raises(InvalidData):
         chunks_in(data[:-1])
     with pytest.raises(exr.Unsupported):
         chunks_in(data, "deep_scanline")
-    swapped = bytearray(data)
-    plan = layout.plan_of(data, len(data))
-    swapped[plan.at : plan.at + 16] = data[plan.at + 8 : plan.at + 16] + data[plan.at : plan.at + 8]
-    assert {(r["chunk_idx"], r["tx"]) for r in chunks_in(bytes(swapped))} >= {(0, 1), (1, 0)}  # another order is read, as by range_rows()
+
+
+@pytest.mark.parametrize("name", ["tiled_NONE", "deep_tile", "mixed"])
+def test_any_byte_changed_does_what_it_does_to_the_general_reader(name):
+    """Tables, headers of chunks and what follows: the same values, or an error where that has one."""
+    data = [b"".join(pieces) for pieces in alike.files_of(MORE[name], images_of(MORE[name]))][0]
+    plan, split = layout.plan_of(data, len(data)), exr.arrow_schema(exr.SPLITS)
+
+    class File:
+        def __init__(self, data):
+            self.data = data
+
+        __enter__, __exit__ = lambda self: self, lambda self, *_: None
+        read_at = lambda self, n, at: self.data[at : at + n]
+
+    def general(data):
+        rows = exr.file_splits(File(data), "a", len(data), 1 << 20)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(exr, "open_file", lambda _: File(data))
+            return lines_in([r for own in exr.range_rows(iter([pa.RecordBatch.from_pylist(rows, schema=split)]), "any") for r in own])
+
+    def outcome(read, data):
+        try:
+            return read(data)
+        except (InvalidData, exr.Unsupported) as e:
+            return type(e)
+
+    together = lambda data: values_of(alike.decoded(iter(chunks_in(data))))
+    some = [*range(plan.at, plan.at + 16), *range(plan.body, len(data), max(1, (len(data) - plan.body) // 150))]
+    seen = set()
+    for i in some:
+        for v in (0, 255, data[i] ^ 1):
+            changed = data[:i] + bytes([v]) + data[i + 1 :]
+            want = outcome(general, changed)
+            got = outcome(together, changed)
+            assert repr(got) == repr(want), (i, v)
+            seen.add(want if isinstance(want, type) else list)
+    swapped = data[: plan.at] + data[plan.at + 8 : plan.at + 16] + data[plan.at : plan.at + 8] + data[plan.at + 16 :]
+    assert seen >= {list, InvalidData} and repr(outcome(together, swapped)) == repr(outcome(general, swapped))
 
 
 def test_headers_that_are_alike_are_read_once():
     spec, heads = SPECS["mixed"], alike.Heads()
     made = [b"".join(pieces) for pieces in alike.files_of(spec, images_of(spec))]
-    plans = [heads.plan(data)[0] for data in made]
-    assert plans[0] is plans[1] is plans[2] and plans[0] == layout.plan_of(made[0], len(made[0]))
+    found = [heads.of(data) for data in made]
+    assert found[0] is found[1] is found[2] and found[0].plan == layout.plan_of(made[0], len(made[0])) and all(isinstance(c, tuple) for c in chunks_in(made[0]))
     with pytest.raises(InvalidData):
-        heads.plan(made[0][: plans[0].at + 4])  # the known headers, but no room for the tables
+        heads.of(made[0][: found[0].plan.at + 4])  # the known headers, but no room for the tables
 
 
 def table_of(counts):
