@@ -252,13 +252,14 @@ class Known:
     def __init__(self, head: bytes, plan: layout.Plan):
         self.head, self.plan, self.texts = head, plan, [exr._part_json(p) for p in plan.parts]
         self.table, self.chunks = struct.Struct(f"<{sum(plan.counts)}Q"), []
-        for no, part in enumerate(plan.parts):
+        whole = all(p.count == n for p, n in zip(plan.parts, plan.counts, strict=True))
+        for no, part in enumerate(plan.parts if whole else []):  # or else the window may tell of any number
             tag = struct.pack("<i", no) if plan.many else b""
             for tx, ty, lx, ly in part.chunks():
                 x, y, w, h = part.box(tx, ty, lx, ly)
                 begin = tag + (struct.pack("<4i", tx, ty, lx, ly) if part.tiled else struct.pack("<i", part.y0 + y))
                 self.chunks.append((begin, _shape(self.texts[no], w, h), no, lx, ly, x, y))
-        self.plain = len(self.chunks) == sum(plan.counts) and all(c[1].plain for c in self.chunks)
+        self.plain = whole and all(c[1].plain for c in self.chunks)
 
     def cut(self, path: str, data: bytes) -> list[Chunk] | None:
         """The chunks of a file of plain ones whose tables are in order; None of any other, and of any damage."""

@@ -195,6 +195,14 @@ def test_headers_that_are_alike_are_read_once():
         heads.of(made[0][: found[0].plan.at + 4])  # the known headers, but no room for the tables
 
 
+def test_a_window_of_more_chunks_than_the_table_has_makes_no_list_of_them():
+    spec = [layout.Part(1, 1 << 26, ch("Y", kind="FLOAT"), codec="NONE", extra=[("chunkCount", "int", 1)])]
+    head, body = layout.encode_headers(spec, [0]), layout.encode_chunk(spec[0], 0, 0, 0, 0, {("Y", 0): (np.ones(1, np.float32), None)})[0]
+    data = head + (len(head) + 8).to_bytes(8, "little") + body
+    heads = alike.Heads()
+    assert heads.of(data).chunks == [] and values_of(alike.decoded(iter(alike.file_chunks("a", data, "any", heads)))) == [("a", 0, 0, 0, "Y", 0, 0, -1, 1.0)]
+
+
 def table_of(counts):
     return pa.RecordBatch.from_pydict({"file": np.repeat(np.arange(len(counts)), counts), "n": np.arange(sum(counts))})
 
